@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_byte_bpe": bpe.op5_byte_bpe}
+    return {"op5_byte_bpe": bpe.op5_byte_bpe, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
