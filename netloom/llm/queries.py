@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, line_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_byte_bpe": bpe.op5_byte_bpe, "op10_simhash": simhash.op10_simhash}
+    return {
+        "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.OP7_SQL}
