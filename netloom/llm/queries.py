@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, simhash
+from . import bpe, language, line_dedup, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": language.op2_language_id,
+        "op3_quality": quality.op3_quality,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op10_simhash": simhash.op10_simhash,
