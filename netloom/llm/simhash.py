@@ -98,12 +98,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, pair_limit: int = PAIR_LIMIT
     groups = materialize(signed.groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "signatures")
     two = groups.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct().filter(_close(F.col("a"), F.col("b"), distance))
 
-    some = signed.join(groups.filter(f"n > 2 and n <= {pair_limit}").select("bit", "rest"), ["bit", "rest"])
+    # merge: the plan, and with it what is shuffled, stays the same at every size
+    crowd = materialize(signed.join(groups.filter("n > 2").select("bit", "rest", "n").hint("merge"), ["bit", "rest"]), "crowd")
+    some = crowd.filter(f"n <= {pair_limit}")
     lists = some.groupBy("bit", "rest").agg(F.collect_list("fp").alias("all"))
     each = lists.select(F.explode("all").alias("a"), "all")
     near = each.select("a", F.explode(F.filter("all", lambda y: (y > F.col("a")) & _close(F.col("a"), y, distance))).alias("b"))
 
-    many = signed.join(groups.filter(f"n > {pair_limit}").select("bit", "rest"), ["bit", "rest"]).select("fp").distinct()
+    many = crowd.filter(f"n > {pair_limit}").select("fp").distinct()
     flips = [F.col("fp").bitwiseXOR(_long(1 << i)) for i in range(64)]
     if distance == 1:  # the lower end of the bit that differs stands for both
         listed = many.select("fp", F.posexplode(F.array(*[F.least(F.col("fp"), f) for f in flips])).alias("bit", "z"))
