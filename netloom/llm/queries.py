@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, quality, simhash
+from . import bpe, language, line_dedup, mixing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL}
+    return {"op7_line_dedup": line_dedup.OP7_SQL, "op9_mixing": mixing.OP9_SQL}
