@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, mixing, quality, simhash
+from . import bpe, language, line_dedup, mixing, neighbours, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_nearest": neighbours.op8_nearest,
         "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
     }
