@@ -26,8 +26,9 @@ from .common import table
 PROJECTIONS, SEED = 65, 11
 #: Vectors of an index block, queries of a query block.
 BLOCK, QUERY_BLOCK = 60_000, 512
-#: Share of the arrays in which a candidate must collide, and share of a block to verify for each query.
-THRESHOLD, VERIFY = 0.8, 0.06
+#: Share of the arrays in which a candidate must collide; share of a block, and vectors at least, to verify for
+#: each query.
+THRESHOLD, VERIFY, VERIFY_LEAST = 0.8, 0.06, 500
 #: First half-width of a window and growth of the radius, in standard deviations of the block's projections.
 RADIUS, GROWTH = 0.8, 1.12
 
@@ -56,7 +57,7 @@ def _packed(rows: DataFrame, tag: str) -> DataFrame:
 def search_block(queries: np.ndarray, vectors: np.ndarray, norm: float, k: int, threshold: float = THRESHOLD, verify: float = VERIFY) -> list[np.ndarray]:
     """Rows of ``vectors`` that collide with each query often enough: ``k`` plus the share ``verify``, or all."""
     n, dims = vectors.shape
-    wanted = min(n, k + int(np.ceil(verify * n)) + 1)
+    wanted = min(n, k + max(VERIFY_LEAST, int(np.ceil(verify * n))))
     if wanted >= n:
         return [np.arange(n)] * len(queries)
     rng = np.random.default_rng(SEED)
