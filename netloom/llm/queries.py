@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, mixing, neighbours, quality, simhash
+from . import bpe, fingerprints, language, line_dedup, mixing, neighbours, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": language.op2_language_id,
         "op3_quality": quality.op3_quality,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_nearest": neighbours.op8_nearest,
