@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, line_dedup, mixing, neighbours, quality, simhash
+from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": html_text.op1_html_text,
         "op2_language_id": language.op2_language_id,
         "op3_quality": quality.op3_quality,
         "op4_fingerprints": fingerprints.op4_fingerprints,
