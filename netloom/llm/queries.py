@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, quality, simhash
+from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, passages, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_passages": passages.op6_passages,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_nearest": neighbours.op8_nearest,
         "op9_mixing": mixing.op9_mixing,
