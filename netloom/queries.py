@@ -5,7 +5,9 @@ Every query reads the star-schema tables as mapped in ``sources.tables``; the SQ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .jobs import workloads
@@ -14,7 +16,9 @@ from .operators import manifold as mf
 from .operators import normalize as nm
 from .operators import pcnet, qc, scoring, tensor, views
 from .operators import regulation as rg
+from .sources import mtx
 from .sources import tables as st
+from .storage import materialize, shared_dir
 
 ONE = qc.QcParams(min_lib_size=500, min_percent=0.2)
 TWO = qc.QcParams(min_lib_size=150, min_percent=0.1)
@@ -154,6 +158,40 @@ def _job_knk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workloads.knk(entries, [gene], qc=ONE, nc={"n_nets": 3, "n_samp_cells": 100, "q": 0.5}, td={"max_iter": 8, "rank": 3, "decimals": 2}, dr={"n_ko_genes": 1})
 
 
+def _auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, genes = _gene_list(spark, sf_dir)
+    return _round(scoring.signature_auc(scoring.rank_genes_per_cell(entries, len(genes)), genes[:10], 40), "auc")
+
+
+def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, genes = _gene_list(spark, sf_dir)
+    return scoring.control_genes(scoring.qcut_bins(scoring.gene_means(entries), 5), genes[:3], 1000)
+
+
+def _mtx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts written as a coordinate list with name files, and read again."""
+    entries = materialize(st.one_sample(spark, sf_dir), "entries")
+    folder = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
+    number = lambda c: entries.select(c).distinct().withColumn("i", F.row_number().over(Window.orderBy(c)))
+    genes, cells = number("gene"), number("cell")
+    for df, c in ((genes, "gene"), (cells, "cell")):
+        df.orderBy("i").select(c).coalesce(1).write.text(f"{folder}/{c}s.tsv")
+    lines = entries.join(genes.withColumnRenamed("i", "g"), "gene").join(cells.withColumnRenamed("i", "c"), "cell").select(F.lit(1).alias("o"), F.concat_ws(" ", "g", "c", "value").alias("value"))
+    head = spark.createDataFrame([(0, f"{genes.count()} {cells.count()} {entries.count()}")], "o int, value string")
+    head.union(lines).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/matrix.txt")
+    return mtx.read_mtx_sparse(spark, f"{folder}/matrix.txt", f"{folder}/genes.tsv", f"{folder}/cells.tsv")
+
+
+def _step_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
+    mtx.write_step(st.two_samples(spark, sf_dir), folder, "qc", {})
+    return mtx.read_step(spark, folder, "qc")[0].select("label", "gene", "cell", "value")
+
+
+def _all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcnet.make_networks(qc.sc_qc(st.one_sample(spark, sf_dir), ONE), n_nets=1, n_samp_cells=None, q=0.0)
+
+
 def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, genes = _gene_list(spark, sf_dir)
     return _round(scoring.signature_score(nm.log_normalize(entries), genes[:8], genes[20:60]), "score")
@@ -175,6 +213,20 @@ def _qq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "read_mtx_sparse": (_mtx_round_trip, f"WITH {_ONE} SELECT * FROM e"),
+    "read_step": (_step_round_trip, f"WITH {_TWO} SELECT * FROM e"),
+    "default_barcodes": (lambda s, d: st.default_barcodes(s, s.read.parquet(f"{d}/customer.parquet").count()), "SELECT 'barcode_' || i AS cell, i AS cell_pos FROM (SELECT row_number() OVER () - 1 AS i FROM customer)"),
+    "cal_pcnet": (_all_cells, None),
+    "signature_auc": (
+        _auc,
+        f"""WITH {_ONE}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS i FROM (SELECT DISTINCT gene FROM e)), c AS (SELECT DISTINCT cell FROM e),
+r AS (SELECT cell, gene, i, rank() OVER (PARTITION BY cell ORDER BY coalesce(value, 0) DESC) + (count(*) OVER (PARTITION BY cell, coalesce(value, 0)) - 1) / 2 AS r FROM c CROSS JOIN g LEFT JOIN e USING (cell, gene))
+SELECT 'all' AS label, cell, round(CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(CASE WHEN r > 40 THEN 41 ELSE r END) - 55) / 400 END, 6) AS auc FROM r WHERE i <= 10 GROUP BY 2""",
+    ),
+    "control_genes": (
+        _controls,
+        f"WITH {_ONE}, m AS (SELECT gene, sum(value) / (SELECT count(DISTINCT cell) FROM e) AS v FROM e GROUP BY 1), q AS (SELECT quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM m), b AS (SELECT gene, greatest(len(list_filter(q, lambda x : x < v)) - 1, 0) AS bin, row_number() OVER (ORDER BY gene) AS i FROM m, q) SELECT 'all' AS label, t.gene AS target, b.gene FROM b t JOIN b USING (bin) WHERE t.i <= 3",
+    ),
     "entry_mean_cpm": (
         lambda s, d: nm.cpm_norm(qc.sc_qc(st.one_sample(s, d), ONE)).groupBy("gene").agg(F.round(F.avg("value"), 4).alias("mean_cpm")).orderBy(F.desc("mean_cpm"), "gene").limit(20),
         f"WITH {_qc_sql(_ONE, ONE)} SELECT gene, round(avg(value * 1e6 / size), 4) AS mean_cpm FROM (SELECT *, sum(value) OVER (PARTITION BY cell) AS size FROM kept) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",

@@ -9,7 +9,7 @@ from netloom.functions.regression import _one_gene, pc_coefficients
 from netloom.functions.statistics import boxcox_lambda, chi2_sf, gamma_q
 from netloom.operators import edges as ed
 from netloom.operators import manifold as mf
-from netloom.operators import tensor
+from netloom.operators import pcnet, tensor
 
 
 def scaled(n, g, seed):
@@ -44,6 +44,21 @@ def test_pc_coefficients_repeated_genes():
         pc_coefficients(x, np.array([0]), 2)
 
 
+def test_all_cells_network(spark):
+    x = np.random.default_rng(6).poisson(0.7, (60, 12)).astype(float)
+    x[0] += 1
+    rows = [("all", f"g{j:02d}", f"c{i}", float(x[i, j])) for i in range(60) for j in range(12) if x[i, j]]
+    rows += [("all", "g99", f"c{i}", 1.0) for i in range(60)]  # doesn't vary
+    entries = spark.createDataFrame(rows, "label string, gene string, cell string, value double")
+    got = {(r.target, r.source): r.weight for r in pcnet.all_cells_network(entries).collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for k in range(12):
+        want = brute_beta(z, k, 3)
+        for j in range(12):
+            assert abs(got.get((f"g{k:02d}", f"g{j:02d}"), 0.0) - want[j]) < 1e-6
+    assert not any("g99" in k for k in got)
+
+
 def test_chi2():
     for x in (0.0, 0.1, 1.0, 3.84, 20.0, 200.0):
         assert abs(chi2_sf(x) - gamma_q(0.5, x / 2)) < 1e-12

@@ -14,6 +14,6 @@ def test_matches_sql(spark, name):
     compare(spark, QUERIES[name], SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", ["d_regulation", "make_networks", "manifold_alignment", "pca_tables"])
+@pytest.mark.parametrize("name", ["cal_pcnet", "d_regulation", "make_networks", "manifold_alignment", "pca_tables"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
