@@ -57,16 +57,19 @@ def sampled(df: DataFrame, key: Column, rows: int, salt: str) -> DataFrame:
     return df.filter(share < int(rows / total * (1 << 20)))
 
 
-def words_of(texts: pa.Array, pattern: str, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
+def words_of(texts: pa.Array, pattern: str | None, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Split whole texts into words: (row number of each word, the words).
 
-    ``pattern`` matches what separates words. Null texts have none.
+    ``pattern`` matches what separates words; None: ASCII white space. Null texts have none.
     """
     texts = pc.fill_null(texts, "")
     if lower:
         texts = pc.utf8_lower(texts)
-    texts = pc.utf8_trim(pc.replace_substring_regex(texts, pattern, " "), " ")
-    lists = pc.split_pattern(texts, " ")
+    if pattern is None:
+        lists = pc.ascii_split_whitespace(texts)
+    else:
+        texts = pc.utf8_trim(pc.replace_substring_regex(texts, pattern, " "), " ")
+        lists = pc.split_pattern(texts, " ")
     words = pc.list_flatten(lists)
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     full = pc.greater(pc.binary_length(words), 0)
