@@ -23,6 +23,8 @@ from .common import table
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 #: Words in a block, slots in an output shard, rounds of the permutation, cells of the source lookup.
 BLOCK_WORDS, SHARD_SLOTS, ROUNDS, CELLS = 32, 8192, 10, 1024
+#: Slots that one task permutes, about.
+SLOTS_PER_TASK = 100_000
 #: Hex digits of md5(id) that make the first level of the order of documents in a source.
 CHUNK_DIGITS = 3
 
@@ -89,7 +91,9 @@ def _draws(sources: DataFrame, shard_slots: int, rounds: int, most_passes: int)
     counts = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     name = lambda p: F.array(*[_draw("key", F.col("sid").cast("string"), str(p), str(i)) for i in range(rounds)])
     keyed = sources.select("sid", "n_blocks", F.array(*[name(p) for p in range(most_passes)]).alias("keys"))
-    rows = counts.join(keyed, "sid").select("sid", "shard", "n_blocks", "keys", F.explode(F.expr("sequence(offset, offset + n - 1)")).alias("k"))
+    # few rows here make many slots: deal them to tasks of about SLOTS_PER_TASK
+    parts = max(1, min(100_000, total // 1000 // SLOTS_PER_TASK))
+    rows = counts.join(keyed, "sid").repartition(parts, "sid", "shard").select("sid", "shard", "n_blocks", "keys", F.explode(F.expr("sequence(offset, offset + n - 1)")).alias("k"))
     # random counts may pass what a source at its cap has; those slots stay empty
     rows = rows.withColumn("pass", F.expr("k div n_blocks")).filter(F.col("pass") < most_passes)
 
