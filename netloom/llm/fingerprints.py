@@ -4,8 +4,9 @@ The lexicon is all terms whose document frequency lies in a band [LOW, HIGH] of
 (Chowdhury et al. 2002), counted over all documents. Its size is bounded by the mean number of distinct
 terms of a document divided by LOW, whatever the corpus, so that it can be broadcast. Randomised subsets
 of the lexicon (Kolcz et al. 2004) give one hash each of the sorted distinct terms that they keep. Subsets
-come at rates 1/2, 1/4, 1/8, ...; a document uses the two rates at which a subset keeps about one of its
-terms, or half of one. There the share of subsets on which two documents agree follows the overlap of their terms.
+come at rates 1/2, 1/4, 1/8, ...; a document uses the four from the one at which a subset keeps about one
+of its terms. At the first rate that two documents have in common, the share of subsets on which they agree
+follows the overlap of their terms.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,11 @@ from .common import bounded_batches, steps, table, words_of
 
 #: Band of document frequency, as shares of all documents.
 LOW, HIGH = 1 / 2000, 0.05
-#: Random subsets at each rate, and in-band terms under which all terms of a document count.
-SUBSETS, FEWEST = 64, 4
+#: Random subsets at each rate, rates of a document, and in-band terms under which all terms of a document count.
+SUBSETS, RATES, FEWEST = 48, 4, 4
 #: Documents of one sorted part, and parts at most.
 PART_ROWS, MOST_PARTS = 2_000, 20_000
-NO_TERM = r"[^\p{L}\p{N}]+"
+ENDS = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -40,17 +42,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each distinct term of each text, sorted by row, then hash."""
-    rows, words = words_of(texts, NO_TERM)
+    """Row and hash of each distinct term of each text, sorted by row, then hash.
+
+    Terms are lower-case words without the signs at their ends.
+    """
+    rows, words = words_of(texts, None)
     if not len(rows):
         return rows, np.zeros(0, np.uint64)
     codes = words.dictionary_encode()
-    hashes = pd.util.hash_array(np.array(codes.dictionary.to_pylist(), object))
-    by_hash = np.argsort(hashes)  # ranks, so that one sort of numbers orders by row, then hash
-    rank = np.empty(len(by_hash), np.int64)
-    rank[by_hash] = np.arange(len(by_hash))
-    keys = np.unique(rows << 32 | rank[codes.indices.to_numpy(zero_copy_only=False)])
-    return keys >> 32, hashes[by_hash][keys & 0xFFFFFFFF]
+    distinct = pc.replace_substring_regex(codes.dictionary, ENDS, "")
+    hashes, rank = np.unique(pd.util.hash_array(np.array(distinct.to_pylist(), object)), return_inverse=True)
+    at = codes.indices.to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)[at]
+    keys = np.unique((rows << 32 | rank[at])[full])  # ranks, so that one sort of numbers orders by row, then hash
+    return keys >> 32, hashes[keys & 0xFFFFFFFF]
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
 
 
 def fingerprints(texts: pa.Array, known: np.ndarray, subsets: int = SUBSETS) -> list[str]:
-    """Fingerprint of each text: kind, level, then for two rates the hashes of all subsets.
+    """Fingerprint of each text: kind, level, then for RATES rates the hashes of all subsets.
 
     Kind ``b``: of terms in the band; ``a``: of all terms, as fewer than FEWEST are in it; ``t``: the text
     has no terms, and its digest stands for it. An empty subset has hash 0.
@@ -89,15 +94,15 @@ def fingerprints(texts: pa.Array, known: np.ndarray, subsets: int = SUBSETS) ->
     rows, terms = rows[keep], terms[keep]
     sizes = np.bincount(rows, minlength=count)
     level = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
-    out = np.zeros((count, 2, subsets), np.uint64)
+    out = np.zeros((count, RATES, subsets), np.uint64)
     own = np.flatnonzero(sizes)
     if len(own):
         starts = np.cumsum(sizes[own]) - sizes[own]
         value = _mix(terms + np.uint64(1))
-        masks = [(np.uint64(1) << (level[rows] + 1 + k).astype(np.uint64)) - np.uint64(1) for k in range(2)]
+        masks = [(np.uint64(1) << (level[rows] + 1 + k).astype(np.uint64)) - np.uint64(1) for k in range(RATES)]
         for s in range(subsets):
             drawn = _mix(terms ^ _mix(np.full(1, 7919 * (s + 1), np.uint64)))
-            for k in range(2):
+            for k in range(RATES):
                 kept = (drawn & masks[k]) == 0
                 out[own, k, s] = np.add.reduceat(np.where(kept, value, np.uint64(0)), starts)
     short = np.where(out != 0, np.maximum(_mix(out) >> np.uint64(48), np.uint64(1)), np.uint64(0))
@@ -111,12 +116,12 @@ def likeness(a: str, b: str) -> float:
     """Share of subsets, of those that keep a term of either, on which two fingerprints agree (0 to 1)."""
     if a == b:
         return 1.0
-    if a[0] != b[0] or a[0] == "t":
+    if "t" in (a[0], b[0]):
         return 0.0
     la, lb = int(a[1:3], 16), int(b[1:3], 16)
-    if abs(la - lb) > 1:
+    if abs(la - lb) >= RATES:
         return 0.0
-    x, y = (np.frombuffer(bytes.fromhex(f[3:]), ">u2").reshape(2, -1)[max(la, lb) - lev] for f, lev in ((a, la), (b, lb)))
+    x, y = (np.frombuffer(bytes.fromhex(f[3:]), ">u2").reshape(RATES, -1)[max(la, lb) - lev] for f, lev in ((a, la), (b, lb)))
     some = (x != 0) | (y != 0)
     return float(((x == y) & some).sum() / some.sum()) if some.any() else 0.0
 
