@@ -135,19 +135,23 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, pair_limit: int =
     return marked.join(rooted.join(owners, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The one row of each component that has the smallest id, with all columns of ``docs``.
+def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The one row of each component of ``found`` that has the smallest id, with all columns of ``docs``.
 
     Repeated rows of that id leave one row. Rows without an id stay only where no row of their
     component has one (one row for all such rows).
     """
-    found = near_duplicates(docs, distance)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
 
 
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The one row that ``keep_lowest`` leaves of each component of near-duplicates."""
+    return keep_lowest(docs, near_duplicates(docs, distance))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at two differing bits or fewer."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
