@@ -8,7 +8,8 @@ and leaves; so does one that is shorter than the prefix. Suffixes of equal rank
 reached ``min_lines`` are next to each other in the suffix array with a longest common prefix of at
 least ``min_lines``: they form one LCP interval. Its first suffix in document order is the first copy
 of a run, the others start later copies. Deeper intervals lie within these and delete nothing more, so
-ranking stops there. Later copies that overlap or touch make up the maximal repeated runs.
+ranking stops there. Later copies that overlap or touch make up the maximal repeated runs. Lines of at least
+``lone_words`` words, if that is given, also count as runs of one; their intervals are those of the first ranking.
 
 DataFrame functions only. Hot lines cost a partial aggregation and a join that Spark may split.
 """
@@ -31,20 +32,27 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
-    """Lines with their place ``i`` in the document's sequence and 128 bits of hash."""
-    symbols = F.filter(F.transform(_lines(F.col("text")), lambda x, n: F.when(x.rlike(FILLED), F.struct(n.alias("line"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2")))), lambda s: s.isNotNull())
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(symbols).alias("i", "s")).select("doc_id", "th", "i", "s.line", "s.h1", "s.h2")
+def _sequences(docs: DataFrame, lone_words: int | None = None) -> DataFrame:
+    """Lines with their place ``i`` in the document's sequence and 128 bits of hash; with ``lone_words``, whether they are ``long``."""
+    long = lambda x: [] if lone_words is None else [x.rlike(rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{lone_words - 1}}}[^\x20\x09-\x0D]").alias("long")]
+    symbols = F.filter(F.transform(_lines(F.col("text")), lambda x, n: F.when(x.rlike(FILLED), F.struct(n.alias("line"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"), *long(x)))), lambda s: s.isNotNull())
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(symbols).alias("i", "s")).select("doc_id", "th", "i", "s.*")
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows whose ``by`` occurs more than once, with its rank among all such in ``by`` order."""
     keys = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
     ranks = materialize(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    return rows.join(ranks, by).select("doc_id", "th", "i", "line", "rank")
+    return rows.join(ranks, by).drop(*by)
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def _later(ranked: DataFrame) -> DataFrame:
+    """All suffixes of a rank but the first in document order."""
+    firsts = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "th", "i")).alias("first"))
+    return ranked.join(firsts, "rank").filter(~F.struct("doc_id", "th", "i").eqNullSafe(F.col("first"))).select("doc_id", "th", "i")
+
+
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, lone_words: int | None = None) -> DataFrame:
     """Lines that later copies of repeated runs cover: ``doc_id``, ``th`` (hash of the text), ``line``.
 
     ``line`` counts all lines of the text from 0. Copies are ordered by document id (null first), then
@@ -53,7 +61,10 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
-    ranked = materialize(_ranked(_sequences(docs), ["h1", "h2"]), "suffixes")
+    if lone_words is not None and lone_words < 1:
+        raise ValueError("lone_words must be 1 or more")
+    ranked = materialize(_ranked(_sequences(docs, lone_words), ["h1", "h2"]), "suffixes")
+    lone = None if lone_words is None else _later(ranked.filter("long"))
     length = 1
     while length < min_lines:
         ahead = min(length, min_lines - length)  # the last step overlaps unless min_lines is a power of two
@@ -61,14 +72,12 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         pairs = ranked.withColumn("next", F.max("rank").over(place)).filter("next IS NOT NULL")
         ranked = materialize(_ranked(pairs.withColumnRenamed("rank", "here"), ["here", "next"]), "suffixes")
         length += ahead
-    firsts = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "th", "i")).alias("first"))
-    starts = ranked.join(firsts, "rank").filter(~F.struct("doc_id", "th", "i").eqNullSafe(F.col("first"))).select("doc_id", "th", "i")
-    covered = starts.select("doc_id", "th", F.explode(F.sequence("i", F.col("i") + min_lines - 1)).alias("i")).distinct()
-    return covered
+    covered = _later(ranked).select("doc_id", "th", F.explode(F.sequence("i", F.col("i") + min_lines - 1)).alias("i"))
+    return (covered if lone is None else covered.unionByName(lone)).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with the later copies of repeated line runs deleted from ``text``.
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, lone_words: int | None = None) -> DataFrame:
+    """``docs`` with the later copies of repeated line runs (and of lines of ``lone_words`` words or more) deleted from ``text``.
 
     All columns stay; ``n_chars``, if there is one, is counted anew. Added: ``n_lines`` (lines that
     hold more than white space), ``n_deleted`` of them, ``n_runs`` (maximal runs deleted) and
@@ -76,7 +85,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     line left becomes empty. A null text stays null with 0 lines; empty and blank texts are returned
     as they are. Equal rows get equal results.
     """
-    gone = later_copies(docs, min_lines).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("i")).alias("__gone"))
+    gone = later_copies(docs, min_lines, lone_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("i")).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__gone")
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     rows = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__doc"]) & (marked["__hash"] == gone["__th"]), "left").drop("__doc", "__th", "__hash")
