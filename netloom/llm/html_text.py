@@ -23,7 +23,9 @@ from .common import bounded_batches, steps, table
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head title script style template noscript noembed noframes iframe object audio video canvas datalist svg math area base col colgroup link meta param source track".split())
+UNSEEN = set("head title script style template noscript noembed noframes iframe object audio video canvas datalist area base col colgroup link meta param source track".split())
+#: Not shown inside svg and math, where other text is.
+FOREIGN_UNSEEN = {"svg": set("defs desc symbol metadata clippath mask marker pattern".split()), "math": {"annotation", "annotation-xml"}}
 SET_OFF = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCK = SET_OFF | set("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
 #: A start tag closes an open element of these names, looked for no further out than the second list.
@@ -38,24 +40,39 @@ WIDEST = 80
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Whole declarations of a style; comments are cut first.
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
     """An element; ``inside`` holds elements and strings in order."""
 
-    __slots__ = ("name", "inside", "seen", "start", "span")
+    __slots__ = ("name", "inside", "seen", "shown", "start", "span")
 
     def __init__(self, name: str, seen: bool = True):
         self.name, self.inside, self.seen, self.start, self.span = name, [], seen, 1, 1
+        self.shown: bool | None = None  # visibility set here; None: inherited
+
+
+def _style(text: str) -> dict[str, str]:
+    """Values of display and visibility: the last declaration of each, important ones first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARATION.findall(STYLE_COMMENT.sub("", html.unescape(text))):
+        if name.lower() not in found or important or not found[name.lower()][0]:
+            found[name.lower()] = (bool(important), value.lower())
+    return {name: value for name, (_, value) in found.items()}
 
 
 def _element(name: str, attributes: str) -> Node:
     node = Node(name, name not in UNSEEN)
     if attributes and not attributes.isspace():
         found = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))}
-        if "hidden" in found or HIDING.search(found.get("style", "")) or name == "input" or (name == "dialog" and "open" not in found):
+        style = _style(found["style"]) if found.get("style") else {}
+        if "visibility" in style:
+            node.shown = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style["visibility"])
+        if "hidden" in found or style.get("display") == "none" or name == "input" or (name == "dialog" and "open" not in found):
             node.seen = False
         number = lambda k: int(found[k]) if found.get(k, "").isdecimal() and len(found[k]) < 7 else 1
         node.start, node.span = number("start"), min(number("colspan"), 100)
@@ -68,10 +85,12 @@ def parse(source: str) -> Node:
     """Tree of a whole page; any text gives a tree."""
     root = Node("#root")
     open_ = [root]
+    shown = [True]  # whether text in each open element is visible
     counts: Counter[str] = Counter()  # of open elements by name, so that deep pages aren't searched in vain
 
     def push(node: Node) -> None:
         open_.append(node)
+        shown.append(shown[-1] if node.shown is None else node.shown)
         counts[node.name] += 1
 
     def close(names: set[str], stop: set[str]) -> None:
@@ -80,7 +99,7 @@ def parse(source: str) -> Node:
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].name in names:
                 counts.subtract(n.name for n in open_[i:])
-                del open_[i:]
+                del open_[i:], shown[i:]
                 return
             if open_[i].name in stop:
                 return
@@ -92,7 +111,7 @@ def parse(source: str) -> Node:
         name = m[2]
         if name is None:
             text = m[0]
-            if text[0] != "<" or text == "<":
+            if shown[-1] and (text[0] != "<" or text == "<"):
                 open_[-1].inside.append(html.unescape(text) if "&" in text else text)
             continue
         name = name.lower()
@@ -110,6 +129,7 @@ def parse(source: str) -> Node:
             close({"p"}, SCOPE | {"button", "object"})
             if name[0] == "h" and len(name) == 2 and open_[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 counts[open_.pop().name] -= 1
+                shown.pop()
         elif name == "a":
             close({"a"}, SCOPE)
         if name == "body":
@@ -124,11 +144,17 @@ def parse(source: str) -> Node:
                 push(open_[-1].inside[-1])
         attributes = m[3]
         node = _element(name, attributes)
+        for outer, unseen in FOREIGN_UNSEEN.items():
+            if counts[outer] and name in unseen:
+                node.seen = False
+        if name == "text" and counts["svg"]:  # placed apart from the text before
+            open_[-1].inside.append(" ")
         open_[-1].inside.append(node)
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])|\\Z", re.I).search(source, at)
             text = source[at : stop.start()]
-            node.inside.append(html.unescape(text) if name in ("textarea", "title") else text)
+            if shown[-1] if node.shown is None else node.shown:
+                node.inside.append(html.unescape(text) if name in ("textarea", "title") else text)
             tail = source.find(">", stop.end())
             at = end if tail < 0 else tail + 1
         elif name not in VOID and not attributes.endswith("/") or name in BLOCK - {"hr"}:
