@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by collision counting on single projections.
 
-Query-aware hashing (C2LSH, Gan et al. 2012; QALSH, Huang et al. 2015). Every block of vectors is indexed
-by ``PROJECTIONS`` sorted arrays, one for each random direction. A query looks at the window of each array
-that is centred on its own projection; the window grows by virtual rehashing (same arrays, larger radius)
-until enough vectors have collided with the query in at least ``THRESHOLD`` of the arrays. Those are
-verified by exact inner products. Largest inner product becomes smallest distance by one more component
-that gives all vectors the same length.
-
-Blocks have a fixed size, so that each is a task of bounded memory. Each block of queries meets each block
-of vectors once; of every meeting only the best ``k`` of a query go on, and are merged per query.
+Query-aware hashing (C2LSH, Gan et al. 2012; QALSH, Huang et al. 2015). A block of vectors is indexed by
+``PROJECTIONS`` sorted arrays, one for each random direction, cut into ``PAGES`` pages of equal length. A query
+looks at the window of each array that is centred on its own projection; the window grows by virtual rehashing
+(same arrays, larger radius) until enough vectors have collided with the query in at least ``THRESHOLD`` of the
+arrays. Those are verified by exact inner products. Where the last radius brings in more than asked for, the
+threshold rises, so that the verified share of a block is bounded by ``VERIFY`` and ``VERIFY_PER_K`` at every size.
+
+Largest inner product becomes smallest distance by one more component that gives all vectors of a block the same
+length. Blocks hold vectors of like length (bands of half an octave), so that this component stays small.
+
+A task indexes one block once and streams queries through it; of every query only the block's best ``k`` go on and
+are merged. Work is queries x vectors by the nature of the task (the query set is a share of the table); what is
+shuffled for it is divided by ``BLOCK`` and ``QUERY_PART``.
 """
 
 from __future__ import annotations
@@ -21,131 +25,167 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import table
-
-PROJECTIONS, SEED = 65, 11
-#: Vectors of an index block, queries of a query block.
-BLOCK, QUERY_BLOCK = 60_000, 512
-#: Share of the arrays in which a candidate must collide; share of a block, and vectors at least, to verify for
-#: each query.
-THRESHOLD, VERIFY, VERIFY_LEAST = 0.8, 0.06, 500
+from .common import bounded_batches, table
+
+PROJECTIONS, PAGES, SEED = 130, 250, 11
+#: Vectors of an index block, queries that one task streams through it.
+BLOCK, QUERY_PART = 32_768, 32_768
+#: Share of the arrays in which a candidate must collide; candidates to verify: a share of the block, and so many for each of the k.
+THRESHOLD, VERIFY, VERIFY_PER_K = 0.8, 0.05, 4
 #: First half-width of a window and growth of the radius, in standard deviations of the block's projections.
 RADIUS, GROWTH = 0.8, 1.12
 
 
 def valid_vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """``vec_id`` and ``v`` (array of double): one row for each distinct vector of an id.
+    """``vec_id`` and ``v``: one row for each distinct vector of an id; components stay floats if they are, else doubles.
 
     Null, zero, empty and non-finite vectors, and rows without an id, take no part.
     """
-    rows = df.select(df[id_column].alias("vec_id"), df[vector_column].cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
+    kind = df.schema[vector_column].dataType.simpleString()
+    vector = df[vector_column].cast(kind if kind == "array<float>" else "array<double>")
+    rows = df.select(df[id_column].alias("vec_id"), vector.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.filter(fine).distinct()
 
 
-def _numbered_blocks(rows: DataFrame, size: int, total: int, salt: str) -> DataFrame:
-    """Deal rows into about ``total / size`` blocks by a hash of the id."""
-    return rows.withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(max(1, -(-total // size)))).cast("int"))
-
-
-def _packed(rows: DataFrame, tag: str) -> DataFrame:
-    """One row per block: ids and vectors, in the order of ids. A block's size is bounded."""
-    lists = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
-    return lists.select(F.col("block").alias(f"{tag}_block"), F.col("rows.vec_id").alias(f"{tag}_ids"), F.flatten("rows.v").alias(f"{tag}_v"))
-
-
-def search_block(queries: np.ndarray, vectors: np.ndarray, norm: float, k: int, threshold: float = THRESHOLD, verify: float = VERIFY) -> list[np.ndarray]:
-    """Rows of ``vectors`` that collide with each query often enough: ``k`` plus the share ``verify``, or all."""
-    n, dims = vectors.shape
-    wanted = min(n, k + max(VERIFY_LEAST, int(np.ceil(verify * n))))
-    if wanted >= n:
-        return [np.arange(n)] * len(queries)
-    rng = np.random.default_rng(SEED)
-    directions = np.concatenate([np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0] for _ in range(-(-PROJECTIONS // (dims + 1)))], axis=1)[:, :PROJECTIONS]
-    lift = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(axis=1), 0))
-    index = np.column_stack([vectors, lift]) @ directions
-    scale = norm / np.sqrt((queries**2).sum(axis=1, keepdims=True))  # a query's length doesn't change its order
-    centre = np.column_stack([queries * scale, np.zeros(len(queries))]) @ directions
-    # the sorted array of each direction, and each vector's rank in it: a window is a range of ranks
-    ordered = np.sort(index.T, axis=1)
-    kind = np.uint16 if n <= 1 << 16 else np.uint32
-    ranks = np.empty((index.shape[1], n), kind)
-    np.put_along_axis(ranks, np.argsort(index.T, axis=1, kind="stable"), np.arange(n, dtype=kind)[None], axis=1)
-    widths = index.std(axis=0)
-    m = len(ranks)
-    # all sorted arrays end to end, so that one search finds the windows of a query in all of them
-    apart = np.arange(m) * 4 * norm
-    joined = (ordered + apart[:, None]).ravel()
-    first = np.arange(m) * n
-    need = int(np.ceil(threshold * m))
-    inside, count = np.empty(n, kind), np.empty(n, np.uint8)
-    found, radius = [], RADIUS
-    for c in centre + apart:
-        while True:
-            lo = np.maximum(np.searchsorted(joined, c - widths * radius) - first, 0)
-            hi = np.minimum(np.searchsorted(joined, c + widths * radius, side="right") - first, n)
-            count[:] = 0
-            for rank, a, b in zip(ranks, lo.tolist(), hi.tolist()):
-                if b - a == n:
-                    count += 1
-                elif b > a:  # ranks before the window wrap round to large numbers
-                    np.subtract(rank, kind(a), out=inside)
-                    count += inside < b - a
-            near = np.flatnonzero(count >= need)
-            if len(near) >= wanted:
-                break
-            radius *= GROWTH
-        found.append(near)
-        if len(near) > 2 * wanted:  # the next query starts a step lower
-            radius = max(RADIUS, radius / GROWTH)
-    return found
-
-
-def _meet(norm: float, k: int, dims: int):
+def _banded(rows: DataFrame) -> DataFrame:
+    """``band``: half octaves of the vector's length, scaled first so that squares neither overflow nor vanish."""
+    top = F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
+    return rows.withColumn("top", top).withColumn("band", F.floor(2 * F.log2("top") + F.log2(squares) + 0.3).cast("int")).drop("top")
+
+
+class BlockIndex:
+    """Sorted arrays of one block: for each direction the page that each vector lies in, and where pages begin."""
+
+    def __init__(self, vectors: np.ndarray):
+        n, dims = vectors.shape
+        rng = np.random.default_rng(SEED)
+        turns = [np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0] for _ in range(-(-PROJECTIONS // (dims + 1)))]
+        self.directions = np.concatenate(turns, axis=1)[:, :PROJECTIONS]
+        unit = vectors / np.abs(vectors).max()
+        squares = (unit**2).sum(axis=1)
+        self.length = np.sqrt(squares.max())
+        lift = np.sqrt(np.maximum(squares.max() - squares, 0))
+        projected = (np.column_stack([unit, lift]) @ self.directions).T
+        pages = min(n, PAGES)
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.pages = np.empty(projected.shape, np.uint8)
+        np.put_along_axis(self.pages, order, (np.arange(n) * pages // n).astype(np.uint8)[None], axis=1)
+        begins = -(-np.arange(pages) * n // pages)
+        self.begins = np.take_along_axis(projected, order[:, begins], axis=1)
+        self.widths = np.maximum(projected.std(axis=1), 0.01 * self.length)
+        self.n = n
+
+    def search(self, queries: np.ndarray, wanted: int, radius: float = RADIUS) -> tuple[list[np.ndarray], float]:
+        """Rows that collide with each query often enough, at least ``wanted``; and the radius to go on with."""
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit *= self.length / np.sqrt((unit**2).sum(axis=1, keepdims=True))  # a query's length doesn't change its order
+        centres = np.column_stack([unit, np.zeros(len(unit))]) @ self.directions
+        wanted = min(wanted, self.n)
+        need = int(np.ceil(THRESHOLD * len(self.pages)))
+        place, inside, count = np.empty(self.n, np.uint8), np.empty(self.n, bool), np.empty(self.n, np.uint8)
+        found = []
+        for c in centres:
+            while True:
+                reach = self.widths * radius
+                lo = (self.begins[:, 1:] < (c - reach)[:, None]).sum(axis=1)
+                size = (self.begins <= (c + reach)[:, None]).sum(axis=1) - lo
+                count[:] = 0
+                for page, a, s in zip(self.pages, lo.astype(np.uint8), size.tolist()):
+                    if s > 0:  # pages before the window wrap round to large numbers
+                        np.subtract(page, a, out=place)
+                        np.less(place, np.uint8(s), out=inside)
+                        np.add(count, inside.view(np.uint8), out=count)
+                often = np.bincount(count, minlength=need + 1)[::-1].cumsum()[::-1]  # vectors that collide so often or more
+                if often[need] >= wanted:
+                    break
+                radius *= GROWTH
+            found.append(np.flatnonzero(count >= np.flatnonzero(often >= wanted)[-1]))
+            if often[need] > 2 * wanted:  # the next query starts a step lower
+                radius = max(RADIUS, radius / GROWTH)
+        return found, radius
+
+
+def candidates_wanted(n: int, k: int) -> int:
+    """Vectors of a block of ``n`` to verify for each query."""
+    return min(n, VERIFY_PER_K * k + int(np.ceil(VERIFY * n)))
+
+
+def _best(q_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` ids of largest inner product, each once with its best."""
+    keep = ids != q_id
+    ids, score = ids[keep], (vectors[keep] * query).sum(axis=1)  # equal vectors score equally, unlike in a matrix product
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)][:k]
+    return ids[order], score[order]
+
+
+def _searched(k: int, dims: int):
+    """Over rows in order of (block, part, kind): a block's vectors are gathered and indexed once, its queries then streamed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index, radius, parts = None, None, RADIUS, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                value = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-                q_ids, ids = value("q_ids"), value("d_ids")
-                queries, vectors = value("q_v").reshape(-1, dims), value("d_v").reshape(-1, dims)
-                out = []
-                for q, near in enumerate(search_block(queries, vectors, norm, k)):
-                    near = near[ids[near] != q_ids[q]]
-                    score = (vectors[near] * queries[q]).sum(axis=1)  # equal vectors score equally, unlike in a matrix product
-                    if len(near) > k:
-                        top = score >= np.partition(score, -k)[-k]
-                        near, score = near[top], score[top]
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out.append((np.full(len(best), q_ids[q]), ids[near][best], score[best]))
-                columns = [np.concatenate(c) for c in zip(*out)]
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("block", "part", "kind")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                rows, (block, part, kind) = batch.slice(lo, hi - lo), keys[lo].tolist()
+                ids, values = rows.column("vec_id").to_numpy(), rows.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                if kind == 0:
+                    if at != (block, part):
+                        at, index, parts = (block, part), None, []
+                    parts.append((ids, values))
+                    continue
+                if index is None:
+                    all_ids, all_values = (np.concatenate(c) for c in zip(*parts))
+                    index, radius, parts = BlockIndex(all_values.astype(float)), RADIUS, []
+                queries = values.astype(float)
+                found, radius = index.search(queries, candidates_wanted(index.n, k), radius)
+                best = [_best(i, q, all_ids[near], all_values[near].astype(float), k) for i, q, near in zip(ids, queries, found)]
+                columns = [np.repeat(ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", block: int = BLOCK, query_part: int = QUERY_PART) -> DataFrame:
     """The ``k`` candidates of largest inner product found for each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     A candidate is any row of ``vectors`` with another id than the query's; ``score`` is its exact inner
     product in double precision; ties go to the smaller id. Vectors that are null, zero, empty or hold
     null or non-finite components take no part, nor do those of another length than the most frequent one.
-    Repeated rows count once. Fewer candidates than ``k``: all of them. Empty tables give an empty result.
+    Repeated rows count once; an id with several vectors counts once, with its best. Fewer candidates than
+    ``k``: all of them. Empty tables give an empty result. Ids are whole numbers.
     """
-    everything = materialize(valid_vectors(vectors, id_column, vector_column), "vectors")
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    everything = materialize(_banded(valid_vectors(vectors, id_column, vector_column)), "vectors")
     asked = materialize(valid_vectors(queries, id_column, vector_column), "queries")
     lengths = everything.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dims = lengths["d"] if lengths else 1
     everything, asked = (x.filter(F.size("v") == dims) for x in (everything, asked))
-    norm = everything.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
-    data = _packed(_numbered_blocks(everything, BLOCK, everything.count(), "data"), "d")
-    asks = _packed(_numbered_blocks(asked, QUERY_BLOCK, asked.count(), "query"), "q")
-    n_blocks = max(1, -(-everything.count() // BLOCK))
-    # each block of queries goes to each block of vectors: a join on the block's number
-    pairs = asks.withColumn("d_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(data, "d_block")
-    pairs = pairs.select("q_ids", "q_v", "d_ids", "d_v", F.xxhash64("q_block", "d_block").alias("at")).repartition(F.col("at")).select("q_ids", "q_v", "d_ids", "d_v")
-    found = pairs.mapInArrow(_meet(norm, k, dims), "query_id bigint, vec_id bigint, score double")
+    # bands (a few, thousands at most) get as many blocks as their vectors fill; blocks are numbered through all bands
+    bands = sorted((r["band"], -(-r["count"] // block)) for r in everything.groupBy("band").count().collect())
+    firsts = np.cumsum([0, *(n for _, n in bands)]).tolist()
+    of_band = spark.createDataFrame([(b, n, first) for (b, n), first in zip(bands, firsts)], "band int, n long, first long")
+    n_parts = max(1, -(-asked.count() // query_part))
+    dealt = everything.join(F.broadcast(of_band), "band").withColumn("block", F.col("first") + F.pmod(F.xxhash64(F.lit("data"), "vec_id"), "n"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))
+    data = dealt.select("block", parts.alias("part"), F.lit(0).alias("kind"), F.col("vec_id").cast("bigint").alias("vec_id"), "v")
+    asks = asked.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(n_parts)).cast("int"))
+    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(firsts[-1] - 1, 0)).cast("bigint")))
+    asks = asks.select(every_block.alias("block"), "part", F.lit(1).alias("kind"), F.col("vec_id").cast("bigint").alias("vec_id"), "v")
+    # one task each for a part of the queries and a block
+    tasks = max(1, min(firsts[-1] * n_parts, 100_000))
+    rows = data.unionByName(asks).repartitionById(tasks, F.pmod(F.col("block") * n_parts + F.col("part"), F.lit(tasks)).cast("int"))
+    found = rows.sortWithinPartitions("block", "part", "kind").mapInArrow(_searched(k, dims), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
