@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
+def gene_axis(entries: DataFrame) -> DataFrame:
+    """Distinct genes of entries: the rows and columns of their networks, edges or not."""
+    return entries.select("gene").distinct()
+
+
+def network_genes(edges: DataFrame) -> DataFrame:
+    """Genes that have an edge."""
+    return edges.select(F.col("target").alias("gene")).union(edges.select("source")).distinct()
+
+
 def shared_genes(entries: DataFrame, a: str = "X", b: str = "Y") -> DataFrame:
     """Entries of the genes that both labels have."""
     genes = lambda x: entries.filter(F.col("label") == x).select("gene")
@@ -15,8 +25,11 @@ def shared_genes(entries: DataFrame, a: str = "X", b: str = "Y") -> DataFrame:
 
 
 def draw_cells(entries: DataFrame, draws: DataFrame) -> DataFrame:
-    """Entries of drawn cells: ``draws`` (net_id, draw_id, cell) may draw a cell more than once."""
-    return entries.join(draws, "cell").select("net_id", "draw_id", "gene", "cell", "value")
+    """Entries of drawn cells: ``draws`` (net_id, draw_id, cell) may draw a cell more than once.
+
+    Entries that have a ``net_id`` go to that network alone.
+    """
+    return entries.join(draws, ["net_id", "cell"] if "net_id" in entries.columns else ["cell"]).select("net_id", "draw_id", "gene", "cell", "value")
 
 
 def expressed_genes(drawn: DataFrame) -> DataFrame:
@@ -45,23 +58,38 @@ def scale_edges(edges: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(top), "net_id").select("net_id", "target", "source", F.try_divide("weight", "top").alias("weight"))
 
 
+#: Bins in which the order statistics of a network's weights are looked for.
+BINS = 65_536
+
+
 def quantile_threshold(edges: DataFrame, sizes: DataFrame, q: float) -> DataFrame:
     """Edges at or above the ``q``-quantile of |A| over all entries of each network, zeros too.
 
     ``sizes`` (net_id, n_genes) gives the networks' orders. The quantile is linear between order
     statistics. Zeros come first in order, so that only edges are ranked: order statistic k of all entries
-    is edge k - zeros, or 0. Equal values are counted first; the running sum goes over distinct values.
+    is edge k - zeros, or 0. Edges are counted in BINS bins of |A| first; only those in the one or two bins that
+    hold the order statistics are then told apart, equal values counted together.
     """
     if not 0 <= q <= 1:
         raise ValueError("q must lie in [0, 1]")
-    counts = edges.groupBy("net_id").agg(F.count("*").alias("n")).join(sizes, "net_id")
+    tops = edges.groupBy("net_id").agg(F.count("*").alias("n"), F.max(F.abs("weight")).alias("top")).join(sizes, "net_id")
     total = F.col("n_genes").cast("long") * F.col("n_genes")
-    counts = counts.select("net_id", (total - F.col("n")).alias("zeros"), (q * (total - 1)).alias("at"), (total - 1).alias("last"))
-    values = edges.groupBy("net_id", F.abs("weight").alias("v")).agg(F.count("*").alias("c"))
-    upto = values.withColumn("hi", F.sum("c").over(Window.partitionBy("net_id").orderBy("v"))).join(F.broadcast(counts), "net_id")
+    tops = tops.select("net_id", "top", (total - F.col("n")).alias("zeros"), (q * (total - 1)).alias("at"), (total - 1).alias("last"))
+    size = F.abs("weight").alias("v")
+    bin_of = F.least(F.floor(F.try_divide("v", "top") * BINS), F.lit(BINS - 1))
+    binned = edges.select("net_id", size).join(F.broadcast(tops), "net_id").withColumn("bin", F.coalesce(bin_of, F.lit(0)))
+    place = lambda c: F.col(c) - F.col("zeros")
     low, high = F.floor("at"), F.least(F.floor("at") + 1, F.col("last"))
+    upto = F.sum("c").over(Window.partitionBy("net_id").orderBy("bin"))  # at most BINS rows a network
+    counts = binned.groupBy("net_id", "bin").agg(F.count("*").alias("c")).withColumn("upto", upto)
+    counts = counts.join(F.broadcast(tops.select("net_id", "zeros", low.alias("low"), high.alias("high"))), "net_id")
+    holds = lambda c: (place(c) < F.col("upto")) & (place(c) >= F.col("upto") - F.col("c"))
+    held = counts.filter(holds("low") | holds("high")).select("net_id", "bin", (F.col("upto") - F.col("c")).alias("before"))
+    values = binned.join(F.broadcast(held), ["net_id", "bin"]).groupBy("net_id", "bin", "before", "v").agg(F.count("*").alias("c"))
+    values = values.withColumn("hi", F.col("before") + F.sum("c").over(Window.partitionBy("net_id", "bin").orderBy("v"))).select("net_id", "v", "hi")
+    found = tops.join(values, "net_id", "left")
     pick = lambda k: F.when(F.max(F.col("zeros") > k), 0.0).otherwise(F.min(F.when(F.col("hi") + F.col("zeros") > k, F.col("v"))))
-    cut = upto.groupBy("net_id").agg(pick(low).alias("a"), pick(high).alias("b"), F.max(F.col("at") - F.floor("at")).alias("part"))
+    cut = found.groupBy("net_id").agg(pick(low).alias("a"), pick(high).alias("b"), F.max(F.col("at") - F.floor("at")).alias("part"))
     cut = cut.select("net_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("cut"))  # one row a network
     return edges.join(F.broadcast(cut), "net_id").filter(F.abs("weight") >= F.col("cut")).select("net_id", "target", "source", "weight")
 
@@ -76,15 +104,17 @@ def strict_direction(edges: DataFrame, lambd: float = 1.0) -> DataFrame:
     return out.filter("weight <> 0").select("net_id", "target", "source", "weight")
 
 
-def knockout_rows(edges: DataFrame, genes: list[str]) -> DataFrame:
-    """The network with the rows of ``genes`` set to zero; an unknown gene is an error."""
-    spark = edges.sparkSession
-    out = spark.createDataFrame([(g,) for g in genes], "gene string")
-    known = edges.select(F.col("target").alias("gene")).unionByName(edges.select(F.col("source").alias("gene")))
-    missing = [r[0] for r in out.join(known, "gene", "left_anti").collect()]
-    if missing:
+def check_known(genes: list[str], axis: DataFrame) -> None:
+    """Raise for genes that ``axis`` (gene) lacks."""
+    wanted = axis.sparkSession.createDataFrame([(g,) for g in genes], "gene string")
+    if missing := [r[0] for r in wanted.join(axis, "gene", "left_anti").collect()]:
         raise KeyError(f"genes not in the network: {sorted(missing)}")
-    return edges.join(F.broadcast(out), edges["target"] == out["gene"], "left_anti")
+
+
+def knockout_rows(edges: DataFrame, genes: list[str], axis: DataFrame | None = None) -> DataFrame:
+    """The network with the rows of ``genes`` set to zero; a gene that ``axis`` (else: every edge) lacks is an error."""
+    check_known(genes, network_genes(edges) if axis is None else axis)
+    return edges.filter(~F.col("target").isin(*genes)) if genes else edges
 
 
 def scale_and_round(edges: DataFrame, decimals: int = 1) -> DataFrame:
@@ -93,12 +123,15 @@ def scale_and_round(edges: DataFrame, decimals: int = 1) -> DataFrame:
     return scale_edges(edges).withColumn("weight", F.rint(F.col("weight") * unit) / unit).filter("weight <> 0")
 
 
-def align_networks(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both networks on the genes they share."""
-    genes = lambda e: e.select(F.col("target").alias("gene")).union(e.select("source"))
-    both = genes(x).intersect(genes(y))
-    ends = lambda e: e.join(both, e["target"] == both["gene"], "left_semi").join(both, e["source"] == both["gene"], "left_semi")
-    return ends(x), ends(y)
+def align_networks(x: DataFrame, y: DataFrame, x_genes: DataFrame | None = None, y_genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both networks on the genes they share, and those genes (``gene``).
+
+    ``x_genes`` and ``y_genes`` are the networks' gene axes, genes without edges included; without them only
+    genes that have an edge count.
+    """
+    shared = (network_genes(x) if x_genes is None else x_genes.select("gene")).intersect(network_genes(y) if y_genes is None else y_genes.select("gene"))
+    ends = lambda e: e.join(shared, e["target"] == shared["gene"], "left_semi").join(shared, e["source"] == shared["gene"], "left_semi")
+    return ends(x), ends(y), shared
 
 
 def subgraph(edges: DataFrame, weight_least: float = 0.1, connected: float = 0.0) -> DataFrame:
@@ -109,28 +142,43 @@ def subgraph(edges: DataFrame, weight_least: float = 0.1, connected: float = 0.0
     return strong.join(rows, ["net_id", "target"], "left_semi").join(columns, ["net_id", "source"], "left_semi").select("net_id", "target", "source", "weight")
 
 
-def propagate_knockout(edges: DataFrame, x: DataFrame, ko_gene: str, degree: int) -> DataFrame:
-    """Counts after a knockout that spreads over ``degree`` steps: max(x - all perturbations, 0).
+def knockout_perturbation(edges: DataFrame, x: DataFrame, ko_genes: list[str], degree: int, genes: DataFrame | None = None) -> DataFrame:
+    """What a knockout that spreads over ``degree`` steps takes from the counts of each network: ``net_id``, ``gene``, ``cell``, ``value``.
 
-    ``edges``: networks without diagonal; ``x``: ``net_id``, ``gene``, ``cell``, ``value``. The first
-    perturbation is the knocked-out gene's own counts; each step multiplies by the network. After a step the
-    genes reached by earlier steps leave the network on both ends; no step follows once all are reached.
+    ``edges``: networks without diagonal; ``x``: counts (``gene``, ``cell``, ``value``) that all networks share. The
+    first perturbation is the counts of all knocked-out genes together; each step multiplies by the network.
+    After a step the genes reached by earlier steps leave the network on both ends; a network whose genes
+    (``genes``, else those of ``x``) have all been reached takes no more steps. An unknown gene is an error.
     """
-    genes = x.select("net_id", "gene").distinct()
-    p = x.filter(F.col("gene") == ko_gene).select("net_id", "gene", "cell", "value")
-    total, live = p, edges
-    visited = p.select("net_id", "gene").filter("false")
+    axis = materialize(gene_axis(x) if genes is None else genes.select("gene").distinct(), "axis")
+    check_known(ko_genes, axis)
+    n_genes = axis.count()
+    ids = edges.select("net_id").distinct()  # one row a network
+    p = materialize(x.filter(F.col("gene").isin(*ko_genes)).join(F.broadcast(ids)).select("net_id", "gene", "cell", "value"), "step") if ko_genes else materialize(x.join(ids).select("net_id", "gene", "cell", "value").filter("false"), "step")
+    total, live, visited = p, edges.select("net_id", "target", "source", "weight"), p.select("net_id", "gene").filter("false")
     for _ in range(degree):
-        if not genes.join(visited, ["net_id", "gene"], "left_anti").take(1):
-            break
         given = p.select("net_id", F.col("gene").alias("source"), "cell", "value")
         step = live.join(given, ["net_id", "source"]).groupBy("net_id", F.col("target").alias("gene"), "cell").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
         p = materialize(step.filter("value <> 0"), "step")
+        total = total.unionByName(p)
         for end in ("target", "source"):
             live = live.join(visited.withColumnRenamed("gene", end), ["net_id", end], "left_anti")
-        live = materialize(live.select("net_id", "target", "source", "weight"), "live")
-        total = total.unionByName(p)
         visited = materialize(visited.unionByName(p.select("net_id", "gene")).distinct(), "visited")
-    sums = total.groupBy("net_id", "gene", "cell").agg(F.sum("value").alias("p"))
-    left = x.select("net_id", "gene", "cell", "value").join(sums, ["net_id", "gene", "cell"], "full")
+        closed = visited.groupBy("net_id").count().filter(F.col("count") >= n_genes).select("net_id")
+        live = materialize(live.join(F.broadcast(closed), "net_id", "left_anti").select("net_id", "target", "source", "weight"), "live")
+    return total.groupBy("net_id", "gene", "cell").agg(F.sum("value").alias("value"))
+
+
+def propagate_knockout(edges: DataFrame, x: DataFrame, ko_genes: list[str], degree: int, genes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Counts of each network after ``knockout_perturbation``: max(x - perturbation, 0), zeros absent.
+
+    Every network has counts of its own, so that the result is as large as ``x`` times the networks; ``cells``
+    (cell) restricts it to the cells that are needed, while the knockout spreads over all.
+    """
+    taken = knockout_perturbation(edges, x, ko_genes, degree, genes).withColumnRenamed("value", "p")
+    ids = edges.select("net_id").distinct()
+    if cells is not None:
+        x, taken = (df.join(cells, "cell", "left_semi") for df in (x, taken))
+    before = x.join(F.broadcast(ids)).select("net_id", "gene", "cell", "value")
+    left = before.join(taken, ["net_id", "gene", "cell"], "full")
     return left.select("net_id", "gene", "cell", F.greatest(F.coalesce("value", F.lit(0.0)) - F.coalesce("p", F.lit(0.0)), F.lit(0.0)).alias("value")).filter("value > 0")

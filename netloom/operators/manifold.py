@@ -12,16 +12,16 @@ from .edges import align_networks
 DENSE_GENES = 3_000
 
 
-def laplacian_degrees(x: DataFrame, y: DataFrame, n: int) -> DataFrame:
-    """``side``, ``gene``, ``degree`` and the cross weight ``c`` of the joint Laplacian of two networks.
+def laplacian_degrees(x: DataFrame, y: DataFrame, genes: DataFrame) -> DataFrame:
+    """``side``, ``gene``, ``degree`` and the cross weight ``c`` of the joint Laplacian of two networks on ``genes`` (gene).
 
     Every entry of both networks counts one more than its weight, absent ones too; that part is a number of
     genes and never a table. c = 0.9 (sum of X + sum of Y) / 2n, diagonals included; a degree is the column
     sum without the diagonal, plus c. Genes without an edge into them have the smallest degree.
     """
+    n = genes.count()
     sums = lambda e: e.agg(F.coalesce(F.sum("weight"), F.lit(0.0)) + float(n) * n)
-    c = 0.9 * (sums(x).first()[0] + sums(y).first()[0]) / (2 * n)
-    genes = x.select(F.col("target").alias("gene")).union(x.select("source")).union(y.select("target")).union(y.select("source")).distinct()
+    c = 0.9 * (sums(x).first()[0] + sums(y).first()[0]) / (2 * n) if n else 0.0
 
     def side(e: DataFrame, name: str) -> DataFrame:
         columns = e.filter("target <> source").groupBy(F.col("source").alias("gene")).agg(F.sum("weight").alias("s"))
@@ -30,26 +30,27 @@ def laplacian_degrees(x: DataFrame, y: DataFrame, n: int) -> DataFrame:
     return side(x, "X").unionByName(side(y, "Y"))
 
 
-def manifold_alignment(x: DataFrame, y: DataFrame, d: int = 30, tol: float = 1e-8) -> DataFrame:
+def manifold_alignment(x: DataFrame, y: DataFrame, d: int = 30, tol: float = 1e-8, x_genes: DataFrame | None = None, y_genes: DataFrame | None = None) -> DataFrame:
     """``side``, ``gene``, ``coords`` (and ``coords_im``): the eigenvectors of the d smallest eigenvalues of the
-    joint Laplacian that reach ``tol``, by real part.
+    joint Laplacian that reach ``tol``, by real part. Every gene that both axes share has a row on each side.
 
-    The edges between shared genes come to the driver, at most 2 DENSE_GENES^2 numbers; more genes raise.
+    ``x_genes`` and ``y_genes`` are the gene axes (see ``align_networks``). The edges between shared genes come to
+    the driver, at most 2 DENSE_GENES^2 numbers; more genes raise.
     """
     spark = x.sparkSession
-    x, y = align_networks(x, y)
-    genes = sorted({r[0] for e in (x, y) for r in e.select("target").union(e.select("source")).distinct().collect()})
+    x, y, shared = align_networks(x, y, x_genes, y_genes)
+    genes = sorted(r[0] for r in shared.limit(DENSE_GENES + 1).collect())
     n = len(genes)
     if n > DENSE_GENES:
-        raise ValueError(f"{n} shared genes; at most {DENSE_GENES} can be aligned")
+        raise ValueError(f"at most {DENSE_GENES} shared genes can be aligned")
     if not n:
         return spark.createDataFrame([], "side string, gene string, coords array<double>, coords_im array<double>")
     place = {g: i for i, g in enumerate(genes)}
 
     def dense(e: DataFrame) -> np.ndarray:
         out = np.zeros((n, n))
-        for t, s, w in e.select("target", "source", "weight").collect():
-            out[place[t], place[s]] = w
+        rows = e.select("target", "source", "weight").toPandas()
+        out[rows["target"].map(place).to_numpy(int), rows["source"].map(place).to_numpy(int)] = rows["weight"]
         return out
 
     a, b = dense(x) + 1, dense(y) + 1

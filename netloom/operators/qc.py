@@ -6,11 +6,13 @@ unless given, which matters where a cell has no entry at all. Values must not be
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 MITO = "^MT-"
 #: Above so many cells the mean of a gene is tested, else its sum.
 MANY_CELLS = 500
@@ -25,6 +27,9 @@ class QcParams:
     min_exp_avg: float = 0
     min_exp_sum: float = 0
 
+    def with_(self, **changes) -> QcParams:
+        return replace(self, **changes)
+
 
 def is_mito(gene: Column) -> Column:
     return F.upper(gene).rlike(MITO)
@@ -94,29 +99,45 @@ def filter_gene_expression(totals: DataFrame, min_exp_avg: float, min_exp_sum: f
     return totals.filter(F.when(F.col("n_cells") > MANY_CELLS, mean >= min_exp_avg).otherwise(F.col("sum") >= min_exp_sum))
 
 
-def _kept(entries: DataFrame, params: QcParams, cells: DataFrame | None, genes: DataFrame | None):
-    """The tables after each step, in order, by name."""
-    entries = clamp_negative(collapse_duplicate_genes(entries))
-    steps = {"cells": cell_totals(entries, cells)}
+def _steps(entries: DataFrame, params: QcParams, cells: DataFrame | None, genes: DataFrame | None) -> dict[str, DataFrame]:
+    """The cells after each step, in order, by name. ``entries`` are collapsed and clamped."""
+    steps = {"cells": materialize(cell_totals(entries, cells), "totals")}
     steps["lib_size"] = filter_lib_size(steps["cells"], params.min_lib_size)
     steps["outlier"] = filter_outlier_cells(steps["lib_size"]) if params.remove_outlier_cells else steps["lib_size"]
     steps["mito"] = filter_mito_ratio(steps["outlier"], entries if genes is None else genes, params.max_mito_ratio)
-    steps["genes"] = gene_totals(entries, steps["mito"])
+    return steps
+
+
+def _gene_steps(entries: DataFrame, kept_cells: DataFrame, params: QcParams) -> dict[str, DataFrame]:
+    """The genes after each step, over the kept cells."""
+    steps = {"genes": materialize(gene_totals(entries, kept_cells), "genes")}
     steps["detection"] = filter_gene_detection(steps["genes"], params.min_percent)
     steps["expression"] = filter_gene_expression(steps["detection"], params.min_exp_avg, params.min_exp_sum)
-    return entries, steps
+    return steps
+
+
+def qc_tables(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries of the cells and genes that pass all steps, and those cells (``label``, ``cell``), some of which may
+    have no entry left.
+    """
+    entries = materialize(clamp_negative(collapse_duplicate_genes(entries)), "entries")  # read three times below
+    steps = _steps(entries, params, cells, genes)
+    kept_cells = materialize(steps["mito"].select("label", "cell"), "cells")
+    steps = _gene_steps(entries, kept_cells, params)
+    kept = entries.join(kept_cells, ["label", "cell"], "left_semi").join(steps["expression"].select("label", "gene"), ["label", "gene"], "left_semi")
+    return kept.select("label", "gene", "cell", "value"), kept_cells
 
 
 def sc_qc(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
     """Entries of the cells and genes that pass all steps, in the order of the steps above."""
-    entries, steps = _kept(entries, params, cells, genes)
-    kept = entries.join(steps["mito"].select("label", "cell"), ["label", "cell"], "left_semi")
-    return kept.join(steps["expression"].select("label", "gene"), ["label", "gene"], "left_semi").select("label", "gene", "cell", "value")
+    return qc_tables(entries, params, cells, genes)[0]
 
 
 def qc_report(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
     """How many cells or genes each step removes: ``label``, ``step``, ``removed``."""
-    _, steps = _kept(entries, params, cells, genes)
+    entries = materialize(clamp_negative(collapse_duplicate_genes(entries)), "entries")
+    steps = _steps(entries, params, cells, genes)
+    steps |= _gene_steps(entries, steps["mito"].select("label", "cell"), params)
     names = [("cells", "lib_size"), ("lib_size", "outlier"), ("outlier", "mito"), ("genes", "detection"), ("detection", "expression")]
     rows = None
     for before, after in names:

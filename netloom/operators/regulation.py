@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import boxcox_lambda, chi2_sf
+from ..storage import materialize
 
 
 def check_pairs(manifold: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def boxcox(distances: DataFrame, lmbda: float | None = None) -> DataFrame:
     The exponent is the one of largest likelihood unless given.
     """
     if lmbda is None:
+        distances = materialize(distances, "distances")  # read once a round of the search
         positive = distances.filter("distance > 0")
         lmbda = boxcox_lambda(positive)
     t = F.ln("distance") if lmbda == 0 else (F.pow("distance", F.lit(lmbda)) - 1) / lmbda

@@ -14,9 +14,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 MODES = ("target", "source", "net_id")
 
 
+def stack_networks(edges: DataFrame) -> DataFrame:
+    """The stack as the model sees it: one row for each network with its ``edges``, ``targets`` and ``total`` weight."""
+    return edges.groupBy("net_id").agg(F.count("*").alias("edges"), F.count_distinct("target").alias("targets"), F.sum("weight").alias("total"))
+
+
 @dataclass
 class CpModel:
     """``names[mode]``: its members in order; ``factors[mode]``: one row of K for each; ``errors`` by sweep."""
@@ -41,6 +48,7 @@ def mttkrp(edges: DataFrame, mode: str, names: dict[str, list], factors: dict[st
 
 def cp_als(edges: DataFrame, rank: int = 5, tol: float = 1e-6, max_iter: int = 1000, seed: int = 42) -> CpModel:
     """Alternating least squares until the relative error changes by less than ``tol``."""
+    edges = materialize(edges, "stack")  # read once a mode and sweep
     names = {m: sorted(r[0] for r in edges.select(m).distinct().collect()) for m in MODES}
     rng = np.random.default_rng(seed)
     factors = {m: rng.random((len(names[m]), rank)) for m in MODES}

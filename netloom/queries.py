@@ -22,6 +22,8 @@ from .storage import materialize, shared_dir
 
 ONE = qc.QcParams(min_lib_size=500, min_percent=0.2)
 TWO = qc.QcParams(min_lib_size=150, min_percent=0.1)
+#: Each sweep of the denoising costs three jobs: the registered queries stop it at this change of the error (default 1e-6).
+TD = {"tol": 1e-3}
 
 _GENE = "CASE WHEN p_brand = 'Brand#1' THEN 'mt-' ELSE '' END || replace(p_brand, 'Brand#', 'B') || '_' || p_type"
 _COUNTS = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
@@ -55,17 +57,24 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _gene_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    entries = st.one_sample(spark, sf_dir)
+    entries = materialize(st.one_sample(spark, sf_dir), "entries")
     return entries, [r[0] for r in entries.select("gene").distinct().orderBy("gene").collect()]
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    entries = materialize(st.one_sample(spark, sf_dir), "entries")
+    return entries, entries.select("gene").distinct().count()
+
+
 def _u_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, genes = _gene_list(spark, sf_dir)
     return _round(scoring.u_score(entries, genes, genes[:12] + ["unknown"], genes[10:15], max_rank=40), "score")
 
 
-def _sizes(edges: DataFrame) -> DataFrame:
-    return edges.select("net_id").distinct().withColumn("n_genes", F.lit(25))
+def _sizes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    """The order of every network is the number of nations."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.count_distinct("n_name").cast("int").alias("n_genes"))
+    return edges.select("net_id").distinct().join(F.broadcast(n))
 
 
 def _factors(edges: DataFrame) -> tuple[dict, dict]:
@@ -91,26 +100,53 @@ def _cp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor.average_network(tensor.cp_als(edges, rank=3, max_iter=8), edges).select("target", "source", "weight")
 
 
-def _latest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two networks to align: those of two years."""
-    nets = st.trade_networks(spark, sf_dir)
-    return nets.filter("net_id = 1996"), nets.filter("net_id = 1997")
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Two networks to align, of two years' strong trade, and their gene axes: nations, and regions, which have no edge;
+    the second lacks one region.
+    """
+    nets = st.trade_networks(spark, sf_dir).filter("abs(weight) > 20")
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    nations, regions = read("nation").select(F.col("n_name").alias("gene")), read("region")
+    axis = lambda where: nations.union(regions.filter(where).select("r_name")).distinct()
+    return nets.filter("net_id = 1996"), nets.filter("net_id = 1997"), axis("true"), axis("r_regionkey > 0")
+
+
+_PAIR = """a AS (SELECT * FROM n WHERE net_id = 1996 AND abs(weight) > 20), b AS (SELECT * FROM n WHERE net_id = 1997 AND abs(weight) > 20),
+g AS ((SELECT n_name AS gene FROM nation UNION SELECT r_name FROM region) INTERSECT (SELECT n_name FROM nation UNION SELECT r_name FROM region WHERE r_regionkey > 0)),
+x AS (SELECT a.* FROM a WHERE target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g)), y AS (SELECT b.* FROM b WHERE target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g))"""
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared gene with the edges of both networks into and out of it."""
+    x, y, genes = ed.align_networks(*_pair(spark, sf_dir))
+    ends = lambda e, end, name: e.groupBy(F.col(end).alias("gene")).agg(F.count("*").alias(name))
+    for e, end, name in ((x, "source", "x_out"), (x, "target", "x_in"), (y, "source", "y_out"), (y, "target", "y_in")):
+        genes = genes.join(ends(e, end, name), "gene", "left")
+    return genes.fillna(0)
 
 
 def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(mf.laplacian_degrees(*ed.align_networks(*_latest(spark, sf_dir)), 25), "degree", "c")
+    return _round(mf.laplacian_degrees(*ed.align_networks(*_pair(spark, sf_dir))), "degree", "c")
 
 
 def _manifold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mf.manifold_alignment(*(ed.scale_edges(e) for e in _latest(spark, sf_dir)), d=3)
+    x, y, a, b = _pair(spark, sf_dir)
+    return mf.manifold_alignment(ed.scale_edges(x), ed.scale_edges(y), d=3, x_genes=a, y_genes=b)
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of nations on their customers: those of odd years keep strong trade alone, so that a knockout reaches all
+    nations of some networks in one step and not of others.
+    """
+    nets = st.trade_networks(spark, sf_dir).filter("net_id % 2 = 0 OR abs(weight) > 40")
+    return ed.zero_diagonal(ed.scale_edges(nets))
 
 
 def _propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks of nations on their orders: gene = nation, cell = part kind."""
-    nets = ed.zero_diagonal(ed.scale_edges(st.trade_networks(spark, sf_dir)))
+    """Gene = nation, cell = market segment; the first two nations are knocked out together."""
     x = _nation_counts(spark, sf_dir)
-    ids = nets.select("net_id").distinct()
-    return _round(ed.propagate_knockout(nets, x.join(F.broadcast(ids)), _first_nation(x), 2), "value")
+    genes = [r[0] for r in x.select("gene").distinct().orderBy("gene").limit(2).collect()]
+    return _round(ed.propagate_knockout(_spread(spark, sf_dir), x, genes, 2), "value")
 
 
 def _nation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,29 +169,35 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = st.one_sample(spark, sf_dir)
-    draws = spark.createDataFrame([(i % 3, i, str((i * 37) % 140 + 1)) for i in range(60)], "net_id int, draw_id int, cell string")
+    """Three networks, each drawing about a third of all cells by a remainder, and the cells of the third of every hundred twice."""
+    entries = materialize(st.one_sample(spark, sf_dir), "entries")
+    cells = entries.select("cell").distinct().withColumn("c", F.col("cell").cast("long"))
+    twice = F.expr("CASE WHEN c % 100 = 3 THEN array(c, -c) ELSE array(c) END")
+    draws = cells.select((F.col("c") * 7 % 3).cast("int").alias("net_id"), F.explode(twice).alias("draw_id"), "cell").withColumn("draw_id", F.col("draw_id").cast("int"))
     return ed.draw_cells(entries, draws)
 
 
+_DRAWN = "w AS (SELECT CAST(c * 7 % 3 AS INTEGER) AS net_id, CAST(unnest(CASE WHEN c % 100 = 3 THEN [c, -c] ELSE [c] END) AS INTEGER) AS draw_id, CAST(c AS VARCHAR) AS cell FROM (SELECT DISTINCT CAST(cell AS BIGINT) AS c FROM e))"
+
+
 def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, genes = _gene_list(spark, sf_dir)
     return _round(scoring.binned_control_score(entries, genes[:10], n_bins=5, n_ctrl=1000), "score")
 
 
 def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = qc.sc_qc(st.one_sample(spark, sf_dir), ONE)
-    return pcnet.make_networks(kept, n_nets=3, n_samp_cells=100, q=0.9)
+    kept, cells = qc.qc_tables(st.one_sample(spark, sf_dir), ONE)
+    return pcnet.make_networks(kept, q=0.9, cells=cells)
 
 
 def _job_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workloads.net(st.two_samples(spark, sf_dir), TWO, nc={"n_nets": 3, "n_samp_cells": 100}, td={"max_iter": 8, "rank": 3}, ma={"d": 3})
+    return workloads.net(st.two_samples(spark, sf_dir), TWO, td=TD)
 
 
-def _job_knk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = st.one_sample(spark, sf_dir)
-    gene = qc.sc_qc(entries, ONE).agg(F.min("gene")).first()[0]
-    return workloads.knk(entries, [gene], qc=ONE, nc={"n_nets": 3, "n_samp_cells": 100, "q": 0.5}, td={"max_iter": 8, "rank": 3, "decimals": 2}, dr={"n_ko_genes": 1})
+def _job_knk(spark: SparkSession, sf_dir: str, method: str = "default") -> DataFrame:
+    entries = materialize(st.one_sample(spark, sf_dir), "entries")
+    genes = [r[0] for r in qc.sc_qc(entries, ONE).select("gene").distinct().orderBy("gene").limit(2).collect()]
+    return workloads.knk(entries, genes, method, qc=ONE, nc={"q": 0.5}, td={**TD, "decimals": 2}, dr={"n_ko_genes": len(genes)})
 
 
 def _auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,8 +302,8 @@ SELECT 'all' AS label, cell, round(CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(CA
     "log_normalize": (lambda s, d: _round(nm.log_normalize(st.one_sample(s, d)), "value"), f"WITH {_ONE} SELECT label, gene, cell, round(ln(1 + value / sum(value) OVER (PARTITION BY cell) * 1e4), 6) AS value FROM e"),
     "zscore_genes": (lambda s, d: _round(nm.zscore_genes(st.dense_sample(s, d)), "value"), f"WITH {_DENSE} SELECT label, gene, cell, round((value - avg(value) OVER g) / stddev_pop(value) OVER g, 6) AS value FROM e WINDOW g AS (PARTITION BY gene)"),
     "shared_genes": (lambda s, d: ed.shared_genes(st.two_samples(s, d)), f"WITH {_TWO} SELECT label, gene, cell, value FROM e WHERE gene IN (SELECT gene FROM e WHERE label = 'X' INTERSECT SELECT gene FROM e WHERE label = 'Y')"),
-    "draw_cells": (_draws, f"WITH {_ONE}, w AS (SELECT CAST(i % 3 AS INTEGER) AS net_id, CAST(i AS INTEGER) AS draw_id, CAST((i * 37) % 140 + 1 AS VARCHAR) AS cell FROM range(60) AS g(i)) SELECT net_id, draw_id, gene, cell, value FROM e JOIN w USING (cell)"),
-    "expressed_genes": (lambda s, d: ed.expressed_genes(_draws(s, d)), f"WITH {_ONE}, w AS (SELECT CAST(i % 3 AS INTEGER) AS net_id, CAST((i * 37) % 140 + 1 AS VARCHAR) AS cell FROM range(60) AS g(i)) SELECT net_id, gene, sum(value) AS total FROM e JOIN w USING (cell) GROUP BY 1, 2 HAVING sum(value) > 0"),
+    "draw_cells": (_draws, f"WITH {_ONE}, {_DRAWN} SELECT net_id, draw_id, gene, cell, value FROM e JOIN w USING (cell)"),
+    "expressed_genes": (lambda s, d: ed.expressed_genes(_draws(s, d)), f"WITH {_ONE}, {_DRAWN} SELECT net_id, gene, sum(value) AS total FROM e JOIN w USING (cell) GROUP BY 1, 2 HAVING sum(value) > 0"),
     "gene_gram": (
         lambda s, d: _round(pcnet.gene_correlation(st.dense_sample(s, d), s.read.parquet(f"{d}/embeddings.parquet").count()), "r"),
         f"WITH {_DENSE} SELECT a.gene AS g1, b.gene AS g2, round(corr(a.value, b.value), 6) AS r FROM e a JOIN e b ON a.cell = b.cell AND a.gene <= b.gene GROUP BY 1, 2",
@@ -269,11 +311,11 @@ SELECT 'all' AS label, cell, round(CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(CA
     "symmetrize": (lambda s, d: ed.symmetrize(st.trade_networks(s, d)), f"WITH {_NETS} SELECT * FROM (SELECT net_id, target, source, sum(weight) / 2 AS weight FROM (SELECT * FROM n UNION ALL SELECT net_id, source, target, weight FROM n) GROUP BY 1, 2, 3) WHERE weight <> 0"),
     "scale_edges": (lambda s, d: _round(ed.scale_edges(st.trade_networks(s, d)), "weight"), f"WITH {_NETS} SELECT net_id, target, source, round(weight / max(abs(weight)) OVER (PARTITION BY net_id), 6) AS weight FROM n"),
     "quantile_threshold": (
-        lambda s, d: ed.quantile_threshold(ed.zero_diagonal(st.trade_networks(s, d)), _sizes(st.trade_networks(s, d)), 0.9),
-        f"WITH {_NETS}, z AS (SELECT * FROM n WHERE target <> source), a AS (SELECT net_id, abs(weight) AS v FROM z UNION ALL SELECT net_id, 0.0 FROM (SELECT net_id, 625 - count(*) AS k FROM z GROUP BY 1), range(625) AS g(i) WHERE i < k), c AS (SELECT net_id, quantile_cont(v, 0.9) AS cut FROM a GROUP BY 1) SELECT net_id, target, source, weight FROM z JOIN c USING (net_id) WHERE abs(weight) >= cut",
+        lambda s, d: ed.quantile_threshold(ed.zero_diagonal(st.trade_networks(s, d)), _sizes(s, d, st.trade_networks(s, d)), 0.9),
+        f"WITH {_NETS}, z AS (SELECT * FROM n WHERE target <> source), a AS (SELECT net_id, abs(weight) AS v FROM z UNION ALL SELECT net_id, 0.0 FROM (SELECT net_id, (SELECT count(DISTINCT n_name) ** 2 FROM nation) - count(*) AS k FROM z GROUP BY 1), range((SELECT CAST(count(DISTINCT n_name) ** 2 AS BIGINT) FROM nation)) AS g(i) WHERE i < k), c AS (SELECT net_id, quantile_cont(v, 0.9) AS cut FROM a GROUP BY 1) SELECT net_id, target, source, weight FROM z JOIN c USING (net_id) WHERE abs(weight) >= cut",
     ),
     "stack_networks": (
-        lambda s, d: st.trade_networks(s, d).groupBy("net_id").agg(F.count("*").alias("edges"), F.count_distinct("target").alias("targets"), F.sum("weight").alias("total")),
+        lambda s, d: tensor.stack_networks(st.trade_networks(s, d)),
         f"WITH {_NETS} SELECT net_id, count(*) AS edges, count(DISTINCT target) AS targets, sum(weight) AS total FROM n GROUP BY 1",
     ),
     "cp_mttkrp": (
@@ -294,29 +336,28 @@ SELECT 'all' AS label, cell, round(CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(CA
     "knockout_rows": (lambda s, d: ed.knockout_rows(st.trade_networks(s, d), [_first_nation(_nation_counts(s, d))]), f"WITH {_NETS} SELECT * FROM n WHERE target <> (SELECT min(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey)"),
     "ko_propagation": (
         _propagation,
-        f"""WITH {_NETS}, b AS (SELECT net_id, target, source, weight / max(abs(weight)) OVER (PARTITION BY net_id) AS weight FROM n), b0 AS (SELECT * FROM b WHERE target <> source),
-x AS (SELECT net_id, n_name AS gene, c_mktsegment AS cell, CAST(count(*) AS DOUBLE) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT DISTINCT net_id FROM n) GROUP BY 1, 2, 3),
-p0 AS (SELECT * FROM x WHERE gene = (SELECT min(gene) FROM x)),
+        f"""WITH {_NETS}, b AS (SELECT net_id, target, source, weight / max(abs(weight)) OVER (PARTITION BY net_id) AS weight FROM n WHERE net_id % 2 = 0 OR abs(weight) > 40), b0 AS (SELECT * FROM b WHERE target <> source),
+x AS (SELECT net_id, n_name AS gene, c_mktsegment AS cell, CAST(count(*) AS DOUBLE) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT DISTINCT net_id FROM b0) GROUP BY 1, 2, 3),
+p0 AS (SELECT * FROM x WHERE gene IN (SELECT DISTINCT gene FROM x ORDER BY 1 LIMIT 2)),
 p1 AS (SELECT b0.net_id, target AS gene, cell, sum(weight * value) AS value FROM b0 JOIN p0 ON b0.net_id = p0.net_id AND source = gene GROUP BY 1, 2, 3),
 v1 AS (SELECT DISTINCT net_id, gene FROM p1 WHERE value <> 0),
 open1 AS (SELECT DISTINCT x.net_id FROM x ANTI JOIN v1 USING (net_id, gene)),
-p2 AS (SELECT b0.net_id, target AS gene, cell, sum(weight * value) AS value FROM b0 JOIN p1 ON b0.net_id = p1.net_id AND source = gene WHERE EXISTS (SELECT 1 FROM open1) GROUP BY 1, 2, 3),
+p2 AS (SELECT b0.net_id, target AS gene, cell, sum(weight * value) AS value FROM b0 JOIN p1 ON b0.net_id = p1.net_id AND source = gene JOIN open1 ON b0.net_id = open1.net_id GROUP BY 1, 2, 3),
 p AS (SELECT net_id, gene, cell, sum(value) AS p FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY 1, 2, 3)
 SELECT net_id, gene, cell, round(v, 6) AS value FROM (SELECT coalesce(x.net_id, p.net_id) AS net_id, coalesce(x.gene, p.gene) AS gene, coalesce(x.cell, p.cell) AS cell, greatest(coalesce(value, 0) - coalesce(p, 0), 0) AS v FROM x FULL JOIN p USING (net_id, gene, cell)) WHERE v > 0""",
     ),
     "joint_laplacian": (
         _degrees,
-        f"""WITH {_NETS}, a AS (SELECT * FROM n WHERE net_id = 1996), b AS (SELECT * FROM n WHERE net_id = 1997),
-g AS ((SELECT target AS gene FROM a UNION SELECT source FROM a) INTERSECT (SELECT target FROM b UNION SELECT source FROM b)),
-x AS (SELECT a.* FROM a WHERE target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g)), y AS (SELECT b.* FROM b WHERE target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g)),
-c AS (SELECT 0.9 * ((SELECT coalesce(sum(weight), 0) FROM x) + (SELECT coalesce(sum(weight), 0) FROM y) + 1250) / 50 AS c)
-SELECT side, gene, round(coalesce(s, 0) + 24 + c, 6) AS degree, round(c, 6) AS c FROM (
+        f"""WITH {_NETS}, {_PAIR}, k AS (SELECT count(*) AS n FROM g),
+c AS (SELECT n, 0.9 * ((SELECT coalesce(sum(weight), 0) FROM x) + (SELECT coalesce(sum(weight), 0) FROM y) + 2 * n * n) / (2 * n) AS c FROM k)
+SELECT side, gene, round(coalesce(s, 0) + n - 1 + c, 6) AS degree, round(c, 6) AS c FROM (
   SELECT 'X' AS side, g.gene, s FROM g LEFT JOIN (SELECT source AS gene, sum(weight) AS s FROM x WHERE target <> source GROUP BY 1) q ON g.gene = q.gene
   UNION ALL SELECT 'Y', g.gene, s FROM g LEFT JOIN (SELECT source AS gene, sum(weight) AS s FROM y WHERE target <> source GROUP BY 1) q ON g.gene = q.gene), c""",
     ),
     "align_networks": (
-        lambda s, d: ed.align_networks(*_latest(s, d))[0],
-        f"WITH {_NETS}, g AS ((SELECT target AS gene FROM n WHERE net_id = 1996 UNION SELECT source FROM n WHERE net_id = 1996) INTERSECT (SELECT target FROM n WHERE net_id = 1997 UNION SELECT source FROM n WHERE net_id = 1997)) SELECT * FROM n WHERE net_id = 1996 AND target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g)",
+        _aligned,
+        f"""WITH {_NETS}, {_PAIR} SELECT gene, (SELECT count(*) FROM x WHERE source = gene) AS x_out, (SELECT count(*) FROM x WHERE target = gene) AS x_in,
+(SELECT count(*) FROM y WHERE source = gene) AS y_out, (SELECT count(*) FROM y WHERE target = gene) AS y_in FROM g""",
     ),
     "manifold_alignment": (_manifold, None),
     "check_pairs": (lambda s, d: rg.check_pairs(st.paired_coordinates(s, d)), f"WITH {_PAIRS} SELECT gene, min(side) AS side FROM m GROUP BY 1 HAVING count(DISTINCT side) < 2"),
@@ -333,13 +374,13 @@ SELECT side, gene, round(coalesce(s, 0) + 24 + c, 6) AS degree, round(c, 6) AS c
     ),
     "fdr_adjust": (_fdr, "SELECT l_orderkey, l_linenumber, l_tax AS p_value, round(least(l_tax * count(*) OVER () / (rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2), 1), 6) AS adjusted FROM lineitem"),
     "sort_regulation": (
-        lambda s, d: rg.sort_regulation(_round(_distances(s, d), "distance").withColumnRenamed("gene", "Gene"), "distance", False).limit(50),
-        f"WITH {_PAIRS} SELECT a.gene AS Gene, round(list_distance(a.coords, b.coords), 6) AS distance FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y' ORDER BY 2 DESC, 1 LIMIT 50",
+        lambda s, d: rg.sort_regulation(_round(_distances(s, d), "distance").withColumnRenamed("gene", "Gene"), "distance", False),
+        f"WITH {_PAIRS} SELECT a.gene AS Gene, round(list_distance(a.coords, b.coords), 6) AS distance FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y' ORDER BY 2 DESC, 1",
     ),
     "d_regulation": (lambda s, d: rg.d_regulation(st.paired_coordinates(s, d)), None),
     "rank_genes_per_cell": (
-        lambda s, d: scoring.rank_genes_per_cell(st.one_sample(s, d), 150).select("cell", "gene", "rank", "zero_rank"),
-        f"WITH {_ONE} SELECT cell, gene, rank() OVER (PARTITION BY cell ORDER BY value DESC) + (count(*) OVER (PARTITION BY cell, value) - 1) / 2 AS rank, count(*) OVER (PARTITION BY cell) + (150 - count(*) OVER (PARTITION BY cell) + 1) / 2 AS zero_rank FROM e",
+        lambda s, d: scoring.rank_genes_per_cell(*_counted(s, d)).select("cell", "gene", "rank", "zero_rank"),
+        f"WITH {_ONE} SELECT cell, gene, rank() OVER (PARTITION BY cell ORDER BY value DESC) + (count(*) OVER (PARTITION BY cell, value) - 1) / 2 AS rank, count(*) OVER (PARTITION BY cell) + ((SELECT count(DISTINCT gene) FROM e) - count(*) OVER (PARTITION BY cell) + 1) / 2 AS zero_rank FROM e",
     ),
     "u_score": (
         _u_query,
@@ -385,6 +426,7 @@ SELECT 'all' AS label, c.cell, round(avg(coalesce(e.value, 0) - coalesce(x.ctrl,
     "qq_table": (_qq, f"WITH {_PAIRS}, t AS (SELECT gene, d * d / avg(d * d) OVER () AS fc FROM (SELECT a.gene, list_distance(a.coords, b.coords) AS d FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y')) SELECT gene AS Gene, CAST(row_number() OVER (ORDER BY fc, gene) AS INTEGER) AS i, round(fc, 6) AS observed FROM t"),
     "job_net": (_job_net, None),
     "job_knk": (_job_knk, None),
+    "job_knk_propagation": (lambda s, d: _job_knk(s, d, "propagation"), None),
 }
 
 

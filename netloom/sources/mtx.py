@@ -84,7 +84,8 @@ def read_folder(spark: SparkSession, folder: str, label: str = "all", matrix: st
     return (read_mtx_dense if dense else read_mtx_sparse)(spark, files[matrix], files[genes], files[barcodes], label)
 
 
-STEP_KEYS = {"qc": ["label"], "nc": ["label", "net_id"], "td": ["label"], "ma": [], "dr": []}
+#: Steps of a run and the columns their tables are partitioned by. Cells and genes belong to quality control.
+STEP_KEYS = {"qc": ["label"], "cells": ["label"], "genes": [], "nc": ["label", "net_id"], "td": ["label"], "ko": ["label"], "ma": [], "dr": []}
 
 
 def write_step(df: DataFrame, folder: str, step: str, keywords: dict | None = None) -> None:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -39,6 +40,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
+    """``df`` with the place of each row in the order of ``by``, from 0; no single task sees all rows.
+
+    Parts of a range partitioning are numbered on their own; the rows of the parts before are added, of which
+    the driver holds one number a part.
+    """
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    parts = materialize(parts, "numbered")
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes, first, rows = sorted(map(tuple, parts.groupBy(part.alias("part")).count().collect())), 0, []
+    for number, size in sizes:
+        rows.append((number, first))
+        first += size
+    offsets = df.sparkSession.createDataFrame(rows, "__part long, __first long")
+    joined = parts.join(F.broadcast(offsets), part == F.col("__part"))
+    return joined.withColumn(name, F.col("__first") + at).drop("__id", "__part", "__first")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a ``materialize`` result that nothing reads any more."""
     spark = df.sparkSession

@@ -89,7 +89,35 @@ def test_cp_als_recovers_low_rank(spark):
     assert max(abs(mean[f"g{i}", f"g{j}"] - cube[i, j].mean()) for i in range(6) for j in range(5)) < 0.1
 
 
-def test_manifold_residual_and_equal_networks(spark):
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_manifold_residual(spark, symmetric):
+    """Eigenvectors of the joint Laplacian built densely, for networks with isolated genes, symmetric or not."""
+    rng = np.random.default_rng(3)
+    n, nets = 9, []
+    for _ in range(2):
+        w = np.round(rng.normal(0, 0.5, (n, n)) * (rng.random((n, n)) < 0.3), 2)
+        w[[2, 7]] = 0
+        w[:, [2, 7]] = 0
+        nets.append((w + w.T) / 2 if symmetric else w)
+    frames = [spark.createDataFrame([(0, f"g{i}", f"g{j}", float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "net_id int, target string, source string, weight double") for w in nets]
+    axis = spark.createDataFrame([(f"g{i}",) for i in range(n)], "gene string")
+    rows = {(r.side, r.gene): r for r in mf.manifold_alignment(*frames, d=3, x_genes=axis, y_genes=axis).collect()}
+    assert len(rows) == 2 * n
+    a, b = nets[0] + 1, nets[1] + 1
+    cross = np.eye(n) * 0.9 * (a.sum() + b.sum()) / (2 * n)
+    lap = -np.block([[a, cross], [cross, b]])
+    np.fill_diagonal(lap, 0)
+    np.fill_diagonal(lap, -lap.sum(axis=0))
+    values = np.linalg.eigvals(lap)
+    values = sorted((v for v in values if v.real >= 1e-8), key=lambda v: v.real)[:3]
+    v = np.array([[complex(*z) for z in zip(rows[s, f"g{i}"].coords, rows[s, f"g{i}"].coords_im)] for s in "XY" for i in range(n)])
+    for k, value in enumerate(values):
+        own = (v[:, k].conj() @ lap @ v[:, k]) / (v[:, k].conj() @ v[:, k])
+        assert abs(own.real - value.real) < 1e-8
+        np.testing.assert_allclose(lap @ v[:, k], own * v[:, k], atol=1e-7)
+
+
+def test_manifold_of_equal_networks(spark):
     rng = np.random.default_rng(5)
     w = rng.random((8, 8))
     w = np.round((w + w.T) / 2, 3)
@@ -102,28 +130,66 @@ def test_manifold_residual_and_equal_networks(spark):
         np.testing.assert_allclose(got["X", f"g{i}"], got["Y", f"g{i}"], atol=1e-6)
 
 
-def test_propagation_against_dense(spark):
-    rng = np.random.default_rng(8)
-    b = np.round(rng.normal(0, 1, (6, 6)) * (rng.random((6, 6)) < 0.4), 2)
-    np.fill_diagonal(b, 0)
-    x = rng.poisson(3, (6, 4)).astype(float)
-    rows = [(0, f"g{i}", f"g{j}", float(b[i, j])) for i in range(6) for j in range(6) if b[i, j]]
-    counts = [(0, f"g{i}", f"c{j}", float(x[i, j])) for i in range(6) for j in range(4)]
-    edges = spark.createDataFrame(rows, "net_id int, target string, source string, weight double")
-    cells = spark.createDataFrame(counts, "net_id int, gene string, cell string, value double")
+def spread(b, x, seeds, degree):
+    """A knockout that spreads in one network, on dense arrays."""
     live, p = b.copy(), np.zeros_like(x)
-    p[1] = x[1]
-    total, seen = p.copy(), np.zeros(6, bool)
-    for _ in range(3):
+    p[seeds] = x[seeds]
+    total, seen = p.copy(), np.zeros(len(x), bool)
+    for _ in range(degree):
         if seen.all():
             break
         p = live @ p
         total += p
         live[seen] = 0
         live[:, seen] = 0
-        seen |= (p != 0).any(axis=1)
-    want = np.maximum(x - total, 0)
-    got = np.zeros_like(x)
-    for r in ed.propagate_knockout(edges, cells, "g1", 3).collect():
-        got[int(r.gene[1:]), int(r.cell[1:])] = r.value
-    np.testing.assert_allclose(got, want, atol=1e-9)
+        seen = seen | (p != 0).any(axis=1)
+    return np.maximum(x - total, 0)
+
+
+@pytest.mark.parametrize("seeds", [[1], [0, 4]])
+def test_propagation_against_dense(spark, seeds):
+    """Three networks side by side: sparse, full (all genes reached at once) and without edges; one gene has no counts."""
+    rng = np.random.default_rng(8)
+    nets = [np.round(rng.normal(0, 1, (7, 7)) * (rng.random((7, 7)) < share), 2) for share in (0.35, 1.0, 0.0)]
+    nets[2][2, 5] = 1.0
+    x = rng.poisson(3, (7, 4)).astype(float)
+    x[6] = 0
+    rows = [(t, f"g{i}", f"g{j}", float(b[i, j])) for t, b in enumerate(nets) for i in range(7) for j in range(7) if i != j and b[i, j]]
+    edges = spark.createDataFrame(rows, "net_id int, target string, source string, weight double")
+    counts = spark.createDataFrame([(f"g{i}", f"c{j}", float(x[i, j])) for i in range(7) for j in range(4) if x[i, j]], "gene string, cell string, value double")
+    axis = spark.createDataFrame([(f"g{i}",) for i in range(7)], "gene string")
+    names = [f"g{i}" for i in seeds]
+    got = np.zeros((3, 7, 4))
+    for r in ed.propagate_knockout(edges, counts, names, 3, axis).collect():
+        got[r.net_id, int(r.gene[1:]), int(r.cell[1:])] = r.value
+    for t, b in enumerate(nets):
+        b = b.copy()
+        np.fill_diagonal(b, 0)
+        np.testing.assert_allclose(got[t], spread(b, x, seeds, 3), atol=1e-9)
+    some = ed.propagate_knockout(edges, counts, names, 3, axis, spark.createDataFrame([("c2",)], "cell string")).collect()
+    assert {r.cell for r in some} == {"c2"} and len(some) == (got[:, :, 2] > 0).sum()
+    with pytest.raises(KeyError):
+        ed.propagate_knockout(edges, counts, ["g1", "zz"], 1, axis)
+
+
+def test_numbered(spark):
+    from netloom.storage import numbered
+
+    rows = [(f"n{i:03d}",) for i in range(300)]
+    got = numbered(spark.createDataFrame(rows[::-1], "name string").repartition(7), "name", name="at").collect()
+    assert sorted((r["at"], r.name) for r in got) == [(i, f"n{i:03d}") for i in range(300)]
+    assert numbered(spark.createDataFrame([], "name string"), "name").collect() == []
+
+
+def test_quantile_against_numpy(spark):
+    """Many ties, values far apart, an empty network row: cuts equal numpy's on the dense matrix."""
+    rng = np.random.default_rng(12)
+    nets = [np.round(rng.normal(0, 1, (9, 9)), 1), rng.normal(0, 1, (9, 9)) * 10.0 ** rng.integers(-12, 4, (9, 9)), np.eye(9)]
+    rows = [(t, f"g{i}", f"g{j}", float(w[i, j])) for t, w in enumerate(nets) for i in range(9) for j in range(9) if w[i, j]]
+    edges = spark.createDataFrame(rows, "net_id int, target string, source string, weight double")
+    sizes = spark.createDataFrame([(t, 9) for t in range(3)], "net_id int, n_genes int")
+    for q in (0.0, 0.37, 0.9, 0.95, 1.0):
+        got = ed.quantile_threshold(edges, sizes, q).collect()
+        for t, w in enumerate(nets):
+            cut = np.quantile(np.abs(w), q)
+            assert sorted(r.weight for r in got if r.net_id == t) == sorted(w[(np.abs(w) >= cut) & (w != 0)].tolist())
