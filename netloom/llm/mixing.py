@@ -2,7 +2,9 @@
 
 The words of each source, document after document, are packed into blocks of fixed length. Output shards
 have a fixed number of slots; every slot draws its source at random in proportion to the blocks that the
-source's target needs, so that a shard's counts are multinomial. The slots of a source, counted through
+source's target needs, so that a shard's counts are multinomial. What a source draws in all would miss its target
+by chance; its counts are therefore scaled, through all shards, to the blocks that the target needs (by cumulative
+rounding, so that a shard changes by a slot or so for each of its sources, and totals are exact). The slots of a source, counted through
 all shards, walk through pseudorandom permutations of its block numbers, a new one for each pass: no block
 comes twice before all have come once. Slots and blocks then meet by (source, block number).
 
@@ -22,7 +24,7 @@ from .common import table
 #: Weights by the order of sources, passes over a source at most.
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 #: Words in a block, slots in an output shard, rounds of the permutation, cells of the source lookup.
-BLOCK_WORDS, SHARD_SLOTS, ROUNDS, CELLS = 32, 8192, 10, 1024
+BLOCK_WORDS, SHARD_SLOTS, ROUNDS, CELLS = 64, 4096, 10, 1024
 #: Slots that one task permutes, about.
 SLOTS_PER_TASK = 100_000
 #: Hex digits of md5(id) that make the first level of the order of documents in a source.
@@ -44,7 +46,7 @@ def count_words(text: Column) -> Column:
 
 def plan_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per source: ``sid`` (its place by code point, null last), ``source_size``, ``target`` and
-    what drawing needs: ``n_blocks`` and its share [``lo``, ``hi``) of all draws.
+    what drawing needs: ``n_blocks``, ``share`` (blocks to take) and its interval [``lo``, ``hi``) of all blocks taken.
 
     All sizes together are shared by weight; where a source would get more than ``most_passes`` times its
     size it gets that, and the rest is shared among the others, until none is above. Windows here run over
@@ -61,7 +63,7 @@ def plan_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_pass
     s = s.withColumns({"rest": F.col("total") - taken("cap"), "rest_weight": F.col("all_weight") - taken("weight")})
     s = s.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.try_divide("rest", "rest_weight") * F.col("weight")))
     s = s.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("bigint"))
-    share = F.when(F.col("source_size") > 0, F.floor(1000.0 * F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("bigint")
+    share = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("bigint")
     s = s.withColumn("share", share).withColumn("hi", F.sum("share").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
     return s.withColumn("lo", F.col("hi") - F.col("share")).select("source", "sid", "source_size", "target", "n_blocks", "share", "lo", "hi")
 
@@ -84,18 +86,21 @@ def _draws(sources: DataFrame, shard_slots: int, rounds: int, most_passes: int)
     spark = sources.sparkSession
     total = sources.agg(F.sum("share")).first()[0] or 0
     cells = sources.filter("share > 0").select("sid", "lo", "hi", F.explode(F.expr(f"sequence(lo * {CELLS} div {max(total, 1)}, (hi - 1) * {CELLS} div {max(total, 1)})")).alias("cell"))
-    slots = spark.range((total + 500) // 1000).select(F.expr(f"id div {shard_slots}").alias("shard"), (_draw("slot", F.col("id").cast("string")) % max(total, 1)).alias("r"))
+    slots = spark.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), (_draw("slot", F.col("id").cast("string")) % max(total, 1)).alias("r"))
     chosen = slots.withColumn("cell", F.expr(f"r * {CELLS} div {max(total, 1)}")).join(cells, "cell").filter("r >= lo AND r < hi")
     counts = chosen.groupBy("sid", "shard").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a source that draws nothing at all has its blocks in the first shard
+    counts = sources.filter("share > 0").select("sid", "share").join(counts, "sid", "left").fillna({"shard": 0, "n": 1})
+    of_source = Window.partitionBy("sid")
+    upto = F.sum("n").over(of_source.orderBy("shard"))
+    counts = counts.withColumns({"upto": upto, "drawn": F.sum("n").over(of_source)})
+    counts = counts.withColumn("offset", F.expr("share * (upto - n) div drawn")).withColumn("n", F.expr("share * upto div drawn") - F.col("offset")).filter("n > 0").select("sid", "shard", "n", "offset")
     name = lambda p: F.array(*[_draw("key", F.col("sid").cast("string"), str(p), str(i)) for i in range(rounds)])
     keyed = sources.select("sid", "n_blocks", F.array(*[name(p) for p in range(most_passes)]).alias("keys"))
     # few rows here make many slots: deal them to tasks of about SLOTS_PER_TASK
-    parts = max(1, min(100_000, total // 1000 // SLOTS_PER_TASK))
+    parts = max(1, min(100_000, total // SLOTS_PER_TASK))
     rows = counts.join(keyed, "sid").repartition(parts, "sid", "shard").select("sid", "shard", "n_blocks", "keys", F.explode(F.expr("sequence(offset, offset + n - 1)")).alias("k"))
-    # random counts may pass what a source at its cap has; those slots stay empty
-    rows = rows.withColumn("pass", F.expr("k div n_blocks")).filter(F.col("pass") < most_passes)
+    rows = rows.withColumn("pass", F.expr("k div n_blocks"))
 
     def swap(x: Column, key: Column) -> Column:
         partner = (key % F.col("n_blocks") + F.col("n_blocks") - x) % F.col("n_blocks")
@@ -192,17 +197,19 @@ WITH sized AS (
     CAST(ceil(source_size / {BLOCK_WORDS}) AS BIGINT) AS n_blocks FROM capping
 ), shares AS (
   SELECT *, CAST(sum(share) OVER (ORDER BY sid) AS BIGINT) AS hi FROM (
-    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(1000.0::DOUBLE * target * n_blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS share FROM targets)
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * n_blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS share FROM targets)
 ), size_of AS (SELECT CAST(sum(share) AS BIGINT) AS total FROM shares),
 slots AS (
-  SELECT id // {SHARD_SLOTS} AS shard, {draw("'slot:' || id")} % total AS r FROM size_of, range((total + 500) // 1000) AS g(id)
-), counts AS (
+  SELECT id // {SHARD_SLOTS} AS shard, {draw("'slot:' || id")} % total AS r FROM size_of, range(total) AS g(id)
+), drawn AS (
   SELECT sid, shard, count(*) AS n FROM slots JOIN shares ON r >= hi - share AND r < hi GROUP BY sid, shard
+), running AS (
+  SELECT sid, share, CAST(sum(n) OVER (PARTITION BY sid ORDER BY shard) AS BIGINT) AS upto, n, CAST(sum(n) OVER (PARTITION BY sid) AS BIGINT) AS drawn, shard FROM (
+    SELECT s.sid, s.share, coalesce(d.shard, 0) AS shard, coalesce(d.n, 1) AS n FROM shares s LEFT JOIN drawn d USING (sid) WHERE s.share > 0)
 ), numbered AS (
-  SELECT sid, shard, unnest(range(n)) + CAST(coalesce(before, 0) AS BIGINT) AS k FROM (
-    SELECT *, sum(n) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM counts)
+  SELECT sid, shard, unnest(range(share * (upto - n) // drawn, share * upto // drawn)) AS k FROM running
 ), p0 AS MATERIALIZED (
-  SELECT sid, shard, k // n_blocks AS pass, n_blocks, k % n_blocks AS x FROM numbered JOIN shares USING (sid) WHERE k // n_blocks < {MOST_PASSES}
+  SELECT sid, shard, k // n_blocks AS pass, n_blocks, k % n_blocks AS x FROM numbered JOIN shares USING (sid)
 ){steps}, times AS (SELECT sid, x AS block, count(*) AS times FROM {last} GROUP BY sid, x),
 laid AS (
   SELECT doc_id, sid, size, source_size, target, coalesce(CAST(sum(size) OVER (PARTITION BY sid ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, {CHUNK_DIGITS}), doc_id

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -51,10 +51,23 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), 1 << 16):
         cut = slice(at, at + (1 << 16))
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[cut].tolist(), ends[cut].tolist())], np.uint64)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+        ones += _ones(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[cut].tolist(), ends[cut].tolist())], np.uint64))
+    return _fingerprint(ones, len(starts))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduce(bits, axis=0, dtype=np.uint32).astype(np.int64)
+
+
+def _fingerprint(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    return _fingerprint(sum((_ones(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64)), len(hashes))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -135,23 +148,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, pair_limit: int =
     return marked.join(rooted.join(owners, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The one row of each component of ``found`` that has the smallest id, with all columns of ``docs``.
-
-    Repeated rows of that id leave one row. Rows without an id stay only where no row of their
-    component has one (one row for all such rows).
-    """
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
-
-
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The one row that ``keep_lowest`` leaves of each component of near-duplicates."""
-    return keep_lowest(docs, near_duplicates(docs, distance))
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at two differing bits or fewer."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

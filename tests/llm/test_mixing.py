@@ -46,7 +46,13 @@ def test_targets_and_totals(spark):
         source = r.source if r.doc_id is not None else "e"
         assert abs(r.target - want[source]) < 1e-6 and r.source_size == sizes[source]
         taken[source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 0.2 * want[s] + 40 for s in sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 3 * 8 for s in sizes)
+
+
+def test_sources_of_the_query_come_near_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    rows = mixing.op9_mixing(spark, "/root/testdata/sf0.01").join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert len(rows) > 3 and all(abs(r.t - r.w) <= 0.05 * r.w for r in rows)
 
 
 def test_documents_agree_with_counts(spark):
