@@ -74,7 +74,8 @@ def chi2_pvalue(df: DataFrame, column: str = "FC", degrees: float = 1.0) -> Data
 def fdr_adjust(df: DataFrame, column: str = "p_value") -> DataFrame:
     """``adjusted``: p x n / average rank, at most 1 (no monotone step).
 
-    Equal values are counted first, so that the running sum goes over distinct values.
+    Equal values are counted first, so that the running sum goes over distinct values: one window, meant for a table
+    of genes.
     """
     counts = df.groupBy(column).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, numbered
+
 
 def rank_genes_per_cell(entries: DataFrame, n_genes: int, ties: str = "average") -> DataFrame:
     """``rank`` of each present gene in its cell, largest first, and ``zero_rank`` of the absent ones.
@@ -133,6 +135,41 @@ def control_pool(bins: DataFrame, pos: list[str]) -> DataFrame:
     return bins.join(F.broadcast(hit), ["label", "bin"], "left_semi").select("label", "gene")
 
 
+def draw_controls(bins: DataFrame, pos: list[str], n_ctrl: int = 50, seed: int = 42) -> DataFrame:
+    """Controls: for each positive gene ``n_ctrl`` draws with repeats from the pool of ``control_pool``; distinct ``label``, ``gene``.
+
+    The pool is numbered by mean, then name. Only the drawn numbers, at most ``n_ctrl`` a positive gene, are made on the driver.
+    """
+    spark = bins.sparkSession
+    pool = numbered(bins.join(control_pool(bins, pos), ["label", "gene"], "left_semi").select("label", "mean", "gene"), "label", "mean", "gene")
+    ends = pool.groupBy("label").agg(F.min("n").alias("first"), F.count("*").alias("size")).collect()  # one row a label
+    rows = []
+    for r in ends:
+        rng = np.random.default_rng(seed)
+        drawn = {int(i) for _ in pos for i in rng.choice(r["size"], n_ctrl)}
+        rows += [(r["first"] + i,) for i in drawn]
+    return pool.join(F.broadcast(spark.createDataFrame(rows, "n long")), "n", "left_semi").select("label", "gene")
+
+
+def cell_cycle_score(entries: DataFrame, pos: list[str], n_bins: int = 25, n_ctrl: int = 50, seed: int = 42) -> DataFrame:
+    """Mean of the positive genes less the mean of drawn controls of like expression, in each cell: bins by ``mean_cut_bins``, then draws, then scores.
+
+    Names count in any case. Positive genes and controls that the data have count each once, a gene in both lists in both.
+    """
+    name = F.upper("gene")
+    wanted = sorted({g.upper() for g in pos})
+    entries = materialize(entries.withColumn("gene", name), "entries")
+    bins = materialize(mean_cut_bins(gene_means(entries), n_bins), "bins")
+    if not bins.filter(F.col("gene").isin(*wanted)).take(1):
+        raise ValueError("no positive gene is in the data")
+    controls = draw_controls(bins, pos, n_ctrl, seed)
+    share = lambda genes, sign: genes.join(F.broadcast(genes.groupBy("label").agg(F.count("*").alias("k"))), "label").select("label", "gene", (F.lit(sign) / F.col("k")).alias("w"))
+    up = bins.filter(F.col("gene").isin(*wanted)).select("label", "gene")
+    weights = share(up, 1.0).unionByName(share(controls, -1.0)).groupBy("label", "gene").agg(F.sum("w").alias("w"))
+    scored = entries.join(weights, ["label", "gene"]).groupBy("label", "cell").agg(F.sum(F.col("value") * F.col("w")).alias("score"))
+    return entries.select("label", "cell").distinct().join(scored, ["label", "cell"], "left").fillna(0.0, ["score"])
+
+
 def signature_score(entries: DataFrame, pos: list[str], controls: list[str]) -> DataFrame:
     """Mean of the positive genes less the mean of the controls in each cell (names in any case)."""
     up, other = ({g.upper() for g in x} for x in (pos, controls))

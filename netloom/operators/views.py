@@ -7,20 +7,22 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pcnet import gene_gram
+from ..storage import numbered
+from .pcnet import dense_axis, gene_gram
 
 
 def pca_tables(entries: DataFrame, n_components: int | None = None, standardize: bool = True, transform: Callable[[DataFrame], DataFrame] | None = None):
     """Scores of cells (``cell``, ``component``, ``score``), explained shares, and loadings of genes.
 
     Cells are rows and genes features; the genes' Gram matrix is summed on the executors and decomposed on
-    the driver, so that genes, not cells, bound its size.
+    the driver, so that genes, not cells, bound its size: more than ``pcnet.DENSE_GENES`` genes raise.
     """
     spark = entries.sparkSession
     entries = transform(entries) if transform else entries
+    dense_axis(entries)
     n = entries.select("cell").distinct().count()
     sums = {r.gene: (r.s, r.q) for r in entries.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).collect()}
     genes = sorted(sums)
@@ -29,8 +31,9 @@ def pca_tables(entries: DataFrame, n_components: int | None = None, standardize:
     std = np.sqrt(np.maximum(np.array([sums[g][1] / n for g in genes]) - mean**2, 0)) if standardize else np.ones(len(genes))
     std[std == 0] = 1
     cov = np.zeros((len(genes), len(genes)))
-    for r in gene_gram(entries).collect():
-        cov[place[r.g1], place[r.g2]] = cov[place[r.g2], place[r.g1]] = r.dot
+    gram = gene_gram(entries).toPandas()
+    i, j = gram["g1"].map(place).to_numpy(int), gram["g2"].map(place).to_numpy(int)
+    cov[i, j] = cov[j, i] = gram["dot"]
     cov = (cov / n - np.outer(mean, mean)) / np.outer(std, std)
     values, vectors = np.linalg.eigh(cov)
     k = min(n_components or min(n, len(genes)), len(genes))
@@ -60,7 +63,8 @@ def qq_table(regulation: DataFrame, exp_col: str = "FC", stat_col: str = "adjust
         return p.map(lambda v: normal.inv_cdf((1 + v) / 2) ** 2)
 
     rows = regulation.select("Gene", F.col(exp_col).alias("observed"), (F.col(f"`{stat_col}`") < threshold).alias("significant"))
-    rows = rows.withColumn("i", F.row_number().over(Window.orderBy("observed", "Gene"))).crossJoin(F.broadcast(regulation.agg(F.count("*").alias("n"))))
+    rows = numbered(rows, "observed", "Gene", name="i").withColumn("i", (F.col("i") + 1).cast("int"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     rows = rows.withColumn("theoretical", quantile(F.col("i") / (F.col("n") + 1)))
     q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     line = rows.agg(q("observed").alias("o"), q("theoretical").alias("t"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jobs import workloads
@@ -18,7 +18,7 @@ from .operators import pcnet, qc, scoring, tensor, views
 from .operators import regulation as rg
 from .sources import mtx
 from .sources import tables as st
-from .storage import materialize, shared_dir
+from .storage import materialize, numbered, shared_dir
 
 ONE = qc.QcParams(min_lib_size=500, min_percent=0.2)
 TWO = qc.QcParams(min_lib_size=150, min_percent=0.1)
@@ -210,22 +210,48 @@ def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.control_genes(scoring.qcut_bins(scoring.gene_means(entries), 5), genes[:3], 1000)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
+
+
 def _mtx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts written as a coordinate list with name files, and read again."""
+    """The counts written as a coordinate list with name files, each as part files in order, and read again."""
     entries = materialize(st.one_sample(spark, sf_dir), "entries")
-    folder = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
-    number = lambda c: entries.select(c).distinct().withColumn("i", F.row_number().over(Window.orderBy(c)))
-    genes, cells = number("gene"), number("cell")
-    for df, c in ((genes, "gene"), (cells, "cell")):
-        df.orderBy("i").select(c).coalesce(1).write.text(f"{folder}/{c}s.tsv")
-    lines = entries.join(genes.withColumnRenamed("i", "g"), "gene").join(cells.withColumnRenamed("i", "c"), "cell").select(F.lit(1).alias("o"), F.concat_ws(" ", "g", "c", "value").alias("value"))
-    head = spark.createDataFrame([(0, f"{genes.count()} {cells.count()} {entries.count()}")], "o int, value string")
-    head.union(lines).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/matrix.txt")
+    folder = _folder(spark)
+    genes, cells = (numbered(entries.select(c).distinct(), c, name=n) for c, n in (("gene", "g"), ("cell", "c")))
+    for df, c, n in ((genes, "gene", "g"), (cells, "cell", "c")):
+        df.orderBy(n).select(c).write.text(f"{folder}/{c}s.tsv")
+    lines = entries.join(genes, "gene").join(cells, "cell").select(F.lit(1).alias("o"), F.col("c").alias("at"), F.concat_ws(" ", F.col("g") + 1, F.col("c") + 1, "value").alias("value"))
+    head = spark.createDataFrame([(0, 0, f"{genes.count()} {cells.count()} {entries.count()}")], "o int, at long, value string")
+    head.union(lines).orderBy("o", "at").select("value").write.text(f"{folder}/matrix.txt")
     return mtx.read_mtx_sparse(spark, f"{folder}/matrix.txt", f"{folder}/genes.tsv", f"{folder}/cells.tsv")
 
 
+def _dense_round_trip(spark: SparkSession, sf_dir: str, whole_folder: bool) -> DataFrame:
+    """All vectors as a dense table (a line each) with name files, read as files or as a folder."""
+    folder = _folder(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding IS NOT NULL").orderBy("vec_id")
+    vectors.select(F.array_join(F.col("embedding").cast("array<double>").cast("array<string>"), ",", "0").alias("value")).write.text(f"{folder}/matrix.csv")
+    vectors.select(F.col("vec_id").cast("string")).write.text(f"{folder}/genes.tsv")
+    spark.range(64).select(F.format_string("d%02d", "id").alias("value")).orderBy("value").write.text(f"{folder}/barcodes.tsv")
+    if whole_folder:
+        return mtx.read_folder(spark, folder)
+    return mtx.read_mtx_dense(spark, *(f"{folder}/{n}" for n in ("matrix.csv", "genes.tsv", "barcodes.tsv")))
+
+
+def _headed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as a headed table, a row each, read again."""
+    path = f"{_folder(spark)}/wide.csv"
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding IS NOT NULL")
+    vectors.select(F.col("vec_id").alias("gene"), *[F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(64)]).write.option("header", True).csv(path)
+    return st.expression_table(spark, path)
+
+
+_DENSE_BACK = f"WITH {_DENSE} SELECT label, cell AS gene, gene AS cell, value FROM e WHERE value <> 0"
+
+
 def _step_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     mtx.write_step(st.two_samples(spark, sf_dir), folder, "qc", {})
     return mtx.read_step(spark, folder, "qc")[0].select("label", "gene", "cell", "value")
 
@@ -239,6 +265,11 @@ def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(scoring.signature_score(nm.log_normalize(entries), genes[:8], genes[20:60]), "score")
 
 
+def _cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, genes = _gene_list(spark, sf_dir)
+    return _round(scoring.cell_cycle_score(nm.log_normalize(entries), genes[:20]), "score")
+
+
 def _mean_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.mean_cut_bins(scoring.gene_means(st.one_sample(spark, sf_dir)), 10).select("gene", "bin")
 
@@ -251,12 +282,15 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _qq(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rg.fdr_adjust(rg.chi2_pvalue(rg.fold_change(_distances(spark, sf_dir))))
     table = rows.select(F.col("gene").alias("Gene"), "FC", F.col("adjusted").alias("adjusted p-value"))
-    return _round(views.qq_table(table).select("Gene", "i", "observed"), "observed")
+    return _round(views.qq_table(table), "observed", "theoretical", "slope", "intercept")
 
 
 QUERIES = {
     "read_mtx_sparse": (_mtx_round_trip, f"WITH {_ONE} SELECT * FROM e"),
     "read_step": (_step_round_trip, f"WITH {_TWO} SELECT * FROM e"),
+    "read_mtx_dense": (lambda s, d: _dense_round_trip(s, d, False), _DENSE_BACK),
+    "read_folder": (lambda s, d: _dense_round_trip(s, d, True), _DENSE_BACK),
+    "read_expression_table": (_headed_round_trip, _DENSE_BACK),
     "default_barcodes": (lambda s, d: st.default_barcodes(s, s.read.parquet(f"{d}/customer.parquet").count()), "SELECT 'barcode_' || i AS cell, i AS cell_pos FROM (SELECT row_number() OVER () - 1 AS i FROM customer)"),
     "cal_pcnet": (_all_cells, None),
     "signature_auc": (
@@ -413,6 +447,7 @@ SELECT 'all' AS label, c.cell, round(avg(coalesce(e.value, 0) - coalesce(x.ctrl,
         _signature,
         f"WITH {_ONE}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS i FROM (SELECT DISTINCT gene FROM e)), l AS (SELECT cell, i, ln(1 + value / sum(value) OVER (PARTITION BY cell) * 1e4) AS v FROM e JOIN g USING (gene)) SELECT 'all' AS label, cell, round(sum(CASE WHEN i <= 8 THEN v ELSE 0 END) / 8 - sum(CASE WHEN i BETWEEN 21 AND 60 THEN v ELSE 0 END) / 40, 6) AS score FROM l GROUP BY 2",
     ),
+    "cell_cycle_score": (lambda s, d: _cycle(s, d), None),
     "make_networks": (_networks, None),
     "pca_tables": (lambda s, d: views.pca_tables(st.dense_sample(s, d), 4)[0], None),
     "label_embedding": (
@@ -423,7 +458,8 @@ SELECT 'all' AS label, c.cell, round(avg(coalesce(e.value, 0) - coalesce(x.ctrl,
         lambda s, d: ed.subgraph(st.trade_networks(s, d), 20, 200),
         f"WITH {_NETS}, k AS (SELECT net_id, target, source, abs(weight) AS weight FROM n WHERE abs(weight) >= 20) SELECT * FROM k WHERE (net_id, target) IN (SELECT (net_id, target) FROM k GROUP BY net_id, target HAVING sum(weight) > 200) AND (net_id, source) IN (SELECT (net_id, source) FROM k GROUP BY net_id, source HAVING sum(weight) > 200)",
     ),
-    "qq_table": (_qq, f"WITH {_PAIRS}, t AS (SELECT gene, d * d / avg(d * d) OVER () AS fc FROM (SELECT a.gene, list_distance(a.coords, b.coords) AS d FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y')) SELECT gene AS Gene, CAST(row_number() OVER (ORDER BY fc, gene) AS INTEGER) AS i, round(fc, 6) AS observed FROM t"),
+    "qq_table": (_qq, None),
+    "qq_order": (lambda s, d: _qq(s, d).select("Gene", "i", "observed"), f"WITH {_PAIRS}, t AS (SELECT gene, d * d / avg(d * d) OVER () AS fc FROM (SELECT a.gene, list_distance(a.coords, b.coords) AS d FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y')) SELECT gene AS Gene, CAST(row_number() OVER (ORDER BY fc, gene) AS INTEGER) AS i, round(fc, 6) AS observed FROM t"),
     "job_net": (_job_net, None),
     "job_knk": (_job_knk, None),
     "job_knk_propagation": (lambda s, d: _job_knk(s, d, "propagation"), None),

@@ -10,22 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import numbered
 from .tables import default_barcodes
 
 HEADER = r"^\d+\s+\d+\s+\d+\s*$"
 ENTRY = r"^\s*(\d+)\s+(\d+)\s+(\S+)\s*$"
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """First tab-separated column of each line with its number from 1."""
-    lines = spark.read.text(path).rdd.map(lambda r: r[0].split("\t")[0]).zipWithIndex()
-    return lines.map(lambda r: (r[1] + 1, r[0])).toDF("n long, name string")
+#: Order of lines: file, block of the file, place in the block.
+ORDER = ["file", "block", "m"]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file (``value``), in a zip of its first member."""
+    """Lines of a text file or of a folder's files (``value``), in a zip of its first member, with what orders them."""
     if not path.endswith(".zip"):
-        return spark.read.text(path)
+        rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        return rows.withColumn("m", F.monotonically_increasing_id())
 
     def unzip(batches):
         for batch in batches:
@@ -34,12 +34,19 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
                     while rows := f.readlines(1 << 22):
                         yield pd.DataFrame({"value": [r.decode().rstrip("\r\n") for r in rows]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "value string")
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "value string")
+    return rows.select("value", F.lit(path).alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("m"))
+
+
+def _names(spark: SparkSession, path: str) -> DataFrame:
+    """First tab-separated column of each line (``name``) with its number ``n`` from 1."""
+    lines = _lines(spark, path).select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("name"), *ORDER)
+    return numbered(lines, *ORDER).select((F.col("n") + 1).alias("n"), "name")
 
 
 def _named(spark: SparkSession, rows: DataFrame, genes: str, barcodes: str | None, n_cells: int, label: str) -> DataFrame:
-    g = _numbered(spark, genes).withColumnsRenamed({"n": "i", "name": "gene"})
-    c = _numbered(spark, barcodes).withColumnsRenamed({"n": "j", "name": "cell"}) if barcodes else default_barcodes(spark, n_cells).select((F.col("cell_pos") + 1).alias("j"), "cell")
+    g = _names(spark, genes).withColumnsRenamed({"n": "i", "name": "gene"})
+    c = _names(spark, barcodes).withColumnsRenamed({"n": "j", "name": "cell"}) if barcodes else default_barcodes(spark, n_cells).select((F.col("cell_pos") + 1).alias("j"), "cell")
     named = rows.join(g, "i").join(c, "j")
     return named.groupBy(F.lit(label).alias("label"), "gene", "cell").agg(F.sum("value").alias("value")).filter("value <> 0")
 
@@ -52,11 +59,13 @@ def read_mtx_sparse(spark: SparkSession, matrix: str, genes: str, barcodes: str
     """
     if not matrix.endswith((".txt", ".mtx", ".gz", ".zip")):
         raise ValueError(f"not a coordinate list: {matrix}")
-    lines = _lines(spark, matrix).withColumn("n", F.monotonically_increasing_id())
-    head = lines.filter(F.col("value").rlike(HEADER)).orderBy("n").limit(1).collect()
+    lines = _lines(spark, matrix)
+    head = lines.filter(F.col("value").rlike(HEADER)).orderBy(*ORDER).limit(1).collect()
     if not head:
         raise ValueError(f"no line of sizes in {matrix}")
-    body = lines.filter((F.col("n") > head[0].n) & F.col("value").rlike(ENTRY))
+    file, block, m = ((F.col(c), F.lit(head[0][c])) for c in ORDER)
+    after = (file[0] > file[1]) | (file[0] == file[1]) & ((block[0] > block[1]) | (block[0] == block[1]) & (m[0] > m[1]))
+    body = lines.filter(after & F.col("value").rlike(ENTRY))
     part = lambda k: F.regexp_extract("value", ENTRY, k)
     rows = body.select(part(1).cast("long").alias("i"), part(2).cast("long").alias("j"), part(3).try_cast("double").alias("value"))
     return _named(spark, rows, genes, barcodes, int(head[0].value.split()[1]), label)
@@ -64,8 +73,8 @@ def read_mtx_sparse(spark: SparkSession, matrix: str, genes: str, barcodes: str
 
 def read_mtx_dense(spark: SparkSession, matrix: str, genes: str, barcodes: str | None = None, label: str = "all") -> DataFrame:
     """Entries of a table without header or index (``.tsv`` or ``.csv``), names from the side files."""
-    lines = spark.read.text(matrix).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda r: (r[1] + 1, r[0])).toDF("i long, line string")
-    rows = lines.select("i", F.posexplode(F.split("line", "\t" if ".tsv" in matrix else ",")).alias("at", "v"))
+    lines = numbered(_lines(spark, matrix), *ORDER, name="i").select((F.col("i") + 1).alias("i"), "value")
+    rows = lines.select("i", F.posexplode(F.split("value", "\t" if ".tsv" in matrix else ",")).alias("at", "v"))
     rows = rows.select("i", (F.col("at") + 1).cast("long").alias("j"), F.col("v").try_cast("double").alias("value")).filter("value <> 0")
     n_cells = rows.agg(F.max("j")).first()[0] or 0
     return _named(spark, rows, genes, barcodes, n_cells, label)

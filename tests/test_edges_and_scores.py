@@ -85,3 +85,54 @@ def test_steps_round_trip(spark, tmp_path):
     assert kws == {"min_percent": 0.1} and sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(ValueError):
         mtx.write_step(df, str(tmp_path), "zz")
+
+
+def test_cell_cycle_score(spark):
+    """Bins, draws and scores on a dense table; names in mixed case."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    names = [f"g{i:02d}" for i in range(40)]
+    x = rng.poisson(rng.uniform(0.5, 4, (40, 1)), (40, 15)).astype(float)
+    x[:, 0] += 1
+    entries = spark.createDataFrame([("a", g, f"c{j:02d}", float(x[i, j])) for i, g in enumerate(names) for j in range(15) if x[i, j]], ENTRIES)
+    pos = ["g03", "G11", "g20", "absent"]
+    got = {r.cell: r.score for r in scoring.cell_cycle_score(entries, pos, n_bins=5, n_ctrl=4, seed=7).collect()}
+    mean = x.mean(axis=1)
+    order = sorted(range(40), key=lambda i: (mean[i], names[i]))
+    cuts = [mean[order[int(np.round(40 / 5 * k))]] for k in range(1, 5)]
+    bins = [next((k + 1 for k, c in enumerate(cuts) if mean[i] <= c), 0) for i in range(40)]
+    hit = {bins[i] for i in (3, 11, 20)}
+    pool = [i for i in order if bins[i] in hit]
+    draw = np.random.default_rng(7)
+    controls = sorted({pool[k] for _ in pos for k in draw.choice(len(pool), 4)})
+    want = x[[3, 11, 20]].mean(axis=0) - x[controls].mean(axis=0)
+    np.testing.assert_allclose([got[f"c{j:02d}"] for j in range(15)], want, atol=1e-9)
+    with pytest.raises(ValueError):
+        scoring.cell_cycle_score(entries, ["none"])
+
+
+def test_qq_and_pca(spark):
+    import numpy as np
+    from statistics import NormalDist
+
+    from netloom.operators import views
+
+    rng = np.random.default_rng(9)
+    fc = rng.exponential(1, 30)
+    table = spark.createDataFrame([(f"g{i:02d}", float(v), float(i % 2)) for i, v in enumerate(fc)], "Gene string, FC double, `adjusted p-value` double")
+    rows = sorted(views.qq_table(table).collect(), key=lambda r: r.i)
+    want = [NormalDist().inv_cdf((1 + (i + 1) / 31) / 2) ** 2 for i in range(30)]
+    np.testing.assert_allclose([r.observed for r in rows], np.sort(fc))
+    np.testing.assert_allclose([r.theoretical for r in rows], want)
+    slope = np.subtract(*np.quantile(fc, [0.75, 0.25])) / np.subtract(*np.quantile(want, [0.75, 0.25]))
+    assert rows[0].slope == pytest.approx(slope) and rows[0].intercept == pytest.approx(np.quantile(fc, 0.25) - slope * np.quantile(want, 0.25))
+    x = rng.normal(0, 1, (25, 6)) @ rng.normal(0, 1, (6, 6))
+    entries = spark.createDataFrame([("a", f"g{j}", f"c{i:02d}", float(x[i, j])) for i in range(25) for j in range(6)], ENTRIES)
+    scores, shares, loadings = views.pca_tables(entries, 3)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    got = np.array([[r[f"PC{k}"] for k in (1, 2, 3)] for r in sorted(scores.collect(), key=lambda r: r.cell)])
+    np.testing.assert_allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-8)
+    np.testing.assert_allclose([r.share for r in sorted(shares.collect(), key=lambda r: r.component)], (s**2 / (s**2).sum())[:3])
+    np.testing.assert_allclose(np.abs([r.loadings for r in sorted(loadings.collect(), key=lambda r: r.gene)]), np.abs(vt[:3].T), atol=1e-8)
