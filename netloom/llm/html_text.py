@@ -4,7 +4,11 @@ A tokeniser cuts tags, comments and text; the tree builder closes what HTML lets
 ``p``, ``li``, ``tr``, ``td``, ``option``, ... or a block inside ``p``) and ignores stray end tags. Elements
 that browsers don't show are dropped with all they hold. Rendering walks the tree without recursion: inline
 text flows together with white space collapsed, blocks start on new lines, paragraphs and headings are set
-off by a blank line, list items get a bullet or number and indentation, tables become aligned columns.
+off by a blank line, list items get a bullet or number and indentation.
+
+Tables are laid out from the inside out. A row whose cells are single lines becomes a line of aligned columns, with
+``colspan`` and ``rowspan``; in a row with a cell that holds more (blocks, lists, an inner table, or a line beyond
+``WIDEST``) the cells follow each other as blocks, so that each is read as a whole.
 """
 
 from __future__ import annotations
@@ -35,24 +39,31 @@ IMPLIED_END = {
 }
 #: End tags don't reach beyond these.
 SCOPE = {"table", "td", "th", "html", "caption"}
-#: Widest column that is padded to align; wider cells flow as they are.
-WIDEST = 80
+TABLE_PARTS, TABLE_SCOPE = set("table caption tbody thead tfoot tr td th".split()), {"table", "html"}
+#: Widest line that a cell of an aligned row may have.
+WIDEST = 200
+#: Most columns and rows that a cell spans by the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 #: Whole declarations of a style; comments are cut first.
 DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+NUMBER = re.compile(r"\s*-?[0-9]{1,6}\s*")
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
     """An element; ``inside`` holds elements and strings in order."""
 
-    __slots__ = ("name", "inside", "seen", "shown", "start", "span")
+    __slots__ = ("name", "inside", "seen", "shown", "start", "step", "span", "rows", "lines")
 
     def __init__(self, name: str, seen: bool = True):
-        self.name, self.inside, self.seen, self.start, self.span = name, [], seen, 1, 1
+        self.name, self.inside, self.seen = name, [], seen
+        self.start, self.step = None, 1  # number of a list's first item, or of an item
+        self.span, self.rows = 1, 1
+        self.lines: list[str] = []  # of a table, once laid out
         self.shown: bool | None = None  # visibility set here; None: inherited
 
 
@@ -74,8 +85,10 @@ def _element(name: str, attributes: str) -> Node:
             node.shown = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style["visibility"])
         if "hidden" in found or style.get("display") == "none" or name == "input" or (name == "dialog" and "open" not in found):
             node.seen = False
-        number = lambda k: int(found[k]) if found.get(k, "").isdecimal() and len(found[k]) < 7 else 1
-        node.start, node.span = number("start"), min(number("colspan"), 100)
+        number = lambda k, default: int(found[k]) if NUMBER.fullmatch(found.get(k) or "") else default
+        node.start = number("value" if name == "li" else "start", None)
+        node.step = -1 if name == "ol" and "reversed" in found else 1
+        node.span, node.rows = max(1, min(number("colspan", 1), MOST_COLUMNS)), max(1, min(number("rowspan", 1), MOST_ROWS))
     elif name in ("input", "dialog"):
         node.seen = False
     return node
@@ -121,7 +134,7 @@ def parse(source: str) -> Node:
             elif name == "br":
                 open_[-1].inside.append(Node("br"))
             else:
-                close({name}, SCOPE - {name})
+                close({name}, (TABLE_SCOPE if name in TABLE_PARTS else SCOPE) - {name})
             continue
         if name in IMPLIED_END:
             close(*IMPLIED_END[name])
@@ -199,8 +212,22 @@ class _Lines:
 
 def render(root: Node) -> str:
     """Visible text of a tree."""
+    tables, work = [], [root]
+    while work:
+        node = work.pop()
+        if not isinstance(node, str) and node.seen:
+            if node.name == "table":
+                tables.append(node)
+            work.extend(node.inside)
+    for node in reversed(tables):  # inner ones come later
+        node.lines = list(_table(node))
+    return "\n".join(_rendered(root))
+
+
+def _rendered(root: Node) -> list[str]:
+    """Lines of a tree whose tables are laid out."""
     out = _Lines()
-    # work: (element, step); step 0 opens it, 1 closes it. lists: [kind, next number, prefix before]
+    # work: (element, step); step 0 opens it, 1 closes it. lists: [kind, next number, prefix before, step]
     work: list = [(root, 0)]
     lists: list[list] = []
     pre = 0
@@ -226,20 +253,23 @@ def render(root: Node) -> str:
                 continue
             if name == "table":
                 out.end(1)
-                for line in _table(node):
-                    out.put(line)
+                for line in node.lines:
+                    out.put(line) if line else out.end(1)
                 out.end(1)
                 continue
             if name in BLOCK:
                 out.end(name in SET_OFF and not (name in ("ul", "ol") and lists))
             if name in ("ul", "ol", "menu", "dir"):
-                lists.append(["ol" if name == "ol" else "ul", node.start, out.prefix])
+                start = sum(not isinstance(x, str) and x.name == "li" for x in node.inside) if node.step < 0 else 1
+                lists.append(["ol" if name == "ol" else "ul", start if node.start is None else node.start, out.prefix, node.step])
             elif name == "li":
-                kind, number, before = lists[-1] if lists else ["ul", 1, out.prefix]
+                if lists and node.start is not None:
+                    lists[-1][1] = node.start
+                kind, number, before, step = lists[-1] if lists else ["ul", 1, out.prefix, 1]
                 out.mark = f"{number}. " if kind == "ol" else "- "
                 out.prefix = before + " " * len(out.mark)
                 if lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] += step
             elif name in ("dd", "blockquote"):
                 out.prefix += "  "
             elif name == "pre":
@@ -262,14 +292,11 @@ def render(root: Node) -> str:
         elif name in ("dd", "blockquote"):
             out.prefix = out.prefix[:-2]
     out.end()
-    return "\n".join(out.lines)
+    return out.lines
 
 
-def _table(node: Node) -> Iterator[str]:
-    """Lines of a table: cells padded to their columns. Captions and stray text come first.
-
-    A table inside a cell is one flow of text, its cells apart by a blank.
-    """
+def _cells(node: Node) -> tuple[list[list[Node]], list]:
+    """Rows of cells of a table, and what stands outside of them (captions, stray text), in order."""
     rows, loose, work = [], [], [(x, None) for x in reversed(node.inside)]
     while work:
         part, row = work.pop()
@@ -283,44 +310,62 @@ def _table(node: Node) -> Iterator[str]:
         elif part.name in ("td", "th"):
             if row is None:
                 rows.append(row := [])
-            row.append((_flow(part), part.span))
+            row.append(part)
         elif part.name in ("tbody", "thead", "tfoot"):
             work.extend((x, None) for x in reversed(part.inside))
         else:
-            loose.append(_flow(part))
-    if (text := " ".join(" ".join(loose).split(" "))).strip():
-        yield WHITE.sub(" ", text).strip()
+            loose.append(part)
+    return rows, loose
+
+
+def _alone(inside: list) -> list[str]:
+    part = Node("#part")
+    part.inside = inside
+    return _rendered(part)
+
+
+def _table(node: Node) -> Iterator[str]:
+    """Lines of a table whose inner tables are laid out. Captions and stray text come first."""
+    rows, loose = _cells(node)
+    yield from _alone(loose)
+    laid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns spanned, lines) of each row's cells
+    taken: dict[int, int] = {}  # rows from here that a cell above still covers, by column
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1 and len(text) <= WIDEST:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    for row in rows:
-        at, cells = 0, []
-        for text, span in row:
-            width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-            cells.append(text.ljust(width))
-            at += span
-        line = "  ".join(cells).rstrip()
-        if line:
-            yield line
+        cells, at, begun = [], 0, {}
+        for cell in row:
+            while at in taken:
+                at += 1
+            cells.append((at, cell.span, _alone(cell.inside)))
+            if cell.rows > 1:
+                begun |= dict.fromkeys(range(at, at + cell.span), cell.rows)
+            at += cell.span
+        laid.append(cells)
+        taken = {c: n - 1 for c, n in (taken | begun).items() if n > 1}
+        if _aligns(cells):
+            for at, span, lines in cells:
+                if span == 1 and lines:
+                    widths[at] = max(widths.get(at, 0), len(lines[0]))
+    for cells in laid:
+        if _aligns(cells):
+            line = ""
+            for at, span, lines in cells:
+                if lines:
+                    start = sum(widths.get(i, 0) + 2 for i in range(at))
+                    line = line.ljust(start) if len(line) < start else line + "  " * bool(line)
+                    line += lines[0]
+            if line:
+                yield line
+            continue
+        for k, (_, _, lines) in enumerate(cells):
+            if k and lines:
+                yield ""
+            yield from lines
+        yield ""
 
 
-def _flow(node: Node) -> str:
-    """All visible text of an element on one line."""
-    parts, work = [], [node]
-    while work:
-        part = work.pop()
-        if isinstance(part, str):
-            parts.append(part)
-        elif part.seen:
-            if part.name in BLOCK or part.name == "br":
-                parts.append(" ")
-                work.append(" ")
-            work.extend(reversed(part.inside))
-    return WHITE.sub(" ", "".join(parts)).strip(" ")
+def _aligns(cells: list[tuple[int, int, list[str]]]) -> bool:
+    return all(len(lines) < 2 and (not lines or len(lines[0]) <= WIDEST) for _, _, lines in cells)
 
 
 def extract(source: str | None) -> str | None:
