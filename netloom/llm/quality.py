@@ -23,6 +23,8 @@ from ..storage import materialize
 from .common import bounded_batches, held_out, sampled, steps, table, words_of
 
 BUCKET_BITS = 18
+#: Bucket of the share of words that repeat an earlier one, beyond those of the hashes.
+REPEATS = 1 << BUCKET_BITS
 #: Labelled rows to train on at most (about), shards that train at once, passes over them.
 TRAIN_ROWS, SHARDS, PASSES = 8_000, 4, 6
 THRESHOLD = 0.3
@@ -42,7 +44,7 @@ class Ftrl:
 
     @classmethod
     def fresh(cls) -> Ftrl:
-        size = (1 << BUCKET_BITS) + 1
+        size = REPEATS + 2
         return cls(np.zeros(size), np.zeros(size))
 
     def weights(self, at=slice(None)) -> np.ndarray:
@@ -84,7 +86,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = np.unique(rows << 32 | at)
     own, n = np.unique(rows, return_counts=True)
     repeats = np.sqrt(1 - np.bincount(seen >> 32)[own] / n)
-    return np.concatenate([row, own]), np.concatenate([bucket, np.full(len(own), 7)]), np.concatenate([value, repeats])
+    return np.concatenate([row, own]), np.concatenate([bucket, np.full(len(own), REPEATS)]), np.concatenate([value, repeats])
 
 
 def _examples(docs: DataFrame) -> DataFrame:
@@ -127,10 +129,9 @@ def fit(labelled: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, sha
     state = Ftrl.fresh()
     for turn in range(passes):
         trained = examples.groupBy("shard").applyInPandas(_trainer(spark.sparkContext.broadcast(state), turn), "bucket bigint, z double, n double")
-        averaged = trained.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).collect()  # one row a bucket at most
+        averaged = trained.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()  # one row a bucket at most
         state = Ftrl.fresh()
-        for bucket, z, n in averaged:
-            state.z[bucket], state.n[bucket] = z, n
+        state.z[averaged["bucket"]], state.n[averaged["bucket"]] = averaged["z"], averaged["n"]
     return state.weights()
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 
@@ -56,3 +57,76 @@ def test_query(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert fp.fingerprint_documents(docs, fp.lexicon(docs)).collect() == []
+
+
+FULL = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & FULL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & FULL
+    return x ^ (x >> 31)
+
+
+def plain_terms(text):
+    import pandas as pd
+
+    words = {re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in (text or "").lower().split()} - {""}
+    return {int(pd.util.hash_array(np.array([w], object))[0]) for w in words}
+
+
+def plain_fingerprint(text, known):
+    """(kind, level, hashes by rate and subset) term by term."""
+    terms = plain_terms(text)
+    inside = terms & known
+    kind, terms = ("b", inside) if len(inside) >= fp.FEWEST else ("a", terms)
+    if not terms:
+        return "t", hashlib.sha256((text or "").encode()).hexdigest()
+    level, table = len(terms).bit_length() - 1, []
+    for k in range(fp.RATES):
+        row = []
+        for s in range(fp.SUBSETS):
+            keep = [t for t in sorted(terms) if mix(t ^ mix(7919 * (s + 1))) & ((1 << level + 1 + k) - 1) == 0]
+            total = sum(mix((t + 1) & FULL) for t in keep) & FULL
+            row.append(max(mix(total) >> 48, 1) if total else 0)
+        table.append(row)
+    return kind, level, table
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if "t" in (a[0], b[0]) or abs(a[1] - b[1]) >= fp.RATES:
+        return 0.0
+    top = max(a[1], b[1])
+    pairs = [(x, y) for x, y in zip(a[2][top - a[1]], b[2][top - b[1]]) if x or y]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
+def test_against_brute_force(spark):
+    """The lexicon's band, every subset's hash and every likeness, from the definitions."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"Term{i}" for i in range(300)] + ["the", "of", "(and)", "..."]
+    share = np.r_[1 / np.arange(1, 301), [2.0, 2.0, 1.0, 1.0]]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60), p=share / share.sum())) for _ in range(120)] + [None, "", "... !", "unheard words only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    count = {}
+    for t in texts:
+        for term in plain_terms(t):
+            count[term] = count.get(term, 0) + 1
+    known = {t for t, n in count.items() if 0.03 * len(texts) <= n <= 0.2 * len(texts)}
+    found = fp.lexicon(docs, 0.03, 0.2)
+    assert 20 < len(known) < len(count) and found.tolist() == sorted(known)
+    rows = {r.doc_id: r for r in fp.fingerprint_documents(docs, found).collect()}
+    plain = [plain_fingerprint(t, known) for t in texts]
+    assert {p[0] for p in plain} == {"a", "b", "t"}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        edited = plain_fingerprint(text[: len(text) - len(text) // 2] + after[: len(text) // 2], known)
+        for got, want in ((rows[i].fingerprint, plain[i]), (rows[i].edited_fingerprint, edited)):
+            if want[0] == "t":
+                assert got == "t" + want[1]
+            else:
+                assert got == f"{want[0]}{want[1]:02x}" + "".join(f"{h:04x}" for row in want[2] for h in row)
+        assert abs(rows[i].near_edited - plain_likeness(plain[i], edited)) < 1e-12
+        assert abs(rows[i].near_next - plain_likeness(plain[i], plain[(i + 1) % len(texts)])) < 1e-12
