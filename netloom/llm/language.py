@@ -94,7 +94,7 @@ def _count_grams(words: DataFrame, longest: int) -> DataFrame:
 
 
 def _logs(rows, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows (language, term, count) as a matrix of log frequencies; half a count where there is none."""
+    """Rows (language, term, count) as a matrix of log frequencies, with half a count added to each."""
     terms = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
     counts = np.full((len(terms), len(languages)), 0.5)
     column = {lang: i for i, lang in enumerate(languages)}
