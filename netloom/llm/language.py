@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,14 +94,12 @@ def _count_grams(words: DataFrame, longest: int) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, k int, gram string, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
-def _logs(rows, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows (language, term, count) as a matrix of log frequencies, with half a count added to each."""
-    terms = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
-    counts = np.full((len(terms), len(languages)), 0.5)
-    column = {lang: i for i, lang in enumerate(languages)}
-    for lang, term, n in rows:
-        counts[terms[term], column[lang]] += n
-    return terms, np.log(counts / (np.array([totals.get(lang, 0) for lang in languages]) + 1.0))
+def _logs(rows: pd.DataFrame, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows (lang, term, n) as a matrix of log frequencies, with half a count added to each."""
+    names, at = np.unique(rows["term"].to_numpy(object), return_inverse=True)
+    counts = np.full((len(names), len(languages)), 0.5)
+    counts[at, np.searchsorted(languages, rows["lang"].to_numpy(object))] += rows["n"]
+    return {t: i for i, t in enumerate(names.tolist())}, np.log(counts / (np.array([totals.get(lang, 0) for lang in languages]) + 1.0))
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> LanguageModel:
@@ -116,12 +115,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, grams
     totals = dict(counted.groupBy("lang").agg(F.sum("n")).collect())
     languages = sorted(totals)
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words)
-    word_ids, word_logs = _logs(top.select("lang", "word", "n").collect(), languages, totals)
+    word_ids, word_logs = _logs(top.select("lang", F.col("word").alias("term"), "n").toPandas(), languages, totals)
     top = per_gram.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= grams)
-    kept, all_grams = top.select("k", "lang", "gram", "n").collect(), {}
+    kept, all_grams = top.select("k", "lang", F.col("gram").alias("term"), "n").toPandas(), {}
     gram_totals = {(k, lang): n for k, lang, n in per_gram.groupBy("k", "lang").agg(F.sum("n")).collect()}
     for k in range(1, longest + 1):
-        all_grams[k] = _logs([r[1:] for r in kept if r[0] == k], languages, {lang: gram_totals.get((k, lang), 0) for lang in languages})
+        all_grams[k] = _logs(kept[kept["k"] == k], languages, {lang: gram_totals.get((k, lang), 0) for lang in languages})
     return LanguageModel(languages, word_ids, word_logs, {k: v[0] for k, v in all_grams.items()}, {k: v[1] for k, v in all_grams.items()})
 
 

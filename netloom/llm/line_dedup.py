@@ -109,7 +109,8 @@ def longest_runs(rounds: list[DataFrame]) -> DataFrame:
 
     Runs of one line and documents without any are absent.
     """
-    levels = reduce(DataFrame.unionByName, [r.withColumn("k", F.lit(k)) for k, r in enumerate(rounds) if k]) if len(rounds) > 1 else rounds[0].filter("false").withColumn("k", F.lit(1))
+    deep = [r.withColumn("k", F.lit(k)) for k, r in enumerate(rounds) if k] or [rounds[0].filter("false").withColumn("k", F.lit(1))]
+    levels = materialize(reduce(DataFrame.unionByName, deep), "levels")  # one table, so that the plans below stay small
     later = materialize(_later(levels, "k", "rank").groupBy("doc_id", "th", "k", "rank").agg(F.count("*").alias("n")).drop("n"), "later")
     span = F.expr("shiftleft(1, k)")
     top = later.groupBy("doc_id", "th").agg(F.max("k").alias("k")).select("doc_id", "th", "k", span.alias("lo"), (2 * span - 1).alias("hi"))
