@@ -40,7 +40,6 @@ def reconstruct_networks(networks: DataFrame, counts: DataFrame, ko_genes: list[
 
     All networks draw the same cells, so that only those cells' counts stand once for each network.
     """
-    ids = networks.select("net_id").distinct()
     size, seed = nc.get("n_samp_cells", 500), nc.get("seed", 42)
     if size is None:
         drawn = cells.select("cell").distinct().withColumn("draw_id", F.lit(0))
@@ -49,10 +48,10 @@ def reconstruct_networks(networks: DataFrame, counts: DataFrame, ko_genes: list[
     drawn = materialize(drawn, "drawn")
     left = ed.propagate_knockout(ed.zero_diagonal(networks), counts, ko_genes, degree, genes, drawn.select("cell").distinct())
     if size is not None:
-        draws = drawn.join(F.broadcast(ids)).select("net_id", "draw_id", "cell")
+        draws = drawn.select(ed.each_network(networks), "draw_id", "cell")
         return make_networks(left, draws=draws, **{k: v for k, v in nc.items() if k not in ("n_nets", "n_samp_cells", "seed")})
     left, parts = materialize(left, "left"), None
-    for (i,) in ids.orderBy("net_id").collect():  # a few networks, each over all cells
+    for (i,) in networks.select("net_id").distinct().orderBy("net_id").collect():  # a few networks, each over all cells
         one = left.filter(F.col("net_id") == i).select(F.lit("all").alias("label"), "gene", "cell", "value")
         part = make_networks(one, cells=cells, **{**nc, "n_nets": 1}).withColumn("net_id", F.lit(i))
         parts = part if parts is None else parts.unionByName(part)

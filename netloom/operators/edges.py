@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..storage import materialize
 
@@ -142,6 +143,13 @@ def subgraph(edges: DataFrame, weight_least: float = 0.1, connected: float = 0.0
     return strong.join(rows, ["net_id", "target"], "left_semi").join(columns, ["net_id", "source"], "left_semi").select("net_id", "target", "source", "weight")
 
 
+def each_network(edges: DataFrame) -> Column:
+    """One row for each network of ``edges``, of which there are a few: a generator of ``net_id``."""
+    kind = edges.schema["net_id"].dataType
+    ids = sorted(r[0] for r in edges.select("net_id").distinct().collect())
+    return F.explode(F.array(*map(F.lit, ids)).cast(ArrayType(kind))).alias("net_id")
+
+
 def knockout_perturbation(edges: DataFrame, x: DataFrame, ko_genes: list[str], degree: int, genes: DataFrame | None = None) -> DataFrame:
     """What a knockout that spreads over ``degree`` steps takes from the counts of each network: ``net_id``, ``gene``, ``cell``, ``value``.
 
@@ -153,8 +161,7 @@ def knockout_perturbation(edges: DataFrame, x: DataFrame, ko_genes: list[str], d
     axis = materialize(gene_axis(x) if genes is None else genes.select("gene").distinct(), "axis")
     check_known(ko_genes, axis)
     n_genes = axis.count()
-    ids = edges.select("net_id").distinct()  # one row a network
-    p = materialize(x.filter(F.col("gene").isin(*ko_genes)).join(F.broadcast(ids)).select("net_id", "gene", "cell", "value"), "step") if ko_genes else materialize(x.join(ids).select("net_id", "gene", "cell", "value").filter("false"), "step")
+    p = materialize(x.filter(F.col("gene").isin(*ko_genes) if ko_genes else F.lit(False)).select(each_network(edges), "gene", "cell", "value"), "step")
     total, live, visited = p, edges.select("net_id", "target", "source", "weight"), p.select("net_id", "gene").filter("false")
     for _ in range(degree):
         given = p.select("net_id", F.col("gene").alias("source"), "cell", "value")
@@ -176,9 +183,8 @@ def propagate_knockout(edges: DataFrame, x: DataFrame, ko_genes: list[str], degr
     (cell) restricts it to the cells that are needed, while the knockout spreads over all.
     """
     taken = knockout_perturbation(edges, x, ko_genes, degree, genes).withColumnRenamed("value", "p")
-    ids = edges.select("net_id").distinct()
     if cells is not None:
         x, taken = (df.join(cells, "cell", "left_semi") for df in (x, taken))
-    before = x.join(F.broadcast(ids)).select("net_id", "gene", "cell", "value")
+    before = x.select(each_network(edges), "gene", "cell", "value")
     left = before.join(taken, ["net_id", "gene", "cell"], "full")
     return left.select("net_id", "gene", "cell", F.greatest(F.coalesce("value", F.lit(0.0)) - F.coalesce("p", F.lit(0.0)), F.lit(0.0)).alias("value")).filter("value > 0")

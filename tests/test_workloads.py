@@ -7,8 +7,8 @@ from test_numeric import brute_beta, spread
 from netloom.jobs import workloads as wl
 from netloom.operators.qc import QcParams
 
-NC = {"n_nets": 3, "n_samp_cells": 25, "q": 0.9}
-TD = {"rank": 2, "max_iter": 6, "decimals": 1}
+NC = {"n_nets": 2, "n_samp_cells": 25, "q": 0.9}
+TD = {"rank": 2, "max_iter": 3, "decimals": 1}
 QC = QcParams(min_lib_size=3, remove_outlier_cells=False, min_percent=0.05)
 
 
