@@ -94,7 +94,8 @@ def _draws(sources: DataFrame, shard_slots: int, rounds: int, most_passes: int)
     of_source = Window.partitionBy("sid")
     upto = F.sum("n").over(of_source.orderBy("shard"))
     counts = counts.withColumns({"upto": upto, "drawn": F.sum("n").over(of_source)})
-    counts = counts.withColumn("offset", F.expr("share * (upto - n) div drawn")).withColumn("n", F.expr("share * upto div drawn") - F.col("offset")).filter("n > 0").select("sid", "shard", "n", "offset")
+    scaled = lambda upto: F.expr(f"CAST(share AS DECIMAL(19, 0)) * CAST({upto} AS DECIMAL(19, 0)) div drawn")
+    counts = counts.select("sid", "shard", scaled("upto - n").alias("offset"), (scaled("upto") - scaled("upto - n")).alias("n")).filter("n > 0")
     name = lambda p: F.array(*[_draw("key", F.col("sid").cast("string"), str(p), str(i)) for i in range(rounds)])
     keyed = sources.select("sid", "n_blocks", F.array(*[name(p) for p in range(most_passes)]).alias("keys"))
     # few rows here make many slots: deal them to tasks of about SLOTS_PER_TASK
@@ -207,7 +208,7 @@ slots AS (
   SELECT sid, share, CAST(sum(n) OVER (PARTITION BY sid ORDER BY shard) AS BIGINT) AS upto, n, CAST(sum(n) OVER (PARTITION BY sid) AS BIGINT) AS drawn, shard FROM (
     SELECT s.sid, s.share, coalesce(d.shard, 0) AS shard, coalesce(d.n, 1) AS n FROM shares s LEFT JOIN drawn d USING (sid) WHERE s.share > 0)
 ), numbered AS (
-  SELECT sid, shard, unnest(range(share * (upto - n) // drawn, share * upto // drawn)) AS k FROM running
+  SELECT sid, shard, unnest(range(CAST(CAST(share AS HUGEINT) * (upto - n) // drawn AS BIGINT), CAST(CAST(share AS HUGEINT) * upto // drawn AS BIGINT))) AS k FROM running
 ), p0 AS MATERIALIZED (
   SELECT sid, shard, k // n_blocks AS pass, n_blocks, k % n_blocks AS x FROM numbered JOIN shares USING (sid)
 ){steps}, times AS (SELECT sid, x AS block, count(*) AS times FROM {last} GROUP BY sid, x),
