@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, passages, quality, simhash
+from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, packing, passages, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": neighbours.op8_nearest,
         "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
+        "op11_packing": packing.op11_packing,
     }
 
 
