@@ -15,13 +15,16 @@ Tokens come from the ``tokenizers`` library, once for each distinct piece of tex
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +36,10 @@ from .common import bounded_batches, steps, table
 TIERS, END = (2048, 1024, 512, 256), 1
 #: Tokens that a task packs at once, tokens of a step.
 BATCH_TOKENS, STEP_TOKENS = 4 << 20, 1 << 19
-#: Characters of the pieces that a worker remembers; longer pieces are split before they are encoded.
-REMEMBERED, LONG_PIECE = 32 << 20, 1 << 16
+#: Pieces that a worker remembers, about; longer pieces (in characters) are split before they are encoded.
+REMEMBERED, LONG_PIECE = 1 << 20, 1 << 16
+#: UTF-8 bytes of text encoded at once.
+BYTES_AT_ONCE = 8 << 20
 
 #: A place in front of white space (as the pattern of byte-level vocabularies has it) that follows anything else.
 BEFORE_SPACE = re.compile(r"(?<=\S)(?=[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
@@ -56,71 +61,78 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.after_space: dict[str, int] = {}  # piece: number of " piece", which starts a row of ids
+        """Piece 0 is the end token; ``starts`` and ``sizes`` tell where the ids of a piece lie in ``flat``."""
+        self.after_space: dict[str, int] = {}
         self.whole: dict[str, int] = {}
-        self.open = set()  # pieces that end in white space or are empty: what follows belongs to them
-        self.flat, self.sizes, self.n_flat, self.chars = np.empty(1 << 16, np.uint32), [1], 1, 0
-        self.flat[0] = self.end
-        self.starts = [0]
-
-    def _add(self, texts: list[str]) -> range:
-        """Numbers of the new pieces ``texts``."""
-        first = len(self.sizes)
-        for lo in range(0, len(texts), 4096):
-            some = texts[lo : lo + 4096]
-            cut = [BEFORE_SPACE.split(t) if len(t) > LONG_PIECE else [t] for t in some]
-            found = iter(self.tokenizer.encode_batch([p for c in cut for p in c], add_special_tokens=False))
-            for t, c in zip(some, cut):
-                ids = [i for _ in c for i in next(found).ids]
-                while self.n_flat + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-                self.starts.append(self.n_flat)
-                self.sizes.append(len(ids))
-                self.n_flat += len(ids)
-                self.chars += len(t)
-        return range(first, len(self.sizes))
-
-    def _pieces(self, parts: list[str]) -> list[str]:
-        """``parts`` of a text (split at spaces), joined again where a space isn't the first white space."""
-        out, lo = [], 0
-        for hi in range(1, len(parts) + 1):
-            if hi == len(parts) or parts[hi - 1] not in self.open:
-                out.append((" " if lo else "") + " ".join(parts[lo:hi]))
-                lo = hi
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by the end token, and the number of ids of each text."""
-        if self.chars > REMEMBERED:
+        self.flat, self.n_flat = np.full(1 << 16, self.end, np.uint32), 1
+        self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64), 1
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        cut = [BEFORE_SPACE.split(t) if len(t) > LONG_PIECE else [t] for t in texts]
+        found = iter(self.tokenizer.encode_batch([p for c in cut for p in c], add_special_tokens=False))
+        return [next(found).ids if len(c) == 1 else [i for _ in c for i in next(found).ids] for c in cut]
+
+    def _add(self, known: dict[str, int], new: list[str], before: str) -> None:
+        """Encode the pieces ``new``, with ``before`` in front, and note their numbers in ``known``."""
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            ids = self._ids([before + t for t in some])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(sizes.sum())
+            if self.n_flat + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), total), np.uint32)])
+            if self.n + len(ids) > len(self.sizes):
+                self.starts, self.sizes = (np.concatenate([x, np.empty(max(len(x), len(ids)), np.int64)]) for x in (self.starts, self.sizes))
+            self.flat[self.n_flat : self.n_flat + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.sizes[self.n : self.n + len(ids)] = sizes
+            self.starts[self.n : self.n + len(ids)] = self.n_flat + np.cumsum(sizes) - sizes
+            known.update(zip(some, range(self.n, self.n + len(ids))))
+            self.n, self.n_flat = self.n + len(ids), self.n_flat + total
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end token, and the number of ids of each text; a null text is empty."""
+        if self.n > REMEMBERED:
             self._forget()
-        split = [t.split(" ") for t in texts]
-        new = list(dict.fromkeys(p for p in set().union(*split) if p not in self.after_space))
-        new.sort()
-        self.open.update(p for p in new if not p or p[-1].isspace())
-        self.after_space.update(zip(new, self._add([f" {p}" for p in new])))
-        odd = {k: self._pieces(s) for k, s in enumerate(split) if not self.open.isdisjoint(s)}
-        heads = {s[0] for k, s in enumerate(split) if k not in odd}.union(*odd.values())
-        new = sorted(heads - self.whole.keys())
-        self.whole.update(zip(new, self._add(new)))
-        rows = []
-        for k, s in enumerate(split):
-            if k in odd:
-                rows += map(self.whole.__getitem__, odd[k])
-            else:
-                rows.append(self.whole[s[0]])
-                rows += map(self.after_space.__getitem__, s[1:])
-            rows.append(0)  # the end token
-        rows = np.array(rows, np.int64)
-        sizes = np.array(self.sizes)[rows]
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        pieces = pc.list_flatten(parts).dictionary_encode()
+        names, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False)
+        self._add(self.after_space, sorted(set(names).difference(self.after_space)), " ")
+        n_parts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(n_parts)), n_parts)
+        rows = np.fromiter(map(self.after_space.__getitem__, names), np.int64, len(names))[codes]
+        firsts = np.cumsum(n_parts) - n_parts
+        # what follows a piece that is empty or ends in white space belongs to it
+        open_ = np.fromiter((not p or p[-1].isspace() for p in names), bool, len(names))[codes]
+        odd = {k: _rejoined(texts[k].as_py().split(" ")) for k in np.unique(owner[open_]).tolist()}
+        heads = [names[c] for c in codes[firsts]]
+        self._add(self.whole, sorted(set(heads).union(*odd.values()).difference(self.whole)), "")
+        rows[firsts] = np.fromiter(map(self.whole.__getitem__, heads), np.int64, len(heads))
+        own = [np.fromiter(map(self.whole.__getitem__, p), np.int64, len(p)) for p in odd.values()]
+        stays = ~np.isin(owner, list(odd))
+        rows = np.concatenate([rows[stays], *own, np.zeros(len(n_parts), np.int64)])
+        owner = np.concatenate([owner[stays], np.repeat(list(odd), list(map(len, own))).astype(np.int64), np.arange(len(n_parts))])
+        rows = rows[np.argsort(owner, kind="stable")]
+        sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(np.array(self.starts)[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.diff(ends[rows == 0], prepend=0)
 
 
+def _rejoined(parts: list[str]) -> list[str]:
+    """``parts`` of a text (split at spaces), joined again where a space isn't the first white space."""
+    out, lo = [], 0
+    for hi in range(1, len(parts) + 1):
+        if hi == len(parts) or parts[hi - 1] and not parts[hi - 1][-1].isspace():
+            out.append((" " if lo else "") + " ".join(parts[lo:hi]))
+            lo = hi
+    return out
+
+
 @lru_cache(1)
 def encoder(vocabulary: str, end: int) -> Encoder:
     """One encoder for all tasks of a worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
     return Encoder(vocabulary, end)
 
 
@@ -199,8 +211,8 @@ def _packed(vocabulary, end: int, tiers: tuple[int, ...], batch_tokens: int, kin
                 yield pa.RecordBatch.from_arrays([pa.array(doc, kind), *(pa.array(c, pa.int64()) for c in rest)], names)
             first, docs, ids, held = first + len(sequences), [], [], 0
 
-        for batch in steps(batches):
-            flat, sizes = encode([t or "" for t in batch.column(1).to_pylist()])
+        for batch in steps(batches, most=BYTES_AT_ONCE):
+            flat, sizes = encode(batch.column(1))
             docs += batch.column(0).to_pylist()
             ids += np.split(flat.astype("<u4"), np.cumsum(sizes)[:-1])
             held += len(flat)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, packing, passages, quality, simhash
+from . import bpe, fingerprints, html_text, language, line_dedup, mixing, neighbours, packing, passages, quality, simhash, spelling, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_simhash": simhash.op10_simhash,
         "op11_packing": packing.op11_packing,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
