@@ -43,13 +43,15 @@ BYTES_AT_ONCE = 8 << 20
 
 #: A place in front of white space (as the pattern of byte-level vocabularies has it) that follows anything else.
 BEFORE_SPACE = re.compile(r"(?<=\S)(?=[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
+#: Stands in front of spaces and line ends while texts are split there.
+CUT, CUTS = "\0", re.compile("(?=[ \n])")
 
 
 class Encoder:
     """Ids of whole texts by a byte-level vocabulary (the text of its ``tokenizers`` file).
 
     White space may start a pre-token but never follows anything else in one, so that texts may be cut in front of
-    it. They are split at such spaces; every distinct piece is encoded once and then looked up.
+    it. They are split at such spaces and line ends; every distinct piece is encoded once and then looked up.
     """
 
     def __init__(self, vocabulary: str, end: int = END):
@@ -62,21 +64,20 @@ class Encoder:
 
     def _forget(self) -> None:
         """Piece 0 is the end token; ``starts`` and ``sizes`` tell where the ids of a piece lie in ``flat``."""
-        self.after_space: dict[str, int] = {}
-        self.whole: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.flat, self.n_flat = np.full(1 << 16, self.end, np.uint32), 1
         self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64), 1
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         cut = [BEFORE_SPACE.split(t) if len(t) > LONG_PIECE else [t] for t in texts]
-        found = iter(self.tokenizer.encode_batch([p for c in cut for p in c], add_special_tokens=False))
+        found = iter(self.tokenizer.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False))
         return [next(found).ids if len(c) == 1 else [i for _ in c for i in next(found).ids] for c in cut]
 
-    def _add(self, known: dict[str, int], new: list[str], before: str) -> None:
-        """Encode the pieces ``new``, with ``before`` in front, and note their numbers in ``known``."""
+    def _add(self, new: list[str]) -> None:
+        """Encode the pieces ``new`` and note their numbers."""
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
-            ids = self._ids([before + t for t in some])
+            ids = self._ids(some)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(sizes.sum())
             if self.n_flat + total > len(self.flat):
@@ -86,7 +87,7 @@ class Encoder:
             self.flat[self.n_flat : self.n_flat + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
             self.sizes[self.n : self.n + len(ids)] = sizes
             self.starts[self.n : self.n + len(ids)] = self.n_flat + np.cumsum(sizes) - sizes
-            known.update(zip(some, range(self.n, self.n + len(ids))))
+            self.known.update(zip(some, range(self.n, self.n + len(ids))))
             self.n, self.n_flat = self.n + len(ids), self.n_flat + total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +95,21 @@ class Encoder:
         if self.n > REMEMBERED:
             self._forget()
         texts = pc.fill_null(texts, "")
-        parts = pc.split_pattern(texts, " ")
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", CUT + "\n"), " ", CUT + " ")
+        parts = pc.split_pattern(marked, CUT)
         pieces = pc.list_flatten(parts).dictionary_encode()
         names, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False)
-        self._add(self.after_space, sorted(set(names).difference(self.after_space)), " ")
         n_parts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(n_parts)), n_parts)
-        rows = np.fromiter(map(self.after_space.__getitem__, names), np.int64, len(names))[codes]
-        firsts = np.cumsum(n_parts) - n_parts
         # what follows a piece that is empty or ends in white space belongs to it
-        open_ = np.fromiter((not p or p[-1].isspace() for p in names), bool, len(names))[codes]
-        odd = {k: _rejoined(texts[k].as_py().split(" ")) for k in np.unique(owner[open_]).tolist()}
-        heads = [names[c] for c in codes[firsts]]
-        self._add(self.whole, sorted(set(heads).union(*odd.values()).difference(self.whole)), "")
-        rows[firsts] = np.fromiter(map(self.whole.__getitem__, heads), np.int64, len(heads))
-        own = [np.fromiter(map(self.whole.__getitem__, p), np.int64, len(p)) for p in odd.values()]
-        stays = ~np.isin(owner, list(odd))
-        rows = np.concatenate([rows[stays], *own, np.zeros(len(n_parts), np.int64)])
-        owner = np.concatenate([owner[stays], np.repeat(list(odd), list(map(len, own))).astype(np.int64), np.arange(len(n_parts))])
+        open_ = np.fromiter((not p or p[-1].isspace() for p in names), bool, len(names))
+        odd = set(owner[open_[codes]].tolist()) | set(np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False)).tolist())
+        own = {k: _rejoined(texts[k].as_py()) for k in sorted(odd)}
+        self._add(sorted(set(names).union(*own.values()).difference(self.known)))
+        number = self.known.__getitem__
+        stays = ~np.isin(owner, list(own))
+        rows = np.concatenate([np.fromiter(map(number, names), np.int64, len(names))[codes[stays]], *(np.fromiter(map(number, p), np.int64, len(p)) for p in own.values()), np.zeros(len(n_parts), np.int64)])
+        owner = np.concatenate([owner[stays], np.repeat(list(own), list(map(len, own.values()))).astype(np.int64), np.arange(len(n_parts))])
         rows = rows[np.argsort(owner, kind="stable")]
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
@@ -119,13 +117,14 @@ class Encoder:
         return ids, np.diff(ends[rows == 0], prepend=0)
 
 
-def _rejoined(parts: list[str]) -> list[str]:
-    """``parts`` of a text (split at spaces), joined again where a space isn't the first white space."""
-    out, lo = [], 0
-    for hi in range(1, len(parts) + 1):
-        if hi == len(parts) or parts[hi - 1] and not parts[hi - 1][-1].isspace():
-            out.append((" " if lo else "") + " ".join(parts[lo:hi]))
-            lo = hi
+def _rejoined(text: str) -> list[str]:
+    """Pieces of a text, cut in front of spaces and line ends that follow anything but white space."""
+    out = [""]
+    for part in CUTS.split(text):
+        if out[-1] and not out[-1][-1].isspace():
+            out.append(part)
+        else:
+            out[-1] += part
     return out
 
 

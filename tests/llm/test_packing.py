@@ -23,7 +23,7 @@ def plain_ids(texts):
 
 def test_encoder_equals_library():
     rng = random.Random(1)
-    odd = [" ", "\n", "\t", "  ", " ", "\x1c", "　", "\x85", "a", "B7", "it's", "é", "!", "!\x1c", "中文", "😀", "<|endoftext|>", "\r\n", ""]
+    odd = [" ", "\n", "\t", "  ", " ", "\x1c", "　", "\x85", "a", "B7", "it's", "é", "!", "!\x1c", "中文", "😀", "<|endoftext|>", "\r\n", "", "\0"]
     texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(3000)]
     texts += ["", " ", "a " * 50_000, "x" * 70_000, ("ab\ncd " * 20_000).strip(), " lead", "trail ", "a  b   c \n d"]
     ids, sizes = packing.Encoder(VOCABULARY).encode(pa.array(texts))
