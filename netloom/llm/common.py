@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BYTES_PER_STEP) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of at most ``most`` bytes of text (one row at least)."""
     for batch in batches:

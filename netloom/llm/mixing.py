@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import table
+from .common import named, table
 
 #: Weights by the order of sources, passes over a source at most.
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 #: Words in a block, slots in an output shard, rounds of the permutation, cells of the source lookup.
 BLOCK_WORDS, SHARD_SLOTS, ROUNDS, CELLS = 64, 4096, 10, 1024
-#: Slots that one task permutes, about.
-SLOTS_PER_TASK = 100_000
+#: Slots that one task permutes, about; shards whose numbers one task sums up.
+SLOTS_PER_TASK, SHARDS_A_PART = 100_000, 1024
 #: Hex digits of md5(id) that make the first level of the order of documents in a source.
 CHUNK_DIGITS = 3
 
@@ -69,10 +69,10 @@ def plan_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_pass
 
 
 def _lay_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document's first word in its source: ``start``. Order: chunk of the id's md5, id, hash of the text."""
+    """Each document's first word in its source: ``start``. Order: chunk of the id's md5 (without an id: the text's), id, hash of the text."""
     named = sources.select(F.col("source").alias("__source"), "sid")
     rows = sized.join(named, sized["source"].eqNullSafe(named["__source"])).drop("__source")
-    rows = rows.withColumn("chunk", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, CHUNK_DIGITS))
+    rows = rows.withColumn("chunk", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("th").cast("string"))), 1, CHUNK_DIGITS))
     chunks = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -91,9 +91,13 @@ def _draws(sources: DataFrame, shard_slots: int, rounds: int, most_passes: int)
     counts = chosen.groupBy("sid", "shard").agg(F.count("*").alias("n"))
     # a source that draws nothing at all has its blocks in the first shard
     counts = sources.filter("share > 0").select("sid", "share").join(counts, "sid", "left").fillna({"shard": 0, "n": 1})
-    of_source = Window.partitionBy("sid")
-    upto = F.sum("n").over(of_source.orderBy("shard"))
-    counts = counts.withColumns({"upto": upto, "drawn": F.sum("n").over(of_source)})
+    # numbers of a source through all shards in two levels, so that no window holds them all
+    counts = materialize(counts.withColumn("part", F.expr(f"shard div {SHARDS_A_PART}")), "counts")
+    parts = counts.groupBy("sid", "part").agg(F.sum("n").alias("k"))
+    through = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("sid", "part", F.coalesce(F.sum("k").over(through), F.lit(0)).alias("base"), F.sum("k").over(Window.partitionBy("sid")).alias("drawn"))
+    upto = F.sum("n").over(Window.partitionBy("sid", "part").orderBy("shard"))
+    counts = counts.withColumn("upto", upto).join(parts, ["sid", "part"]).withColumn("upto", F.col("base") + F.col("upto"))
     scaled = lambda upto: F.expr(f"CAST(share AS DECIMAL(19, 0)) * CAST({upto} AS DECIMAL(19, 0)) div drawn")
     counts = counts.select("sid", "shard", scaled("upto - n").alias("offset"), (scaled("upto") - scaled("upto - n")).alias("n")).filter("n > 0")
     name = lambda p: F.array(*[_draw("key", F.col("sid").cast("string"), str(p), str(i)) for i in range(rounds)])
@@ -144,7 +148,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_pass
 
     ``text`` holds the words taken in that pass, in order, each with the white space after it; ``n_chars``,
     if there is one, is counted anew. A document taken whole three times has three rows. Rows of ``docs``
-    that repeat (same id, source and text) share their other columns.
+    that repeat (same id, source and text) share their other columns: those of the row with the smallest hash of all.
     """
     _, laid, draws = _planned(docs, weights, most_passes, block_words, shard_slots, rounds)
     pieces = _segments(laid, block_words).join(draws.select("sid", "block", "pass"), ["sid", "block"])
@@ -152,16 +156,16 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_pass
     passes = pieces.groupBy("doc_id", "source", "th", "start", "pass").agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
     passes = passes.groupBy("doc_id", "source", "th").agg(F.collect_list("__pieces").alias("__passes"))
     passes = passes.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("th").alias("__th"), "__passes")
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    single = docs.withColumn("__hash", F.xxhash64("text")).groupBy("doc_id", "source", "__hash").agg(*[F.first(c).alias(c) for c in rest])
+    one = F.min_by(F.struct(*named(docs.columns)), F.xxhash64(*named(docs.columns))).alias("__row")
+    single = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("__hash")).agg(one).select("__row.*", "__hash")
     rows = single.join(passes, single["doc_id"].eqNullSafe(passes["__doc"]) & single["source"].eqNullSafe(passes["__source"]) & (single["__hash"] == passes["__th"]))
     rows = rows.withColumn("__words", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)))
-    rows = rows.select(*docs.columns, "__words", F.explode("__passes").alias("__pieces"))
+    rows = rows.select(*named(docs.columns), "__words", F.explode("__passes").alias("__pieces"))
     text = F.array_join(F.transform("__pieces", lambda p: F.array_join(F.slice("__words", p["from"] + 1, p["to"] - p["from"]), "")), "")
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*named(docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,21 @@
 import random
 
 import pytest
+import xxhash
 from oracle import compare
 
 from netloom.llm import line_dedup
 
 
+def text_hash(text):
+    """Spark's xxhash64: texts under one id come in its order."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def brute(rows, min_lines, lone_words=None):
     """(text, deleted, stretches, longest run) of each document, from the definition, run by run."""
-    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
     seen, out = set(), {}
     for d, text in order:
         lines = [] if text is None else text.split("\n")

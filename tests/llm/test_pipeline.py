@@ -75,7 +75,9 @@ def test_stages_against_plain_versions(spark):
     first = source.orderBy("doc_id").limit(2).collect()
     odd += [tuple(first[0]), (first[0].doc_id, "the small house under that id stands there", "en", None, 0)]
     docs = source.union(spark.createDataFrame(odd, source.schema))
-    extra = docs.selectExpr("*", "'k' as kept", "1 as rank", "'s' as sid", "2 as th")
+    own = "'k' as kept, 1 as rank, 's' as sid, 2 as th, 3.5D as score, 'l' as lang_pred, 4 as n_lines, 5 as n_deleted, 6 as n_runs, 7 as longest_run, 'w' as Size, 8 as extra0, 'x' as `a.b`"
+    extra = docs.selectExpr("*", *own.split(", "))
+    clashing = lambda df: {tuple(r) for r in df.select(*[f"`{c}`" for c in extra.columns[len(docs.columns) :]]).collect()}
     stages = dict(corpus_pipeline.STAGES)
     step = lambda name, df: corpus_pipeline.materialize(stages[name](spark, df, SF), name)
     before = [r.asDict() for r in extra.collect()]
@@ -85,7 +87,7 @@ def test_stages_against_plain_versions(spark):
     model = PlainLanguage([(r["text"], r["lang"]) for r in learn])
     want = [r for r in before if (lambda lang, score: lang != "und" and score >= 0.5)(*model.predict(r["text"]))]
     now = step("language_id", extra)
-    assert now.columns == extra.columns
+    assert now.columns == extra.columns and clashing(now) == clashing(extra)
     rows = [r.asDict() for r in now.collect()]
     assert table(rows, "doc_id", "text", "lang", "kept") == table(want, "doc_id", "text", "lang", "kept") and len(rows) > 190
 
@@ -93,6 +95,7 @@ def test_stages_against_plain_versions(spark):
     after = plain_lines([(r["doc_id"], r["text"]) for r in rows], 2, 5)
     want = [r | {"text": after[r["doc_id"], r["text"]][0]} for r in rows]
     now = step("line_dedup", now)
+    assert now.columns == extra.columns and clashing(now) == clashing(extra)
     rows = [r.asDict() for r in now.collect()]
     assert table(rows, "doc_id", "text", "source", "rank") == table(want, "doc_id", "text", "source", "rank")
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
@@ -123,6 +126,7 @@ def test_stages_against_plain_versions(spark):
         left -= sum(targets[s] for s in full)
         open_ = open_ - full if full else set()
     now = step("mixing", now)
+    assert now.columns == extra.columns and clashing(now) == clashing(extra)
     mixed = [r.asDict() for r in now.collect()]
     taken, of_doc = Counter(), Counter()
     for r in mixed:
