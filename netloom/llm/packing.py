@@ -10,15 +10,17 @@ A task packs its own documents in batches of about ``BATCH_TOKENS`` tokens, so t
 document) and nothing is shuffled for it. Sequences then are sorted by tier and attention cost (sum of squared piece lengths)
 over the whole table, and each ``STEP_TOKENS`` tokens of like cost make a step: workers that share a step get equal work.
 
-Tokens come from the ``tokenizers`` library, once for each distinct piece of text between boundaries that its pattern can't cross.
+Tokens are those of the ``tokenizers`` library, found once for each distinct piece of text between boundaries that its pattern can't
+cross (of short pieces by ``tiktoken``, which gives the same ids faster).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,8 +38,8 @@ from .common import bounded_batches, steps, table
 TIERS, END = (2048, 1024, 512, 256), 1
 #: Tokens that a task packs at once, tokens of a step.
 BATCH_TOKENS, STEP_TOKENS = 4 << 20, 1 << 19
-#: Pieces that a worker remembers, about; longer pieces (in characters) are split before they are encoded.
-REMEMBERED, LONG_PIECE = 1 << 20, 1 << 16
+#: Pieces that a worker remembers, about; characters of short pieces at most, and from which long ones are split before they are encoded.
+REMEMBERED, SHORT_PIECE, LONG_PIECE = 1 << 20, 64, 1 << 16
 #: UTF-8 bytes of text encoded at once.
 BYTES_AT_ONCE = 8 << 20
 
@@ -47,6 +49,30 @@ BEFORE_SPACE = re.compile(r"(?<=\S)(?=[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u
 CUT, CUTS = "\0", re.compile("(?=[ \n])")
 
 
+def _short_encoder(vocabulary: dict) -> Callable[[str], list[int]] | None:
+    """A faster encoder of short pieces with the same ids, for vocabularies whose ids rise in the order of the merges; else None.
+
+    Then the order of ids ranks the merges, which is what ``tiktoken`` goes by.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    model, split = vocabulary.get("model", {}), vocabulary.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not vocabulary.get("normalizer")
+    if model.get("type", "BPE") != "BPE" or not plain:
+        return None
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [model["vocab"][t] for t in merged]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    as_byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+    single = [model["vocab"].get(c) for c in as_byte]
+    if order != sorted(set(order)) or None in single or max(single) > min(order, default=256):
+        return None
+    ranks = {bytes(as_byte[c] for c in t): model["vocab"][t] for t in [*as_byte, *merged]}
+    return tiktoken.Encoding("short", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """Ids of whole texts by a byte-level vocabulary (the text of its ``tokenizers`` file).
 
@@ -59,6 +85,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
+        self.short = _short_encoder(json.loads(vocabulary))
         self.end = end
         self._forget()
 
@@ -69,6 +96,15 @@ class Encoder:
         self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64), 1
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
+        if self.short is None:
+            return self._long_ids(texts)
+        ids = [self.short(t) if len(t) <= SHORT_PIECE else None for t in texts]
+        if rest := [k for k, found in enumerate(ids) if found is None]:
+            for k, found in zip(rest, self._long_ids([texts[k] for k in rest])):
+                ids[k] = found
+        return ids
+
+    def _long_ids(self, texts: list[str]) -> list[list[int]]:
         cut = [BEFORE_SPACE.split(t) if len(t) > LONG_PIECE else [t] for t in texts]
         found = iter(self.tokenizer.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False))
         return [next(found).ids if len(c) == 1 else [i for _ in c for i in next(found).ids] for c in cut]
@@ -107,10 +143,15 @@ class Encoder:
         own = {k: _rejoined(texts[k].as_py()) for k in sorted(odd)}
         self._add(sorted(set(names).union(*own.values()).difference(self.known)))
         number = self.known.__getitem__
-        stays = ~np.isin(owner, list(own))
-        rows = np.concatenate([np.fromiter(map(number, names), np.int64, len(names))[codes[stays]], *(np.fromiter(map(number, p), np.int64, len(p)) for p in own.values()), np.zeros(len(n_parts), np.int64)])
-        owner = np.concatenate([owner[stays], np.repeat(list(own), list(map(len, own.values()))).astype(np.int64), np.arange(len(n_parts))])
-        rows = rows[np.argsort(owner, kind="stable")]
+        rows = np.fromiter(map(number, names), np.int64, len(names))[codes]
+        if own:
+            stays = ~np.isin(owner, list(own))
+            rows = np.concatenate([rows[stays], *(np.fromiter(map(number, p), np.int64, len(p)) for p in own.values())])
+            owner = np.concatenate([owner[stays], np.repeat(list(own), list(map(len, own.values())))])
+            order = np.argsort(owner, kind="stable")
+            rows, owner = rows[order], owner[order]
+        found, rows = rows, np.zeros(len(rows) + len(n_parts), np.int64)
+        rows[np.arange(len(found)) + owner] = found  # what is left behind each text is its end token
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]

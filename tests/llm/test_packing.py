@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -31,6 +32,19 @@ def test_encoder_equals_library():
         assert got.tolist() == want
 
 
+def test_other_vocabularies_go_by_the_library():
+    """Ids that don't follow the merges, or another split, leave all pieces to the library."""
+    whole = json.loads(VOCABULARY)
+    assert packing._short_encoder(whole) is not None
+    assert packing._short_encoder(whole | {"pre_tokenizer": {"type": "Whitespace"}}) is None
+    model = whole["model"] | {"merges": whole["model"]["merges"][1:] + whole["model"]["merges"][:1]}
+    assert packing._short_encoder(whole | {"model": model}) is None
+    other = packing.Encoder(VOCABULARY)
+    other.short = None
+    texts = ["One two, three.", " four"]
+    assert other.encode(pa.array(texts))[0].tolist() == sum(plain_ids(texts), [])
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 10)
     encoder = packing.Encoder(VOCABULARY)
