@@ -1,15 +1,26 @@
-"""Alignment of two networks on a common low-dimensional manifold."""
+"""Alignment of two networks on a common low-dimensional manifold.
+
+The joint Laplacian of two networks on n genes is a diagonal, the networks' edges, a part of rank one (every entry counts
+one more than its weight) and a coupling of each gene's two sides. It is only ever multiplied with blocks of vectors: the edges on the
+executors, the rest, a few numbers a gene, on the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, numbered
 from .edges import align_networks
 
-#: Genes up to which the eigenvectors are found on a dense matrix of twice as many rows.
-DENSE_GENES = 3_000
+#: Genes up to which all eigenvectors are found on a dense matrix of twice as many rows.
+DENSE_GENES = 1_000
+#: Vectors multiplied at once at least; residual of an eigenvector; multiplications at most.
+LEAST_BLOCK, RESIDUAL, ROUNDS = 24, 1e-8, 1_000
 
 
 def laplacian_degrees(x: DataFrame, y: DataFrame, genes: DataFrame) -> DataFrame:
@@ -30,37 +41,157 @@ def laplacian_degrees(x: DataFrame, y: DataFrame, genes: DataFrame) -> DataFrame
     return side(x, "X").unionByName(side(y, "Y"))
 
 
-def manifold_alignment(x: DataFrame, y: DataFrame, d: int = 30, tol: float = 1e-8, x_genes: DataFrame | None = None, y_genes: DataFrame | None = None) -> DataFrame:
-    """``side``, ``gene``, ``coords`` (and ``coords_im``): the eigenvectors of the d smallest eigenvalues of the
-    joint Laplacian that reach ``tol``, by real part. Every gene that both axes share has a row on each side.
+class JointLaplacian:
+    """The joint Laplacian of networks ``x`` and ``y`` on ``shared`` (gene): rows of X first, then those of Y.
 
-    ``x_genes`` and ``y_genes`` are the gene axes (see ``align_networks``). The edges between shared genes come to
-    the driver, at most 2 DENSE_GENES^2 numbers; more genes raise.
+    ``edges`` (at, source, weight) are the edges without diagonal, rows and columns numbered through both sides, dealt by row and
+    in order, so that a task sums whole rows.
     """
-    spark = x.sparkSession
-    x, y, shared = align_networks(x, y, x_genes, y_genes)
-    genes = sorted(r[0] for r in shared.limit(DENSE_GENES + 1).collect())
-    n = len(genes)
-    if n > DENSE_GENES:
-        raise ValueError(f"at most {DENSE_GENES} shared genes can be aligned")
-    if not n:
-        return spark.createDataFrame([], "side string, gene string, coords array<double>, coords_im array<double>")
-    place = {g: i for i, g in enumerate(genes)}
-
-    def dense(e: DataFrame) -> np.ndarray:
-        out = np.zeros((n, n))
-        rows = e.select("target", "source", "weight").toPandas()
-        out[rows["target"].map(place).to_numpy(int), rows["source"].map(place).to_numpy(int)] = rows["weight"]
+
+    def __init__(self, x: DataFrame, y: DataFrame, shared: DataFrame):
+        self.genes = materialize(numbered(shared.select("gene"), "gene", name="at"), "axis")
+        self.n = n = self.genes.count()
+        ends = [self.genes.select(F.col("gene").alias(c), F.col("at").alias(f"{c}_at")) for c in ("target", "source")]
+        numbered_side = lambda e, first: e.filter("target <> source").join(ends[0], "target").join(ends[1], "source").select((F.col("target_at") + first).alias("at"), (F.col("source_at") + first).alias("source"), "weight")
+        both = numbered_side(x, 0).unionByName(numbered_side(y, n)).groupBy("at", "source").agg(F.sum("weight").alias("weight"))
+        self.edges = materialize(both.repartitionByRange("at").sortWithinPartitions("at", "source"), "edges")
+        degrees = laplacian_degrees(x, y, shared).join(self.genes, "gene").select((F.col("at") + F.when(F.col("side") == "Y", n).otherwise(0)).alias("at"), "degree", "c").toArrow()
+        self.diagonal = np.empty(2 * n)
+        self.diagonal[degrees["at"].to_numpy()] = degrees["degree"].to_numpy()
+        self.c = degrees["c"][0].as_py() if n else 0.0
+
+    def symmetric(self) -> bool:
+        back = self.edges.select(F.col("source").alias("at"), F.col("at").alias("source"), F.col("weight").alias("back"))
+        apart = F.max(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("back", F.lit(0.0))))
+        row = self.edges.join(back, ["at", "source"], "full").agg(apart.alias("apart"), F.max(F.abs("weight")).alias("top")).first()
+        return (row["apart"] or 0.0) <= 1e-12 * (row["top"] or 0.0)
+
+    def apply(self, block: np.ndarray) -> np.ndarray:
+        """The Laplacian times a block of columns: one pass over the edges, without a shuffle."""
+        shared = self.edges.sparkSession.sparkContext.broadcast(block)
+        k = block.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for batch in batches:
+                at, source, weight = (c.to_numpy() for c in batch.columns)
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                sums = np.add.reduceat(weight[:, None] * block[source], first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * k), len(first), [None, pa.py_buffer(sums.tobytes())]).cast(pa.binary())], ["at", "sums"])
+
+        found = self.edges.mapInArrow(run, "at bigint, sums binary").toArrow().combine_chunks()
+        product = np.zeros_like(block)
+        if found.num_rows:
+            np.add.at(product, found["at"].to_numpy(), np.frombuffer(b"".join(found["sums"].to_pylist())).reshape(-1, k))
+        shared.destroy()
+        return self.around(block) - product
+
+    def around(self, block: np.ndarray) -> np.ndarray:
+        """All but the edges times a block: diagonal, the ones off it, the coupling."""
+        a, b = block[: self.n], block[self.n :]
+        ones = np.concatenate([a.sum(axis=0) - a, b.sum(axis=0) - b])
+        return self.diagonal[:, None] * block - ones - self.c * np.concatenate([b, a])
+
+    def dense(self) -> np.ndarray:
+        rows = self.edges.toArrow()
+        out = self.around(np.eye(2 * self.n))
+        out[rows["at"].to_numpy(), rows["source"].to_numpy()] -= rows["weight"].to_numpy()
         return out
 
-    a, b = dense(x) + 1, dense(y) + 1
-    cross = np.eye(n) * (0.9 * (a.sum() + b.sum()) / (2 * n))
-    w = -np.block([[a, cross], [cross, b]])
-    np.fill_diagonal(w, 0)
-    np.fill_diagonal(w, -w.sum(axis=0))
-    values, vectors = np.linalg.eigh(w) if np.allclose(w, w.T) else np.linalg.eig(w)
+    def correction(self, residual: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Residuals over the Laplacian less the values, as far as its diagonal and its coupling tell (2 x 2 a gene)."""
+        p, q = self.diagonal[: self.n, None] - values + 1, self.diagonal[self.n :, None] - values + 1
+        det, least = p * q - self.c**2, 1e-3 * np.abs(p * q).max(axis=0)
+        det = np.where(np.abs(det) < least, least, det)
+        a, b = residual[: self.n], residual[self.n :]
+        return np.concatenate([(q * a + self.c * b) / det, (p * b + self.c * a) / det])
+
+
+def _span(block: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    """An orthonormal basis of real columns that span those of ``block``."""
+    if np.iscomplexobj(block):
+        block = np.concatenate([block.real, block.imag], axis=1)
+    u, s, _ = np.linalg.svd(block, full_matrices=False)
+    return u[:, s > least * max(s[0], 1e-300)]
+
+
+def _wanted(values: np.ndarray, d: int, tol: float) -> list[int]:
+    """Of the 2 d smallest by real part the first d that reach ``tol``."""
     order = np.argsort(values.real, kind="stable")[: 2 * d]
-    order = [i for i in order if values[i].real >= tol][:d]
-    v = vectors[:, order]
-    rows = [("X" if i < n else "Y", genes[i % n], v[i].real.tolist(), v[i].imag.tolist()) for i in range(2 * n)]
-    return spark.createDataFrame(rows, "side string, gene string, coords array<double>, coords_im array<double>")
+    return [i for i in order if values[i].real >= tol][:d]
+
+
+def smallest_eigenvectors(lap: JointLaplacian, d: int, tol: float = 1e-8, residual: float = RESIDUAL, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Values and unit vectors (columns) of the ``d`` eigenvalues of smallest real part that reach ``tol``, by block Davidson steps.
+
+    A basis of at most some 2 d + 4 blocks is extended by corrected residuals of all vectors that have not converged yet, one
+    multiplication a round, and shrunk to its best part when it is full. Complex pairs go in by real and imaginary
+    parts. What doesn't reach ``residual`` in ``rounds`` multiplications raises.
+    """
+    n, block = lap.n, max(2 * d, LEAST_BLOCK)
+    symmetric, keep = lap.symmetric(), 2 * d + LEAST_BLOCK
+    most, rng = keep + 3 * block, np.random.default_rng(7)
+    start = rng.standard_normal((2 * n, block))
+    small = np.argsort(lap.diagonal[:n] + lap.diagonal[n:], kind="stable")[:block]
+    start[small, np.arange(len(small))] += 30
+    start[n + small, np.arange(len(small))] += 30
+    sides = np.repeat([[1.0, 1.0], [1.0, -1.0]], n, axis=1).T
+    basis = np.linalg.qr(np.column_stack([sides, start]))[0]
+    product, noise = lap.apply(basis), 0.0
+    for _ in range(rounds):
+        inner = basis.T @ product
+        values, turn = np.linalg.eigh((inner + inner.T) / 2) if symmetric else np.linalg.eig(inner)
+        order = np.argsort(values.real, kind="stable")
+        values, turn = values[order], turn[:, order]
+        low = int((values.real < tol).sum())
+        m = min(low + d, 2 * d, len(values))
+        vectors = basis @ turn[:, :m]
+        rest = product @ turn[:, :m] - vectors * values[:m]
+        off = np.linalg.norm(rest, axis=0)
+        noise = 64 * np.finfo(float).eps * np.abs(lap.diagonal).max()
+        open_ = np.flatnonzero(off > max(residual, noise))
+        if not len(open_):
+            own = _wanted(values[:m], d, tol)
+            return values[own], vectors[:, own]
+        # vectors a little further up go along: they keep the ones below apart from the rest
+        ahead = np.arange(m, min(m + max(block - len(open_), 0) // 2, len(values)))
+        also = product @ turn[:, ahead] - (basis @ turn[:, ahead]) * values[ahead]
+        grown = lap.correction(np.concatenate([rest[:, open_[:block]], also], axis=1), np.concatenate([values[open_[:block]], values[ahead]]))
+        grown /= np.maximum(np.linalg.norm(grown, axis=0), 1e-300)
+        if basis.shape[1] + 2 * grown.shape[1] > most:
+            shrink = _span(turn[:, :keep], 1e-10)
+            basis, product = basis @ shrink, product @ shrink
+        for _ in range(2):
+            grown = grown - basis @ (basis.T @ grown)
+            grown = _span(grown)
+        basis, product = np.column_stack([basis, grown]), np.column_stack([product, lap.apply(grown)])
+    raise ArithmeticError(f"{len(open_)} of {m} eigenvectors haven't converged in {rounds} rounds")
+
+
+def manifold_table(lap: JointLaplacian, vectors: np.ndarray) -> DataFrame:
+    """``side``, ``gene``, ``coords``, ``coords_im``: the rows of the eigenvectors."""
+    spark, width = lap.genes.sparkSession, vectors.shape[1]
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(v).ravel()))
+    imaginary = vectors.imag if np.iscomplexobj(vectors) else np.zeros_like(vectors)
+    rows = spark.createDataFrame(pa.table({"row": np.arange(2 * lap.n), "coords": lists(vectors.real), "coords_im": lists(imaginary)}))
+    rows = rows.withColumn("side", F.when(F.col("row") < lap.n, "X").otherwise("Y")).withColumn("at", F.col("row") % max(lap.n, 1))
+    return rows.join(lap.genes, "at").select("side", "gene", "coords", "coords_im")
+
+
+def manifold_alignment(x: DataFrame, y: DataFrame, d: int = 30, tol: float = 1e-8, x_genes: DataFrame | None = None, y_genes: DataFrame | None = None, dense_genes: int = DENSE_GENES) -> DataFrame:
+    """``side``, ``gene``, ``coords`` (and ``coords_im``): the eigenvectors of the d smallest eigenvalues of the
+    joint Laplacian that reach ``tol``, by real part. Every gene that both axes share has a row on each side.
+
+    ``x_genes`` and ``y_genes`` are the gene axes (see ``align_networks``). Up to ``dense_genes`` shared genes the Laplacian is
+    decomposed whole on the driver; beyond, and where a basis fits, only blocks of a few times d vectors are held there.
+    """
+    lap = JointLaplacian(*align_networks(x, y, x_genes, y_genes))
+    if not lap.n:
+        return x.sparkSession.createDataFrame([], "side string, gene string, coords array<double>, coords_im array<double>")
+    if lap.n > dense_genes and lap.n > 8 * d + 4 * LEAST_BLOCK:
+        return manifold_table(lap, smallest_eigenvectors(lap, d, tol)[1])
+    whole = lap.dense()
+    values, vectors = np.linalg.eigh(whole) if np.allclose(whole, whole.T) else np.linalg.eig(whole)
+    return manifold_table(lap, vectors[:, _wanted(values, d, tol)])

@@ -10,6 +10,7 @@ from netloom.functions.statistics import boxcox_lambda, chi2_sf, gamma_q
 from netloom.operators import edges as ed
 from netloom.operators import manifold as mf
 from netloom.operators import pcnet, tensor
+from netloom.operators import regulation as rg
 
 
 def scaled(n, g, seed):
@@ -103,11 +104,7 @@ def test_manifold_residual(spark, symmetric):
     axis = spark.createDataFrame([(f"g{i}",) for i in range(n)], "gene string")
     rows = {(r.side, r.gene): r for r in mf.manifold_alignment(*frames, d=3, x_genes=axis, y_genes=axis).collect()}
     assert len(rows) == 2 * n
-    a, b = nets[0] + 1, nets[1] + 1
-    cross = np.eye(n) * 0.9 * (a.sum() + b.sum()) / (2 * n)
-    lap = -np.block([[a, cross], [cross, b]])
-    np.fill_diagonal(lap, 0)
-    np.fill_diagonal(lap, -lap.sum(axis=0))
+    lap = laplacian(*nets)
     values = np.linalg.eigvals(lap)
     values = sorted((v for v in values if v.real >= 1e-8), key=lambda v: v.real)[:3]
     v = np.array([[complex(*z) for z in zip(rows[s, f"g{i}"].coords, rows[s, f"g{i}"].coords_im)] for s in "XY" for i in range(n)])
@@ -130,6 +127,49 @@ def test_manifold_of_equal_networks(spark):
         np.testing.assert_allclose(got["X", f"g{i}"], got["Y", f"g{i}"], atol=1e-6)
 
 
+def laplacian(x, y):
+    """From degrees: each gene's sum of (weight + 1) over the others into it, and the coupling of its two sides."""
+    n = len(x)
+    c = 0.9 * (x.sum() + y.sum() + 2 * n * n) / (2 * n)
+    out = np.zeros((2 * n, 2 * n))
+    for w, at in ((x, 0), (y, n)):
+        for j in range(n):
+            into = [i for i in range(n) if i != j]
+            out[at + np.array(into), at + j] = -(w[into, j] + 1)
+            out[at + j, at + j] = (w[into, j] + 1).sum() + c
+            out[at + j, (at + j + n) % (2 * n)] = -c
+    return out
+
+
+@pytest.mark.parametrize(("symmetric", "d"), [(True, 3), (False, 12)])
+def test_manifold_by_blocks(spark, symmetric, d):
+    """The iterative path against the dense one: values, residuals, distances of genes; with isolated genes."""
+    rng = np.random.default_rng(d)
+    n, nets = 240, []
+    for _ in range(2):
+        w = np.where(rng.random((n, n)) < 0.06, np.round(rng.normal(0, 0.4, (n, n)), 3), 0)
+        w[-3:] = w[:, -3:] = 0
+        nets.append((w + w.T) / 2 if symmetric else w)
+    frames = [spark.createDataFrame([(0, f"g{i:03d}", f"g{j:03d}", float(w[i, j])) for i, j in zip(*np.nonzero(w))], "net_id int, target string, source string, weight double") for w in nets]
+    axis = spark.createDataFrame([(f"g{i:03d}",) for i in range(n)], "gene string")
+    lap = mf.JointLaplacian(*mf.align_networks(*frames, axis, axis))
+    whole = laplacian(*nets)
+    np.testing.assert_allclose(lap.dense(), whole, atol=1e-9)
+    block = rng.standard_normal((2 * n, 5))
+    np.testing.assert_allclose(lap.apply(block), whole @ block, atol=1e-9)
+    assert lap.symmetric() == symmetric
+    values, vectors = mf.smallest_eigenvectors(lap, d)
+    all_values = np.linalg.eigvals(whole)
+    want = np.sort([v.real for v in all_values if v.real >= 1e-8])[:d]
+    np.testing.assert_allclose(values.real, want, atol=1e-7)
+    assert np.abs(whole @ vectors - vectors * values).max() < 1e-7
+    if not symmetric:
+        assert np.abs(values.imag).max() > 1e-3
+    apart = lambda table: {r.gene: r.distance for r in rg.pair_distance(table).collect()}
+    by_blocks, by_dense = apart(mf.manifold_table(lap, vectors)), apart(mf.manifold_alignment(*frames, d=d, x_genes=axis, y_genes=axis))
+    assert len(by_blocks) == n and max(abs(by_blocks[g] - by_dense[g]) for g in by_dense) < 1e-6
+
+
 def spread(b, x, seeds, degree):
     """A knockout that spreads in one network, on dense arrays."""
     live, p = b.copy(), np.zeros_like(x)
