@@ -11,7 +11,7 @@ from ..operators.normalize import cpm_norm
 from ..operators.pcnet import cell_draws, make_networks
 from ..operators.qc import QcParams, qc_tables
 from ..operators.regulation import d_regulation
-from ..operators.tensor import average_network, cp_als
+from ..operators.tensor import cp_als, denoised_network
 from ..sources.mtx import read_step, write_step
 from ..storage import materialize
 
@@ -19,10 +19,9 @@ from ..storage import materialize
 KNK_QC = QcParams(min_exp_avg=0.05, min_exp_sum=25)
 
 
-def denoise(networks: DataFrame, rank: int = 5, tol: float = 1e-6, max_iter: int = 1000, decimals: int = 1, seed: int = 42) -> DataFrame:
-    """One denoised network: mean of the rank-K model, scaled and rounded."""
-    networks = materialize(networks, "networks")
-    return ed.scale_and_round(average_network(cp_als(networks, rank, tol, max_iter, seed), networks), decimals)
+def denoise(networks: DataFrame, rank: int = 5, tol: float = 1e-6, max_iter: int = 1000, decimals: int = 1, seed: int = 42, state: str | None = None) -> DataFrame:
+    """One denoised network: mean of the rank-K model, scaled and rounded. ``state``: see ``cp_als``."""
+    return denoised_network(cp_als(materialize(networks, "networks"), rank, tol, max_iter, seed, state), decimals)
 
 
 def symmetrize_denoised(network: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.eigen import block_davidson
 from ..storage import materialize, numbered
 from .edges import align_networks
 
@@ -109,14 +110,6 @@ class JointLaplacian:
         return np.concatenate([(q * a + self.c * b) / det, (p * b + self.c * a) / det])
 
 
-def _span(block: np.ndarray, least: float = 1e-12) -> np.ndarray:
-    """An orthonormal basis of real columns that span those of ``block``."""
-    if np.iscomplexobj(block):
-        block = np.concatenate([block.real, block.imag], axis=1)
-    u, s, _ = np.linalg.svd(block, full_matrices=False)
-    return u[:, s > least * max(s[0], 1e-300)]
-
-
 def _wanted(values: np.ndarray, d: int, tol: float) -> list[int]:
     """Of the 2 d smallest by real part the first d that reach ``tol``."""
     order = np.argsort(values.real, kind="stable")[: 2 * d]
@@ -126,48 +119,22 @@ def _wanted(values: np.ndarray, d: int, tol: float) -> list[int]:
 def smallest_eigenvectors(lap: JointLaplacian, d: int, tol: float = 1e-8, residual: float = RESIDUAL, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Values and unit vectors (columns) of the ``d`` eigenvalues of smallest real part that reach ``tol``, by block Davidson steps.
 
-    A basis of at most some 2 d + 4 blocks is extended by corrected residuals of all vectors that have not converged yet, one
-    multiplication a round, and shrunk to its best part when it is full. Complex pairs go in by real and imaginary
-    parts. What doesn't reach ``residual`` in ``rounds`` multiplications raises.
+    Residuals are corrected by the diagonal and the coupling. What doesn't reach ``residual`` in ``rounds`` multiplications raises.
     """
     n, block = lap.n, max(2 * d, LEAST_BLOCK)
-    symmetric, keep = lap.symmetric(), 2 * d + LEAST_BLOCK
-    most, rng = keep + 3 * block, np.random.default_rng(7)
-    start = rng.standard_normal((2 * n, block))
+    start = np.random.default_rng(7).standard_normal((2 * n, block))
     small = np.argsort(lap.diagonal[:n] + lap.diagonal[n:], kind="stable")[:block]
     start[small, np.arange(len(small))] += 30
     start[n + small, np.arange(len(small))] += 30
     sides = np.repeat([[1.0, 1.0], [1.0, -1.0]], n, axis=1).T
-    basis = np.linalg.qr(np.column_stack([sides, start]))[0]
-    product, noise = lap.apply(basis), 0.0
-    for _ in range(rounds):
-        inner = basis.T @ product
-        values, turn = np.linalg.eigh((inner + inner.T) / 2) if symmetric else np.linalg.eig(inner)
-        order = np.argsort(values.real, kind="stable")
-        values, turn = values[order], turn[:, order]
-        low = int((values.real < tol).sum())
-        m = min(low + d, 2 * d, len(values))
-        vectors = basis @ turn[:, :m]
-        rest = product @ turn[:, :m] - vectors * values[:m]
-        off = np.linalg.norm(rest, axis=0)
-        noise = 64 * np.finfo(float).eps * np.abs(lap.diagonal).max()
-        open_ = np.flatnonzero(off > max(residual, noise))
-        if not len(open_):
-            own = _wanted(values[:m], d, tol)
-            return values[own], vectors[:, own]
-        # vectors a little further up go along: they keep the ones below apart from the rest
-        ahead = np.arange(m, min(m + max(block - len(open_), 0) // 2, len(values)))
-        also = product @ turn[:, ahead] - (basis @ turn[:, ahead]) * values[ahead]
-        grown = lap.correction(np.concatenate([rest[:, open_[:block]], also], axis=1), np.concatenate([values[open_[:block]], values[ahead]]))
-        grown /= np.maximum(np.linalg.norm(grown, axis=0), 1e-300)
-        if basis.shape[1] + 2 * grown.shape[1] > most:
-            shrink = _span(turn[:, :keep], 1e-10)
-            basis, product = basis @ shrink, product @ shrink
-        for _ in range(2):
-            grown = grown - basis @ (basis.T @ grown)
-            grown = _span(grown)
-        basis, product = np.column_stack([basis, grown]), np.column_stack([product, lap.apply(grown)])
-    raise ArithmeticError(f"{len(open_)} of {m} eigenvectors haven't converged in {rounds} rounds")
+
+    def wanted(values: np.ndarray) -> tuple[np.ndarray, int]:
+        return np.argsort(values.real, kind="stable"), min(int((values.real < tol).sum()) + d, 2 * d, len(values))
+
+    least = max(residual, 64 * np.finfo(float).eps * np.abs(lap.diagonal).max())
+    values, vectors = block_davidson(lap.apply, np.linalg.qr(np.column_stack([sides, start]))[0], wanted, lap.symmetric(), block, 2 * d + LEAST_BLOCK, least, rounds, lap.correction)
+    own = _wanted(values, d, tol)
+    return values[own], vectors[:, own]
 
 
 def manifold_table(lap: JointLaplacian, vectors: np.ndarray) -> DataFrame:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,35 +53,41 @@ def zscore(df: DataFrame, column: str) -> DataFrame:
 
 
 def fold_change(distances: DataFrame, n_ko_genes: int = 0) -> DataFrame:
-    """``FC``: squared distance over the mean square of all but the ``n_ko_genes`` largest."""
+    """``FC``: squared distance over the mean square of all but the ``n_ko_genes`` largest.
+
+    Where that mean is 0, a gene that didn't move has 0 and one that did has infinity.
+    """
     top = distances.orderBy(F.desc("distance"), "gene").limit(n_ko_genes).select("gene")
     rest = distances.join(F.broadcast(top), "gene", "left_anti") if n_ko_genes else distances
     mean = rest.agg(F.avg(F.col("distance") * F.col("distance")).alias("m"))
-    return distances.crossJoin(F.broadcast(mean)).withColumn("FC", F.try_divide(F.col("distance") * F.col("distance"), F.col("m"))).drop("m")
+    square = F.col("distance") * F.col("distance")
+    still = F.when(F.col("distance") == 0, 0.0).when(F.col("distance").isNotNull(), float("inf"))
+    return distances.crossJoin(F.broadcast(mean)).withColumn("FC", F.when(F.coalesce("m", F.lit(0.0)) == 0, still).otherwise(square / F.nullif("m", F.lit(0.0)))).drop("m")
 
 
 def chi2_pvalue(df: DataFrame, column: str = "FC", degrees: float = 1.0) -> DataFrame:
-    """``p_value``: 1 - the chi-square distribution function."""
+    """``p_value``: 1 - the chi-square distribution function; null for null and NaN, 0 for infinity."""
 
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
-        return pd.Series([np.nan if v is None or math.isnan(v) else chi2_sf(v, degrees) for v in x])
+        return pd.Series([None if v is None or math.isnan(v) else 0.0 if math.isinf(v) else chi2_sf(v, degrees) for v in x], dtype=object)
 
     return df.withColumn("p_value", p(F.col(column).cast("double")))
 
 
 def fdr_adjust(df: DataFrame, column: str = "p_value") -> DataFrame:
-    """``adjusted``: p x n / average rank, at most 1 (no monotone step).
+    """``adjusted``: p x n / average rank, at most 1 (no monotone step); n counts the p that are there. Rows without p stay, without ``adjusted``.
 
     Equal values are counted first, so that the running sum goes over distinct values: one window, meant for a table
     of genes.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("c"))
+    given = df.filter(F.col(column).isNotNull() & ~F.isnan(column))
+    counts = given.groupBy(column).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    total = df.agg(F.count("*").alias("n"))
+    total = given.agg(F.count("*").alias("n"))
     ranks = counts.withColumn("rank", upto - F.col("c") + (F.col("c") + 1) / 2).crossJoin(F.broadcast(total))
     ranks = ranks.select(F.col(column).alias("__p"), F.least(F.col(column) * F.col("n") / F.col("rank"), F.lit(1.0)).alias("adjusted"))
-    return df.join(ranks, df[column] == ranks["__p"]).drop("__p")
+    return df.join(ranks, df[column] == ranks["__p"], "left").drop("__p")
 
 
 def sort_regulation(df: DataFrame, by: str | list[str] = "p-value", ascending: bool | list[bool] = True) -> DataFrame:
@@ -92,7 +97,11 @@ def sort_regulation(df: DataFrame, by: str | list[str] = "p-value", ascending: b
 
 
 def d_regulation(manifold: DataFrame, n_ko_genes: int = 0, lmbda: float | None = None, sorted_by: str | list[str] = "p-value", ascending: bool | list[bool] = True) -> DataFrame:
-    """The table of all genes: distance, its Box-Cox, Z, fold change, p-value and adjusted p-value."""
+    """The table of all genes: distance, its Box-Cox, Z, fold change, p-value and adjusted p-value.
+
+    Every gene has its row. One that didn't move has no Box-Cox distance and no Z (nor has any if all moved alike); if none moved, every
+    fold change is 0 and every p-value 1.
+    """
     if (alone := check_pairs(manifold).take(1)):
         raise ValueError(f"gene without its other side: {alone[0].gene}")
     rows = zscore(boxcox(pair_distance(manifold), lmbda), "transformed")

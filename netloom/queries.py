@@ -77,27 +77,31 @@ def _sizes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     return edges.select("net_id").distinct().join(F.broadcast(n))
 
 
-def _factors(edges: DataFrame) -> tuple[dict, dict]:
-    import numpy as np
-
-    names = {m: sorted(r[0] for r in edges.select(m).distinct().collect()) for m in tensor.MODES}
-    return names, {m: np.array([[((i * 3 + k * 5) % 7 + 1) / 4 for k in range(3)] for i in range(len(v))]) for m, v in names.items()}
+def _factors(edges: DataFrame, by: str) -> tuple[dict, dict]:
+    """Names of each mode, and factors that are a fixed rule of the place of a name, in a column ``by`` (member or at)."""
+    names = {m: materialize(numbered(edges.select(F.col(m).alias("member")).distinct(), "member", name="at"), "names") for m in tensor.MODES}
+    value = lambda k: ((F.col("at") * 3 + k * 5) % 7 + 1) / 4
+    return names, {m: names[m].select(F.col(by).alias(m), F.array(*[value(k) for k in range(3)]).alias("f")) for m in tensor.MODES}
 
 
 def _mttkrp(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = st.trade_networks(spark, sf_dir)
-    return tensor.mttkrp(edges, "target", *_factors(edges))
+    return tensor.mttkrp(edges, "target", _factors(edges, "member")[1], 3)
 
 
 def _average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = st.trade_networks(spark, sf_dir)
-    names, factors = _factors(edges)
-    return _round(tensor.average_network(tensor.CpModel(names, factors, []), edges).select("target", "source", "weight"), "weight")
+    names, factors = _factors(st.trade_networks(spark, sf_dir), "at")
+    return _round(tensor.average_network(tensor.CpModel(names, factors, [], 3)).select("target", "source", "weight"), "weight")
+
+
+def _denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, factors = _factors(st.trade_networks(spark, sf_dir), "at")
+    return tensor.denoised_network(tensor.CpModel(names, factors, [], 3)).select("target", "source", "weight")
 
 
 def _cp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = ed.scale_edges(st.trade_networks(spark, sf_dir))
-    return tensor.average_network(tensor.cp_als(edges, rank=3, max_iter=8), edges).select("target", "source", "weight")
+    edges = materialize(ed.scale_edges(st.trade_networks(spark, sf_dir)), "edges")
+    return tensor.average_network(tensor.cp_als(edges, rank=3, max_iter=8)).select("target", "source", "weight")
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -360,6 +364,10 @@ SELECT 'all' AS label, cell, round(CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(CA
         _average,
         f"WITH {_NETS}, t AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS h FROM (SELECT DISTINCT target FROM n)), s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM n)), y AS (SELECT " + ", ".join(f"avg(((j * 3 + {k * 5}) % 7 + 1) / 4) AS c{k}" for k in range(3)) + " FROM (SELECT row_number() OVER (ORDER BY net_id) - 1 AS j FROM (SELECT DISTINCT net_id FROM n))) SELECT target, source, round(" + " + ".join(f"((h * 3 + {k * 5}) % 7 + 1) / 4 * ((i * 3 + {k * 5}) % 7 + 1) / 4 * c{k}" for k in range(3)) + ", 6) AS weight FROM t, s, y",
     ),
+    "cp_denoised_network": (
+        _denoised,
+        f"WITH {_NETS}, t AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS h FROM (SELECT DISTINCT target FROM n)), s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM n)), y AS (SELECT " + ", ".join(f"avg(((j * 3 + {k * 5}) % 7 + 1) / 4) AS c{k}" for k in range(3)) + " FROM (SELECT row_number() OVER (ORDER BY net_id) - 1 AS j FROM (SELECT DISTINCT net_id FROM n))) SELECT * FROM (SELECT target, source, round_even(w / max(abs(w)) OVER () * 10, 0) / 10 AS weight FROM (SELECT target, source, " + " + ".join(f"((h * 3 + {k * 5}) % 7 + 1) / 4 * ((i * 3 + {k * 5}) % 7 + 1) / 4 * c{k}" for k in range(3)) + " AS w FROM t, s, y)) WHERE weight <> 0",
+    ),
     "cp_als": (_cp, None),
     "scale_and_round": (lambda s, d: ed.scale_and_round(st.trade_networks(s, d)), f"WITH {_NETS} SELECT * FROM (SELECT net_id, target, source, round_even(weight / max(abs(weight)) OVER (PARTITION BY net_id) * 10, 0) / 10 AS weight FROM n) WHERE weight <> 0"),
     "strict_direction": (

@@ -58,12 +58,23 @@ def numbered(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return joined.withColumn(name, F.col("__first") + at).drop("__id", "__part", "__first")
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if it isn't there."""
+    place, system = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, system = _file_system(spark, path)
+    system.delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a ``materialize`` result that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, parent)

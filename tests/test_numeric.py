@@ -78,16 +78,68 @@ def test_boxcox_lambda(spark):
     assert abs(boxcox_lambda(df) - best) < 2e-3
 
 
-def test_cp_als_recovers_low_rank(spark):
-    rng = np.random.default_rng(0)
-    a, b, c = rng.random((6, 2)), rng.random((5, 2)), rng.random((3, 2))
-    cube = np.einsum("ik,jk,tk->ijt", a, b, c)
+def cube_of(seed, rank=2, noise=0.0):
+    rng = np.random.default_rng(seed)
+    cube = np.einsum("ik,jk,tk->ijt", rng.random((6, rank)), rng.random((5, rank)), rng.random((3, rank)))
+    return cube + noise * rng.standard_normal(cube.shape)
+
+
+def stack_of(spark, cube):
     rows = [(t, f"g{i}", f"g{j}", float(cube[i, j, t])) for i in range(6) for j in range(5) for t in range(3)]
-    edges = spark.createDataFrame(rows, "net_id int, target string, source string, weight double")
-    model = tensor.cp_als(edges, rank=2, tol=1e-7, max_iter=15)
+    return spark.createDataFrame(rows, "net_id int, target string, source string, weight double")
+
+
+def plain_als(cube, rank, sweeps, seed=42):
+    """Errors by sweep and the last factors, on the dense cube from the same seeded start."""
+    rng = np.random.default_rng(seed)
+    f, errors = [rng.random((n, rank)) for n in cube.shape], []
+    for _ in range(sweeps):
+        for m in range(3):
+            a, b = (f[o] for o in range(3) if o != m)
+            unfolded = np.moveaxis(cube, m, 0).reshape(cube.shape[m], -1)
+            f[m] = unfolded @ np.einsum("ik,jk->ijk", a, b).reshape(-1, rank) @ np.linalg.pinv((a.T @ a) * (b.T @ b))
+        errors.append(np.linalg.norm(cube - np.einsum("ik,jk,tk->ijt", *f)) / np.linalg.norm(cube))
+    return errors, f
+
+
+def test_cp_als_against_dense(spark, tmp_path):
+    """Errors sweep by sweep, the mean network, its rounding; a run that stops goes on from its saved state."""
+    cube = cube_of(0, noise=0.02)
+    edges = stack_of(spark, cube)
+    errors, f = plain_als(cube, 2, 5)
+    model = tensor.cp_als(edges, rank=2, tol=0, max_iter=5)
+    np.testing.assert_allclose(model.errors, errors, rtol=1e-8)
+    mean = np.einsum("ik,jk,k->ij", f[0], f[1], f[2].mean(axis=0))
+    got = {(r.target, r.source): r.weight for r in tensor.average_network(model).collect()}
+    assert max(abs(got[f"g{i}", f"g{j}"] - mean[i, j]) for i in range(6) for j in range(5)) < 1e-8
+    rounded = np.rint(mean / np.abs(mean).max() * 10) / 10
+    want = {(f"g{i}", f"g{j}"): rounded[i, j] for i, j in zip(*np.nonzero(rounded))}
+    assert {(r.target, r.source): r.weight for r in tensor.denoised_network(model).collect()} == want
+    state = str(tmp_path / "state")
+    tensor.cp_als(edges, rank=2, tol=0, max_iter=3, state=state, save_every=2)
+    (tmp_path / "state" / "4" / "target").mkdir(parents=True)  # a state that wasn't finished
+    again = tensor.cp_als(edges, rank=2, tol=0, max_iter=5, state=state, save_every=2)
+    np.testing.assert_allclose(again.errors, errors, rtol=1e-8)
+
+
+def test_cp_als_start_is_one_stream(spark):
+    """Rows dealt anyhow have the numbers of one seeded stream."""
+    names = spark.createDataFrame([(i,) for i in range(40)], "at long").repartition(5)
+    got = {r.source: r.f for r in tensor._start(names, "source", 3, 42, 21).collect()}
+    rng = np.random.default_rng(42)
+    rng.random(21)
+    want = rng.random((40, 3))
+    assert all(got[i] == want[i].tolist() for i in range(40))
+
+
+def test_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tensor, "TILE_ROWS", 4)
+    monkeypatch.setattr(tensor, "TILE_COLUMNS", 3)
+    cube = cube_of(4)
+    model = tensor.cp_als(stack_of(spark, cube), rank=2, tol=1e-7, max_iter=12)
     assert all(x >= y - 1e-9 for x, y in zip(model.errors, model.errors[1:])) and model.errors[-1] < 0.1
-    mean = {(r.target, r.source): r.weight for r in tensor.average_network(model, edges).collect()}
-    assert max(abs(mean[f"g{i}", f"g{j}"] - cube[i, j].mean()) for i in range(6) for j in range(5)) < 0.1
+    got = {(r.target, r.source): r.weight for r in tensor.average_network(model).collect()}
+    assert len(got) == 30 and max(abs(got[f"g{i}", f"g{j}"] - cube[i, j].mean()) for i in range(6) for j in range(5)) < 0.1
 
 
 @pytest.mark.parametrize("symmetric", [True, False])
