@@ -105,17 +105,17 @@ def _cp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Two networks to align, of two years' strong trade, and their gene axes: nations, and regions, which have no edge;
-    the second lacks one region.
+    """Two networks to align, of two years' trade, and their gene axes: nations, and regions, which have no edge; the second lacks
+    one region.
     """
-    nets = st.trade_networks(spark, sf_dir).filter("abs(weight) > 20")
+    nets = st.trade_networks(spark, sf_dir)
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     nations, regions = read("nation").select(F.col("n_name").alias("gene")), read("region")
     axis = lambda where: nations.union(regions.filter(where).select("r_name")).distinct()
     return nets.filter("net_id = 1996"), nets.filter("net_id = 1997"), axis("true"), axis("r_regionkey > 0")
 
 
-_PAIR = """a AS (SELECT * FROM n WHERE net_id = 1996 AND abs(weight) > 20), b AS (SELECT * FROM n WHERE net_id = 1997 AND abs(weight) > 20),
+_PAIR = """a AS (SELECT * FROM n WHERE net_id = 1996), b AS (SELECT * FROM n WHERE net_id = 1997),
 g AS ((SELECT n_name AS gene FROM nation UNION SELECT r_name FROM region) INTERSECT (SELECT n_name FROM nation UNION SELECT r_name FROM region WHERE r_regionkey > 0)),
 x AS (SELECT a.* FROM a WHERE target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g)), y AS (SELECT b.* FROM b WHERE target IN (SELECT gene FROM g) AND source IN (SELECT gene FROM g))"""
 
@@ -133,23 +133,35 @@ def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(mf.laplacian_degrees(*ed.align_networks(*_pair(spark, sf_dir))), "degree", "c")
 
 
+def _manifold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years of parts bought together, all parts a gene each."""
+    nets = materialize(ed.scale_edges(st.copurchase_networks(spark, sf_dir)), "nets")
+    axis = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("gene"))
+    return mf.manifold_alignment(nets.filter("net_id = 1996"), nets.filter("net_id = 1997"), d=2, x_genes=axis, y_genes=axis)
+
+
 def _manifold(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, a, b = _pair(spark, sf_dir)
     return mf.manifold_alignment(ed.scale_edges(x), ed.scale_edges(y), d=3, x_genes=a, y_genes=b)
 
 
 def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks of nations on their customers: those of odd years keep strong trade alone, so that a knockout reaches all
-    nations of some networks in one step and not of others.
+    """Networks of nations on their customers. In even years a nation gets nothing from nations of its own region, so that a knockout of two
+    of them reaches all nations in one step in odd years only.
     """
-    nets = st.trade_networks(spark, sf_dir).filter("net_id % 2 = 0 OR abs(weight) > 40")
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet").select("n_name", "n_regionkey")
+    nets = st.trade_networks(spark, sf_dir)
+    for end in ("target", "source"):
+        nets = nets.join(read("nation").select(F.col("n_name").alias(end), F.col("n_regionkey").alias(f"{end}_region")), end)
+    nets = nets.filter("net_id % 2 = 1 OR target_region <> source_region").select("net_id", "target", "source", "weight")
     return ed.zero_diagonal(ed.scale_edges(nets))
 
 
 def _propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gene = nation, cell = market segment; the first two nations are knocked out together."""
+    """Gene = nation, cell = market segment; the first two nations of the first region are knocked out together."""
     x = _nation_counts(spark, sf_dir)
-    genes = [r[0] for r in x.select("gene").distinct().orderBy("gene").limit(2).collect()]
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey = 0").select(F.col("n_name").alias("gene"))
+    genes = [r[0] for r in x.join(nations, "gene", "left_semi").select("gene").distinct().orderBy("gene").limit(2).collect()]
     return _round(ed.propagate_knockout(_spread(spark, sf_dir), x, genes, 2), "value")
 
 
@@ -204,6 +216,78 @@ def _job_knk(spark: SparkSession, sf_dir: str, method: str = "default") -> DataF
     return workloads.knk(entries, genes, method, qc=ONE, nc={"q": 0.5}, td={**TD, "decimals": 2}, dr={"n_ko_genes": len(genes)})
 
 
+def _axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Counts, all customers (cells, with or without an order), and the gene axis: part kinds and regions, which nobody buys; its names in order."""
+    entries = materialize(st.one_sample(spark, sf_dir), "entries")
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    cells = read("customer").select(F.lit("all").alias("label"), F.col("c_custkey").cast("string").alias("cell"))
+    genes = materialize(st.part_kinds(spark, sf_dir).union(read("region").select("r_name")).distinct(), "genes")
+    return entries, cells, genes, [r[0] for r in genes.orderBy("gene").collect()]
+
+
+_AXES = f"""{_ONE}, c AS (SELECT CAST(c_custkey AS VARCHAR) AS cell FROM customer), g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS i FROM (SELECT {_GENE} AS gene FROM part UNION SELECT r_name FROM region)),
+d AS (SELECT c.cell, g.gene, g.i, coalesce(value, 0) AS value FROM c CROSS JOIN g LEFT JOIN e ON e.cell = c.cell AND e.gene = g.gene)"""
+
+
+def _u_axes(spark: SparkSession, sf_dir: str, ties: str) -> DataFrame:
+    """Signatures that hold genes without an entry, on all cells."""
+    entries, cells, _, names = _axes(spark, sf_dir)
+    return _round(scoring.u_score(entries, names, names[:10], names[12:16], max_rank=60, ties=ties, cells=cells), "score")
+
+
+def _u_axes_sql(rank: str) -> str:
+    return f"""WITH {_AXES}, r AS (SELECT cell, i, least({rank}, 61) AS r FROM d)
+SELECT 'all' AS label, cell, round(CASE WHEN min(r) FILTER (i <= 10) > 60 THEN 0 ELSE 1 - (sum(r) FILTER (i <= 10) - 55) / 600 END - CASE WHEN min(r) FILTER (i BETWEEN 13 AND 16) > 60 THEN 0 ELSE 1 - (sum(r) FILTER (i BETWEEN 13 AND 16) - 10) / 240 END, 6) AS score FROM r GROUP BY 2"""
+
+
+def _first_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks by order of appearance, names of genes turned round in order, of the genes at every seventh place, in every cell."""
+    entries, cells, genes, names = _axes(spark, sf_dir)
+    places = numbered(genes, "gene", name="n").select("gene", (F.lit(len(names) - 1) - F.col("n")).alias("gene_pos"))
+    ranks = scoring.rank_genes_per_cell(entries, len(names), "first", places)
+    return scoring.first_ranks(ranks, names[::7], places, cells).select("cell", "gene", "rank")
+
+
+def _binned_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, cells, genes, names = _axes(spark, sf_dir)
+    return _round(scoring.binned_control_score(entries, names[:6] + names[-2:], n_bins=4, n_ctrl=1000, cells=cells, genes=genes), "score")
+
+
+def _signature_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, cells, genes, names = _axes(spark, sf_dir)
+    return _round(scoring.signature_score(entries, names[:8], names[20:60], cells, genes), "score")
+
+
+def _mean_bins_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, cells, genes, _ = _axes(spark, sf_dir)
+    return scoring.mean_cut_bins(scoring.gene_means(entries, cells, genes), 10).select("gene", "bin")
+
+
+def _still(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """Paired vectors of which every ``every``-th gene didn't move."""
+    pairs = st.paired_coordinates(spark, sf_dir)
+    left = pairs.filter("side = 'X'")
+    same = left.filter(F.col("gene").cast("long") % every == 0).withColumn("side", F.lit("Y"))
+    moved = pairs.filter("side = 'Y'").filter(F.col("gene").cast("long") % every != 0)
+    both = left.unionByName(same).unionByName(moved)
+    return both.join(moved.unionByName(same).select("gene"), "gene", "left_semi").join(left.select("gene"), "gene", "left_semi")
+
+
+def _regulation(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    table = rg.d_regulation(_still(spark, sf_dir, every), lmbda=0.5)
+    return _round(table.withColumnRenamed("boxcox-transformed distance", "transformed"), "Distance", "transformed", "Z", "FC", "p-value", "adjusted p-value")
+
+
+def _regulation_sql(every: int) -> str:
+    """Every column from its definition; the distribution function by Simpson's rule."""
+    return f"""WITH {_PAIRS}, t AS (SELECT a.gene, CASE WHEN CAST(a.gene AS BIGINT) % {every} = 0 THEN 0 ELSE list_distance(a.coords, b.coords) END AS d
+  FROM m a LEFT JOIN m b ON a.gene = b.gene AND b.side = 'Y' WHERE a.side = 'X' AND (b.gene IS NOT NULL OR CAST(a.gene AS BIGINT) % {every} = 0)),
+f AS (SELECT gene, d, CASE WHEN d > 0 THEN (sqrt(d) - 1) / 0.5 END AS b, coalesce(d * d / nullif(avg(d * d) OVER (), 0), 0) AS fc FROM t),
+p AS (SELECT gene, 1 - 2 / sqrt(pi()) * sqrt(any_value(fc) / 2) / 3000 * sum(CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(fc / 2) * (i / 1000.0::DOUBLE) * (i / 1000.0::DOUBLE))) AS p FROM f, range(1001) AS g(i) GROUP BY gene)
+SELECT f.gene AS Gene, round(d, 6) AS Distance, round(b, 6) AS transformed, round((b - avg(b) OVER ()) / nullif(stddev_pop(b) OVER (), 0), 6) AS Z, round(fc, 6) AS FC, round(p, 6) AS "p-value",
+  round(least(p * count(*) OVER () / (rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY round(p, 12)) - 1) / 2), 1), 6) AS "adjusted p-value" FROM f JOIN p USING (gene)"""
+
+
 def _auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, genes = _gene_list(spark, sf_dir)
     return _round(scoring.signature_auc(scoring.rank_genes_per_cell(entries, len(genes)), genes[:10], 40), "auc")
@@ -378,9 +462,9 @@ SELECT 'all' AS label, cell, round(CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(CA
     "knockout_rows": (lambda s, d: ed.knockout_rows(st.trade_networks(s, d), [_first_nation(_nation_counts(s, d))]), f"WITH {_NETS} SELECT * FROM n WHERE target <> (SELECT min(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey)"),
     "ko_propagation": (
         _propagation,
-        f"""WITH {_NETS}, b AS (SELECT net_id, target, source, weight / max(abs(weight)) OVER (PARTITION BY net_id) AS weight FROM n WHERE net_id % 2 = 0 OR abs(weight) > 40), b0 AS (SELECT * FROM b WHERE target <> source),
+        f"""WITH {_NETS}, b AS (SELECT net_id, target, source, weight / max(abs(weight)) OVER (PARTITION BY net_id) AS weight FROM n JOIN nation t ON t.n_name = target JOIN nation s ON s.n_name = source WHERE net_id % 2 = 1 OR t.n_regionkey <> s.n_regionkey), b0 AS (SELECT * FROM b WHERE target <> source),
 x AS (SELECT net_id, n_name AS gene, c_mktsegment AS cell, CAST(count(*) AS DOUBLE) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT DISTINCT net_id FROM b0) GROUP BY 1, 2, 3),
-p0 AS (SELECT * FROM x WHERE gene IN (SELECT DISTINCT gene FROM x ORDER BY 1 LIMIT 2)),
+p0 AS (SELECT * FROM x WHERE gene IN (SELECT DISTINCT gene FROM x JOIN nation ON n_name = gene WHERE n_regionkey = 0 ORDER BY 1 LIMIT 2)),
 p1 AS (SELECT b0.net_id, target AS gene, cell, sum(weight * value) AS value FROM b0 JOIN p0 ON b0.net_id = p0.net_id AND source = gene GROUP BY 1, 2, 3),
 v1 AS (SELECT DISTINCT net_id, gene FROM p1 WHERE value <> 0),
 open1 AS (SELECT DISTINCT x.net_id FROM x ANTI JOIN v1 USING (net_id, gene)),
@@ -402,6 +486,7 @@ SELECT side, gene, round(coalesce(s, 0) + n - 1 + c, 6) AS degree, round(c, 6) A
 (SELECT count(*) FROM y WHERE source = gene) AS y_out, (SELECT count(*) FROM y WHERE target = gene) AS y_in FROM g""",
     ),
     "manifold_alignment": (_manifold, None),
+    "manifold_wide": (_manifold_wide, None),
     "check_pairs": (lambda s, d: rg.check_pairs(st.paired_coordinates(s, d)), f"WITH {_PAIRS} SELECT gene, min(side) AS side FROM m GROUP BY 1 HAVING count(DISTINCT side) < 2"),
     "pair_distance": (lambda s, d: _round(_distances(s, d), "distance"), f"WITH {_PAIRS} SELECT a.gene, round(list_distance(a.coords, b.coords), 6) AS distance FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y'"),
     "boxcox": (lambda s, d: _round(rg.boxcox(_distances(s, d), 0.5), "distance", "transformed"), f"WITH {_PAIRS} SELECT gene, round(d, 6) AS distance, round(CASE WHEN d > 0 THEN (sqrt(d) - 1) / 0.5 END, 6) AS transformed FROM (SELECT a.gene, list_distance(a.coords, b.coords) AS d FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y')"),
@@ -415,6 +500,12 @@ SELECT side, gene, round(coalesce(s, 0) + n - 1 + c, 6) AS degree, round(c, 6) A
         f"WITH {_PAIRS}, t AS (SELECT gene, d * d / avg(d * d) OVER () AS fc FROM (SELECT a.gene, list_distance(a.coords, b.coords) AS d FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y')) SELECT gene, round(1 - 2 / sqrt(pi()) * sqrt(any_value(fc) / 2) / 3000 * sum(CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(fc / 2) * (i / 1000.0::DOUBLE) * (i / 1000.0::DOUBLE))), 6) AS p_value FROM t, range(1001) AS g(i) GROUP BY gene",
     ),
     "fdr_adjust": (_fdr, "SELECT l_orderkey, l_linenumber, l_tax AS p_value, round(least(l_tax * count(*) OVER () / (rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2), 1), 6) AS adjusted FROM lineitem"),
+    "fdr_adjust_nulls": (
+        lambda s, d: _round(rg.fdr_adjust(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.nullif("l_tax", F.lit(0.0)).alias("p_value"))), "adjusted"),
+        "SELECT l_orderkey, l_linenumber, nullif(l_tax, 0) AS p_value, CASE WHEN l_tax <> 0 THEN round(least(l_tax * count(nullif(l_tax, 0)) OVER () / (rank() OVER (ORDER BY nullif(l_tax, 0) NULLS LAST) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2), 1), 6) END AS adjusted FROM lineitem",
+    ),
+    "d_regulation_some_still": (lambda s, d: _regulation(s, d, 3), _regulation_sql(3)),
+    "d_regulation_all_still": (lambda s, d: _regulation(s, d, 1), _regulation_sql(1)),
     "sort_regulation": (
         lambda s, d: rg.sort_regulation(_round(_distances(s, d), "distance").withColumnRenamed("gene", "Gene"), "distance", False),
         f"WITH {_PAIRS} SELECT a.gene AS Gene, round(list_distance(a.coords, b.coords), 6) AS distance FROM m a JOIN m b USING (gene) WHERE a.side = 'X' AND b.side = 'Y' ORDER BY 2 DESC, 1",
@@ -432,6 +523,21 @@ k AS (SELECT cell, i, CASE WHEN r > 40 THEN 41 ELSE r END AS r FROM r),
 u AS (SELECT cell, CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(r) - 55) / 400 END AS a FROM k WHERE i <= 10 GROUP BY 1), w AS (SELECT cell, CASE WHEN min(r) > 40 THEN 0 ELSE 1 - (sum(r) - 15) / 200 END AS b FROM k WHERE i BETWEEN 11 AND 15 GROUP BY 1)
 SELECT 'all' AS label, cell, round(a - b, 6) AS score FROM u JOIN w USING (cell)""",
     ),
+    "u_score_axes": (lambda s, d: _u_axes(s, d, "average"), _u_axes_sql("rank() OVER (PARTITION BY cell ORDER BY value DESC) + (count(*) OVER (PARTITION BY cell, value) - 1) / 2")),
+    "u_score_first": (lambda s, d: _u_axes(s, d, "first"), _u_axes_sql("row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene)")),
+    "rank_genes_first": (_first_ranks, f"WITH {_AXES} SELECT cell, gene, CAST(r AS DOUBLE) AS rank FROM (SELECT cell, gene, i, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene DESC) AS r FROM d) WHERE (i - 1) % 7 = 0"),
+    "binned_control_axes": (
+        _binned_axes,
+        f"""WITH {_AXES}, m AS (SELECT gene, any_value(i) AS i, avg(value) AS v FROM d GROUP BY 1), q AS (SELECT quantile_cont(v, [0, 0.25, 0.5, 0.75, 1.0]) AS q FROM m),
+b AS (SELECT gene, i, greatest(len(list_filter(q, lambda x : x < v)) - 1, 0) AS bin, max(i) OVER () AS last FROM m, q),
+x AS (SELECT cell, bin, avg(value) AS ctrl FROM d JOIN b USING (gene) GROUP BY 1, 2)
+SELECT 'all' AS label, cell, round(avg(value - ctrl), 6) AS score FROM d JOIN b USING (gene) JOIN x USING (cell, bin) WHERE b.i <= 6 OR b.i > last - 2 GROUP BY 2""",
+    ),
+    "mean_cut_axes": (
+        _mean_bins_axes,
+        f"WITH {_AXES}, m AS (SELECT gene, v, row_number() OVER (ORDER BY v, gene) - 1 AS p, count(*) OVER () AS g FROM (SELECT gene, sum(value) / count(*) AS v FROM d GROUP BY 1)), k AS (SELECT i, v AS cut FROM m JOIN range(1, 10) AS r(i) ON p = round_even(g / 10 * i, 0)) SELECT gene, CAST(coalesce((SELECT min(i) FROM k WHERE m.v <= cut), 0) AS INTEGER) AS bin FROM m",
+    ),
+    "signature_axes": (_signature_axes, f"WITH {_AXES} SELECT 'all' AS label, cell, round(sum(CASE WHEN i <= 8 THEN value ELSE 0 END) / 8 - sum(CASE WHEN i BETWEEN 21 AND 60 THEN value ELSE 0 END) / 40, 6) AS score FROM d GROUP BY 2"),
     "qcut_bins": (
         lambda s, d: scoring.qcut_bins(scoring.gene_means(st.one_sample(s, d)), 5).select("gene", "bin"),
         f"WITH {_ONE}, m AS (SELECT gene, sum(value) / (SELECT count(DISTINCT cell) FROM e) AS v FROM e GROUP BY 1), q AS (SELECT quantile_cont(v, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM m) SELECT gene, CAST(greatest(len(list_filter(q, lambda x : x < v)) - 1, 0) AS INTEGER) AS bin FROM m, q",

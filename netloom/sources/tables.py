@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,26 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, orders, part = _read(spark, sf_dir, "lineitem", "orders", "part")
     rows = lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    gene = F.concat(F.when(F.col("p_brand") == "Brand#1", "mt-").otherwise(""), F.replace("p_brand", F.lit("Brand#"), F.lit("B")), F.lit("_"), "p_type")
-    return rows.select(gene.alias("gene"), F.col("o_custkey").cast("string").alias("cell"), "o_orderstatus", "l_quantity")
+    return rows.select(_kind().alias("gene"), F.col("o_custkey").cast("string").alias("cell"), "o_orderstatus", "l_quantity")
+
+
+def _kind() -> Column:
+    return F.concat(F.when(F.col("p_brand") == "Brand#1", "mt-").otherwise(""), F.replace("p_brand", F.lit("Brand#"), F.lit("B")), F.lit("_"), "p_type")
+
+
+def part_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of all parts, sold or not: ``gene``."""
+    (part,) = _read(spark, sf_dir, "part")
+    return part.select(_kind().alias("gene")).distinct()
+
+
+def copurchase_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric networks of parts that are in one order, one network per year; an order has a few lines."""
+    lineitem, orders = _read(spark, sf_dir, "lineitem", "orders")
+    lines = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", F.year("o_orderdate").alias("net_id"), F.col("l_partkey").cast("string").alias("gene"), F.col("l_quantity").cast("double").alias("q"))
+    other = lines.select("l_orderkey", F.col("gene").alias("source"), F.col("q").alias("q2"))
+    pairs = lines.withColumnRenamed("gene", "target").join(other, "l_orderkey").filter("target <> source")
+    return pairs.groupBy("net_id", "target", "source").agg(F.sum(F.least("q", "q2")).alias("weight"))
 
 
 def dense_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,69 @@ def test_fdr_ties_and_zero_distance(spark):
         rg.d_regulation(one)
 
 
+def test_regulation_keeps_genes(spark):
+    """Null p, zero distances and sides that agree: every gene has its row."""
+    p = spark.createDataFrame([("a", 0.01), ("b", None), ("c", 0.5), ("d", float("nan"))], "gene string, p_value double")
+    assert {r.gene: r.adjusted for r in rg.fdr_adjust(p).collect()} == {"a": pytest.approx(0.02), "b": None, "c": pytest.approx(0.5), "d": None}
+    side = lambda s, values: [(s, f"g{i}", [v, 1.0]) for i, v in enumerate(values)]
+    table = lambda x, y: {r.Gene: r for r in rg.d_regulation(spark.createDataFrame(side("X", x) + side("Y", y), "side string, gene string, coords array<double>")).collect()}
+    got = table([1.0, 2.0, 3.0], [1.0, 2.0, 3.0])
+    assert len(got) == 3 and all(r.Distance == 0 and r.FC == 0 and r["p-value"] == 1 and r["adjusted p-value"] == 1 and r.Z is None for r in got.values())
+    got = table([1.0, 2.0, 3.0, 5.0], [1.0, 2.5, 4.0, 3.0])
+    assert len(got) == 4 and got["g0"].FC == 0 and got["g0"]["boxcox-transformed distance"] is None and got["g3"]["p-value"] < got["g1"]["p-value"] < 1
+    moved = spark.createDataFrame([("a", 0.0), ("b", 0.0), ("c", 2.0)], "gene string, distance double")
+    assert {r.gene: r.FC for r in rg.fold_change(moved, 1).collect()} == {"a": 0.0, "b": 0.0, "c": float("inf")}
+    assert {r.gene: r.p_value for r in rg.chi2_pvalue(rg.fold_change(moved, 1)).collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
+
+
+@pytest.mark.parametrize("ties", scoring.TIES)
+def test_ranks_against_pandas(spark, ties):
+    """All genes in all cells, negatives, absent genes and an empty cell included; signatures over them."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    names = [f"g{i}" for i in rng.permutation(12)]
+    x = pd.DataFrame(rng.integers(-2, 4, (12, 9)).astype(float), index=names, columns=[f"c{j}" for j in range(9)])
+    x.loc[names[3]] = 0.0
+    x["c8"] = 0.0
+    entries = spark.createDataFrame([("a", g, c, float(x.loc[g, c])) for g in names for c in x.columns if x.loc[g, c]], ENTRIES)
+    cells = spark.createDataFrame([("a", c) for c in x.columns], "label string, cell string")
+    want = x.rank(ascending=False, method=ties)
+    axis = spark.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, gene_pos long")
+    ranks = scoring.rank_genes_per_cell(entries, 12, ties, axis)
+    assert all(r["rank"] == want.loc[r.gene, r.cell] for r in ranks.collect())
+    if ties == "first":
+        got = scoring.first_ranks(ranks, names[1:] + ["none"], axis, cells).collect()
+        assert len(got) == 11 * 9 and all(r["rank"] == want.loc[r.gene, r.cell] for r in got)
+    pos, neg = names[2:6], names[7:9]
+
+    def auc(genes, c):
+        r = want.loc[genes, c]
+        if (r > 8).all():
+            return 0.0
+        n = len(genes)
+        return 1 - (r.where(r <= 8, 9).sum() - n * (n + 1) / 2) / (n * 8)
+
+    got = {r.cell: r.score for r in scoring.u_score(entries, names, pos, neg, 8, 0.5, ties, cells).collect()}
+    assert got == {c: pytest.approx(auc(pos, c) - 0.5 * auc(neg, c)) for c in x.columns}
+
+
+def test_controls_are_drawn(spark):
+    """Bins larger than the number of controls: seeded draws with repeats in order of mean, once for each target."""
+    import numpy as np
+
+    bins = [("a", f"g{i:02d}", float((i * 7) % 40), (i * 7) % 40 // 20) for i in range(40)] + [("a", "h", 50.0, 2), ("a", "i", 51.0, 2)]
+    df = spark.createDataFrame(bins, "label string, gene string, mean double, bin int")
+    got = {}
+    for r in scoring.control_genes(df, ["g01", "g39", "h"], 6, 5).collect():
+        got.setdefault(r.target, set()).add(r.gene)
+    for target, b in (("g01", 0), ("g39", 273 % 40 // 20)):
+        own = [g for _, g, m, k in sorted(bins, key=lambda x: (x[2], x[1])) if k == b]
+        assert got[target] == {own[i] for i in np.random.RandomState(5).choice(20, 6, replace=True)}
+    assert got["h"] == {"h", "i"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "matrix.txt").write_text("%%comment\n%x\n3 2 4\n1 1 5\n1 1 2\n3 2 1.5\n2 1 0\n")
     (tmp_path / "genes.tsv").write_text("A\tx\nB\ty\nC\tz\n")
