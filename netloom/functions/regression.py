@@ -12,17 +12,17 @@ def _one_gene(x: np.ndarray, k: int, n_comp: int) -> np.ndarray:
     return np.insert(vt[:n_comp].T @ ((u[:, :n_comp].T @ x[:, k]) / d[:n_comp]), k, 0.0)
 
 
-def pc_coefficients(x: np.ndarray, genes: np.ndarray, n_comp: int = 3) -> np.ndarray:
+def pc_coefficients(x: np.ndarray, genes: np.ndarray, n_comp: int = 3, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Row i: coefficients of all columns of ``x`` (cells x genes, scaled) for gene ``genes[i]``; 0 for itself.
 
     With K = X X' = Q D Q', leaving out gene k is a rank-one change of K: its leading eigenvalues solve
     1 = sum z_i^2 / (d_i - m) with z = Q' x_k, one root between neighbouring d; eigenvectors follow from the
     roots. All genes are solved at once by bisection. Where eigenvalues (nearly) repeat or z hardly meets
-    one, the gene is solved on its own.
+    one, the gene is solved on its own. ``pairs`` (D rising, Q), if known, saves the decomposition of K.
     """
     if not 2 < n_comp <= x.shape[1]:
         raise ValueError("n_comp must be above 2 and at most the number of genes")
-    d, q = np.linalg.eigh(x @ x.T)
+    d, q = np.linalg.eigh(x @ x.T) if pairs is None else pairs
     d, q = d[::-1], q[:, ::-1]
     z = q.T @ x[:, genes]
     zz = z * z

@@ -7,44 +7,42 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import numbered
-from .pcnet import dense_axis, gene_gram
+from .pcnet import DENSE_GENES, GeneProducts
 
 
-def pca_tables(entries: DataFrame, n_components: int | None = None, standardize: bool = True, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """Scores of cells (``cell``, ``component``, ``score``), explained shares, and loadings of genes.
+def pca_tables(entries: DataFrame, n_components: int | None = None, standardize: bool = True, transform: Callable[[DataFrame], DataFrame] | None = None, cells: DataFrame | None = None, genes: DataFrame | None = None, dense_genes: int = DENSE_GENES):
+    """Scores of cells (``cell``, ``PC1``, ``PC2``, ...), explained shares, and loadings of genes.
 
-    Cells are rows and genes features; the genes' Gram matrix is summed on the executors and decomposed on
-    the driver, so that genes, not cells, bound its size: more than ``pcnet.DENSE_GENES`` genes raise.
+    Cells are rows and genes features; ``cells`` (cell) and ``genes`` (gene) are the axes, those without an entry included. Components come
+    from the products of the genes' covariance with blocks of vectors. Up to ``dense_genes`` genes the block is the identity; beyond, only
+    leading components are found, and ``n_components`` must name how many.
     """
     spark = entries.sparkSession
     entries = transform(entries) if transform else entries
-    dense_axis(entries)
-    n = entries.select("cell").distinct().count()
-    sums = {r.gene: (r.s, r.q) for r in entries.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).collect()}
-    genes = sorted(sums)
-    place = {g: i for i, g in enumerate(genes)}
-    mean = np.array([sums[g][0] / n for g in genes])
-    std = np.sqrt(np.maximum(np.array([sums[g][1] / n for g in genes]) - mean**2, 0)) if standardize else np.ones(len(genes))
-    std[std == 0] = 1
-    cov = np.zeros((len(genes), len(genes)))
-    gram = gene_gram(entries).toPandas()
-    i, j = gram["g1"].map(place).to_numpy(int), gram["g2"].map(place).to_numpy(int)
-    cov[i, j] = cov[j, i] = gram["dot"]
-    cov = (cov / n - np.outer(mean, mean)) / np.outer(std, std)
-    values, vectors = np.linalg.eigh(cov)
-    k = min(n_components or min(n, len(genes)), len(genes))
-    values, vectors = values[::-1], vectors[:, ::-1][:, :k]
-    load = spark.createDataFrame([(g, [float(x) for x in vectors[i] / std[i]]) for g, i in place.items()], "gene string, w array<double>")
-    base = (mean / std) @ vectors
-    scored = entries.join(F.broadcast(load), "gene").groupBy("cell").agg(*[F.sum(F.col("value") * F.col("w")[i]).alias(f"PC{i + 1}") for i in range(k)])
+    products = GeneProducts(entries, standardize, cells, genes)
+    k = min(n_components or min(products.n, products.size), products.size)
+    if products.size <= dense_genes:
+        values, vectors = np.linalg.eigh(products.apply(np.eye(products.size)))
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    elif n_components is None:
+        raise ValueError(f"more than {dense_genes} genes: n_components must be given")
+    else:
+        values, vectors = products.leading(k)
+    scaled = vectors / products.scale[:, None]
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * k, pa.int32()), pa.array(np.ascontiguousarray(v).ravel()))
+    by_gene = lambda v, name: spark.createDataFrame(pa.table({"g": np.arange(products.size), name: lists(v)})).join(products.genes, "g").select("gene", name)
+    base = products.mean @ scaled
+    scored = entries.join(by_gene(scaled, "w"), "gene").groupBy("cell").agg(*[F.sum(F.col("value") * F.col("w")[i]).alias(f"PC{i + 1}") for i in range(k)])
+    if cells is not None:
+        scored = cells.select("cell").distinct().join(scored, "cell", "left").fillna(0.0)
     scores = scored.select("cell", *[(F.col(f"PC{i + 1}") - float(base[i])).alias(f"PC{i + 1}") for i in range(k)])
-    shares = spark.createDataFrame([(i + 1, float(values[i] / values.sum())) for i in range(k)], "component int, share double")
-    loadings = spark.createDataFrame([(g, [float(x) for x in vectors[i]]) for g, i in place.items()], "gene string, loadings array<double>")
-    return scores, shares, loadings
+    shares = spark.createDataFrame([(i + 1, float(values[i] / products.trace)) for i in range(k)], "component int, share double")
+    return scores, shares, by_gene(vectors, "loadings")
 
 
 def label_embedding(scores: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -60,6 +60,69 @@ def test_all_cells_network(spark):
     assert not any("g99" in k for k in got)
 
 
+def test_pc_networks_in_parts(spark, monkeypatch):
+    """Several networks of unlike samples, several blocks and parts of genes; a cell drawn twice, one without an entry."""
+    monkeypatch.setattr(pcnet, "GENE_BLOCK", 4)
+    monkeypatch.setattr(pcnet, "OWN_GENES", 8)
+    rng = np.random.default_rng(14)
+    rows, draws, want = [], [], {}
+    for net, n in ((0, 30), (1, 14)):
+        x = rng.poisson(1.2, (n, 21)).astype(float)
+        x[:, 20], x[3] = 0, 0
+        x[5] = x[4]
+        rows += [(net, i, f"g{j:02d}", f"c{min(i, 4) if i == 5 else i}", float(x[i, j])) for i in range(n) for j in range(21) if x[i, j]]
+        draws += [(net, i, f"c{4 if i == 5 else i}") for i in range(n)]
+        z = (x[:, :20] - x[:, :20].mean(axis=0)) / x[:, :20].std(axis=0)
+        want |= {(net, f"g{k:02d}"): brute_beta(z, k, 3) for k in range(20)}
+    drawn = spark.createDataFrame(rows, "net_id int, draw_id int, gene string, cell string, value double").repartition(5)
+    got = {(r.net_id, r.target, r.source): r.weight for r in pcnet.pc_networks(drawn, spark.createDataFrame(draws, "net_id int, draw_id int, cell string")).collect()}
+    assert not any("g20" in k for k in got)
+    for (net, k), beta in want.items():
+        np.testing.assert_allclose([got.get((net, k, f"g{j:02d}"), 0.0) for j in range(20)], beta, atol=1e-7)
+
+
+def decaying(seed, n=90, genes=70, rank=8):
+    """Counts whose spectrum falls to nothing after some components, with a gene and a cell without an entry."""
+    rng = np.random.default_rng(seed)
+    x = (rng.standard_normal((n, rank)) * 2.0 ** -np.arange(rank)) @ rng.standard_normal((rank, genes)) + 3
+    x[7], x[:, 11] = 0, 0
+    return x
+
+
+def entries_of(spark, x):
+    rows = [("all", f"g{j:02d}", f"c{i:02d}", float(x[i, j])) for i in range(len(x)) for j in range(x.shape[1]) if x[i, j]]
+    axes = (spark.createDataFrame([(f"c{i:02d}",) for i in range(len(x))], "cell string"), spark.createDataFrame([(f"g{j:02d}",) for j in range(x.shape[1])], "gene string"))
+    return spark.createDataFrame(rows, "label string, gene string, cell string, value double"), *axes
+
+
+@pytest.mark.parametrize("standardize", [True, False])
+def test_pca_by_products(spark, standardize):
+    from netloom.operators import views
+
+    x = decaying(2)
+    entries, cells, genes = entries_of(spark, x)
+    std = np.where(x.std(axis=0) > 0, x.std(axis=0), 1) if standardize else 1
+    z = (x - x.mean(axis=0)) / std
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    for dense in (0, 5000):
+        scores, shares, loadings = views.pca_tables(entries, 4, standardize, None, cells, genes, dense)
+        got = np.array([[r[f"PC{k}"] for k in range(1, 5)] for r in sorted(scores.collect(), key=lambda r: r.cell)])
+        np.testing.assert_allclose(np.abs(got), np.abs(u[:, :4] * s[:4]), atol=1e-6)
+        np.testing.assert_allclose([r.share for r in sorted(shares.collect(), key=lambda r: r.component)], (s**2 / (s**2).sum())[:4], rtol=1e-8)
+        np.testing.assert_allclose(np.abs([r.loadings for r in sorted(loadings.collect(), key=lambda r: r.gene)]), np.abs(vt[:4].T), atol=1e-6)
+    with pytest.raises(ValueError):
+        views.pca_tables(entries, dense_genes=3)
+
+
+def test_all_cells_network_by_products(spark):
+    """Without the matrix of all genes: on a falling spectrum the leading eigenpairs give the same network."""
+    x = decaying(3)
+    entries, cells, _ = entries_of(spark, x)
+    weights = lambda df: {(r.target, r.source): r.weight for r in df.collect()}
+    got, want = (weights(pcnet.all_cells_network(entries, 3, cells, dense, 20)) for dense in (0, 5000))
+    assert got and max(abs(got.get(k, 0.0) - want.get(k, 0.0)) for k in got.keys() | want.keys()) < 1e-6
+
+
 def test_chi2():
     for x in (0.0, 0.1, 1.0, 3.84, 20.0, 200.0):
         assert abs(chi2_sf(x) - gamma_q(0.5, x / 2)) < 1e-12
