@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -26,6 +26,8 @@ class QcParams:
     max_mito_ratio: float = 0.1
     min_exp_avg: float = 0
     min_exp_sum: float = 0
+    #: Quartiles of sizes by a sketch of this accuracy (see ``quartiles``); exact without.
+    quartile_accuracy: int | None = None
 
     def with_(self, **changes) -> QcParams:
         return replace(self, **changes)
@@ -62,10 +64,21 @@ def filter_lib_size(totals: DataFrame, min_lib_size: float) -> DataFrame:
     return totals.filter(F.col("size") > min_lib_size)
 
 
-def filter_outlier_cells(totals: DataFrame) -> DataFrame:
-    """Cells within 1.5 interquartile ranges of the quartiles of their label, bounds included."""
-    q = F.percentile("size", F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = totals.groupBy("label").agg(q.alias("q")).select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+def quartiles(totals: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """``label``, ``q1``, ``q3``, ``rank_error``: quartiles of the cells' sizes, linear between neighbours and exact (error 0).
+
+    The exact ones keep all distinct sizes of a label in one buffer. With ``accuracy`` a mergeable sketch stands for them: its quartiles are
+    sizes whose rank is off by at most 1 / accuracy of the cells.
+    """
+    at = F.array(F.lit(0.25), F.lit(0.75))
+    q = F.percentile("size", at) if accuracy is None else F.percentile_approx("size", at, F.lit(accuracy))
+    error = F.lit(0.0 if accuracy is None else 1 / accuracy).alias("rank_error")
+    return totals.groupBy("label").agg(q.alias("q")).select("label", F.col("q")[0].cast("double").alias("q1"), F.col("q")[1].cast("double").alias("q3"), error)
+
+
+def filter_outlier_cells(totals: DataFrame, accuracy: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Cells within 1.5 interquartile ranges of the quartiles of their label (those of ``of``, if given), bounds included."""
+    bounds = quartiles(totals if of is None else of, accuracy).drop("rank_error")
     joined = totals.join(F.broadcast(bounds), "label")  # one row a label
     return joined.filter("size >= q1 - 1.5 * (q3 - q1) AND size <= q3 + 1.5 * (q3 - q1)").drop("q1", "q3")
 
@@ -99,52 +112,62 @@ def filter_gene_expression(totals: DataFrame, min_exp_avg: float, min_exp_sum: f
     return totals.filter(F.when(F.col("n_cells") > MANY_CELLS, mean >= min_exp_avg).otherwise(F.col("sum") >= min_exp_sum))
 
 
-def _steps(entries: DataFrame, params: QcParams, cells: DataFrame | None, genes: DataFrame | None) -> dict[str, DataFrame]:
-    """The cells after each step, in order, by name. ``entries`` are collapsed and clamped."""
-    steps = {"cells": materialize(cell_totals(entries, cells), "totals")}
-    steps["lib_size"] = filter_lib_size(steps["cells"], params.min_lib_size)
-    steps["outlier"] = filter_outlier_cells(steps["lib_size"]) if params.remove_outlier_cells else steps["lib_size"]
-    steps["mito"] = filter_mito_ratio(steps["outlier"], entries if genes is None else genes, params.max_mito_ratio)
-    return steps
+#: What the report tells: each step and the one before it.
+REPORTED = {"lib_size": "cells", "outlier": "lib_size", "mito": "outlier", "detection": "genes", "expression": "detection"}
+
+
+class _Counted:
+    """Counts rows by label as they pass, in the job that writes them."""
+
+    def __init__(self, labels: list[str]):
+        self.labels, self.seen = labels, {}
 
+    def __call__(self, step: str, df: DataFrame) -> DataFrame:
+        self.seen[step] = Observation()
+        return df.observe(self.seen[step], F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("label") == x).alias(f"n{i}") for i, x in enumerate(self.labels)])
 
-def _gene_steps(entries: DataFrame, kept_cells: DataFrame, params: QcParams) -> dict[str, DataFrame]:
-    """The genes after each step, over the kept cells."""
-    steps = {"genes": materialize(gene_totals(entries, kept_cells), "genes")}
-    steps["detection"] = filter_gene_detection(steps["genes"], params.min_percent)
-    steps["expression"] = filter_gene_expression(steps["detection"], params.min_exp_avg, params.min_exp_sum)
-    return steps
+    def removed(self) -> list[tuple[str, str, int]]:
+        count = lambda step, i: self.seen[step].get[f"n{i}"]
+        return [(x, after, count(before, i) - count(after, i)) for after, before in REPORTED.items() for i, x in enumerate(self.labels) if count(before, i)]
+
+
+def qc_run(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``qc_tables``, and the report: how many cells or genes each step removes (``label``, ``step``, ``removed``).
+
+    Each step's rows are counted where they pass on their way into the tables of kept cells and genes; no step runs twice.
+    """
+    spark = entries.sparkSession
+    entries = materialize(clamp_negative(collapse_duplicate_genes(entries)), "entries")  # read three times below
+    totals = materialize(cell_totals(entries, cells), "totals")
+    counted = _Counted(sorted(r[0] for r in totals.select("label").distinct().collect()))
+    large = lambda df: filter_lib_size(df, params.min_lib_size)
+    kept = counted("lib_size", large(counted("cells", totals)))
+    kept = counted("outlier", filter_outlier_cells(kept, params.quartile_accuracy, large(totals)) if params.remove_outlier_cells else kept)
+    kept = counted("mito", filter_mito_ratio(kept, entries if genes is None else genes, params.max_mito_ratio))
+    kept_cells = materialize(kept.select("label", "cell"), "cells")
+    found = counted("detection", filter_gene_detection(counted("genes", gene_totals(entries, kept_cells)), params.min_percent))
+    found = counted("expression", filter_gene_expression(found, params.min_exp_avg, params.min_exp_sum))
+    kept_genes = materialize(found.select("label", "gene"), "genes")
+    kept = entries.join(kept_cells, ["label", "cell"], "left_semi").join(kept_genes, ["label", "gene"], "left_semi")
+    report = spark.createDataFrame(counted.removed(), "label string, step string, removed long")  # five rows a label
+    return kept.select("label", "gene", "cell", "value"), kept_cells, report
 
 
 def qc_tables(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Entries of the cells and genes that pass all steps, and those cells (``label``, ``cell``), some of which may
     have no entry left.
     """
-    entries = materialize(clamp_negative(collapse_duplicate_genes(entries)), "entries")  # read three times below
-    steps = _steps(entries, params, cells, genes)
-    kept_cells = materialize(steps["mito"].select("label", "cell"), "cells")
-    steps = _gene_steps(entries, kept_cells, params)
-    kept = entries.join(kept_cells, ["label", "cell"], "left_semi").join(steps["expression"].select("label", "gene"), ["label", "gene"], "left_semi")
-    return kept.select("label", "gene", "cell", "value"), kept_cells
+    return qc_run(entries, params, cells, genes)[:2]
 
 
 def sc_qc(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
     """Entries of the cells and genes that pass all steps, in the order of the steps above."""
-    return qc_tables(entries, params, cells, genes)[0]
+    return qc_run(entries, params, cells, genes)[0]
 
 
 def qc_report(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
-    """How many cells or genes each step removes: ``label``, ``step``, ``removed``."""
-    entries = materialize(clamp_negative(collapse_duplicate_genes(entries)), "entries")
-    steps = _steps(entries, params, cells, genes)
-    steps |= _gene_steps(entries, steps["mito"].select("label", "cell"), params)
-    names = [("cells", "lib_size"), ("lib_size", "outlier"), ("outlier", "mito"), ("genes", "detection"), ("detection", "expression")]
-    rows = None
-    for before, after in names:
-        both = steps[before].select("label", F.lit(1).alias("n")).unionByName(steps[after].select("label", F.lit(-1).alias("n")))
-        part = both.groupBy("label").agg(F.sum("n").alias("removed")).select("label", F.lit(after).alias("step"), "removed")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """How many cells or genes each step removes: ``label``, ``step``, ``removed``. It comes with the tables (``qc_run``)."""
+    return qc_run(entries, params, cells, genes)[2]
 
 
 def library_size_histogram(entries: DataFrame, axis: int = 0, bins: int = 10) -> DataFrame:

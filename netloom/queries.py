@@ -344,6 +344,20 @@ def _step_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtx.read_step(spark, folder, "qc")[0].select("label", "gene", "cell", "value")
 
 
+def _manifold_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired vectors through the CSV files of an alignment."""
+    folder = _folder(spark)
+    mtx.write_csv(st.paired_coordinates(spark, sf_dir), folder, "ma")
+    rows = mtx.read_csv(spark, folder, "ma")
+    return rows.select("side", "gene", *[F.col("coords")[k].alias(f"NLMA_{k + 1}") for k in range(64)])
+
+
+def _regulation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    mtx.write_csv(_regulation(spark, sf_dir, 3), folder, "dr")
+    return mtx.read_csv(spark, folder, "dr")
+
+
 def _all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcnet.make_networks(qc.sc_qc(st.one_sample(spark, sf_dir), ONE), n_nets=1, n_samp_cells=None, q=0.0)
 
@@ -379,6 +393,9 @@ QUERIES = {
     "read_mtx_dense": (lambda s, d: _dense_round_trip(s, d, False), _DENSE_BACK),
     "read_folder": (lambda s, d: _dense_round_trip(s, d, True), _DENSE_BACK),
     "read_expression_table": (_headed_round_trip, _DENSE_BACK),
+    "manifold_csv": (_manifold_csv, f"WITH {_PAIRS} SELECT side, gene, " + ", ".join(f"coords[{k}] AS NLMA_{k}" for k in range(1, 65)) + " FROM m"),
+    "regulation_csv": (_regulation_csv, _regulation_sql(3)),
+    "qc_tables_cells": (lambda s, d: qc.qc_tables(st.two_samples(s, d), TWO)[1], f"WITH {_qc_sql(_TWO, TWO)} SELECT label, cell FROM mit"),
     "default_barcodes": (lambda s, d: st.default_barcodes(s, s.read.parquet(f"{d}/customer.parquet").count()), "SELECT 'barcode_' || i AS cell, i AS cell_pos FROM (SELECT row_number() OVER () - 1 AS i FROM customer)"),
     "cal_pcnet": (_all_cells, None),
     "signature_auc": (

@@ -7,7 +7,7 @@ import json
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import numbered
@@ -111,3 +111,46 @@ def read_step(spark: SparkSession, folder: str, step: str) -> tuple[DataFrame, d
         raise ValueError(f"unknown step: {step}")
     (row,) = spark.read.text(f"{folder}/{step}_kws.json", wholetext=True).collect()
     return spark.read.parquet(f"{folder}/{step}"), json.loads(row[0])
+
+
+#: Files of the steps that other programs read, under their step's folder.
+CSV_FILES = {"ma": "manifold_alignment.csv", "dr": "d_regulation.csv"}
+
+
+def _complex_text(real: Column, imaginary: Column) -> Column:
+    sign = F.when((imaginary < 0) | (imaginary.cast("string") == "-0.0"), "").otherwise("+")
+    return F.concat(F.lit("("), real.cast("string"), sign, imaginary.cast("string"), F.lit("j)"))
+
+
+def write_csv(df: DataFrame, folder: str, step: str) -> str:
+    """The table of step ``ma`` or ``dr`` as headed CSV files in a folder of the step's name; the path.
+
+    ``ma``: first column X_<gene> or Y_<gene>, then NLMA_1, NLMA_2, ... (complex numbers like (1.5-0.25j) if any is). ``dr``: the row's number, then
+    the columns of the table. Rows are in order through the files, as many as there are parts of them.
+    """
+    if step not in CSV_FILES:
+        raise ValueError(f"no CSV of step: {step}")
+    path = f"{folder}/{step}/{CSV_FILES[step]}"
+    if step == "dr":
+        rows = numbered(df, "`p-value`", "Gene", name="__n")
+        rows = rows.repartitionByRange("__n").sortWithinPartitions("__n").select(F.col("__n").alias(" "), *[F.col(f"`{c}`") for c in df.columns])
+    else:
+        width = df.agg(F.max(F.size("coords"))).first()[0] or 0
+        imaginary = "coords_im" in df.columns and bool(df.filter(F.exists("coords_im", lambda v: v != 0)).take(1))
+        value = lambda k: _complex_text(F.col("coords")[k], F.col("coords_im")[k]) if imaginary else F.col("coords")[k]
+        rows = df.repartitionByRange("side", "gene").sortWithinPartitions("side", "gene")
+        rows = rows.select(F.concat_ws("_", "side", "gene").alias(" "), *[value(k).alias(f"NLMA_{k + 1}") for k in range(width)])
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def read_csv(spark: SparkSession, folder: str, step: str) -> DataFrame:
+    """What ``write_csv`` wrote, as the table of the step."""
+    rows = spark.read.csv(f"{folder}/{step}/{CSV_FILES[step]}", header=True)
+    first, *rest = rows.columns
+    if step == "dr":
+        return rows.select("Gene", *[F.col(f"`{c}`").cast("double").alias(c) for c in rest if c != "Gene"])
+    number = r"^\(?([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)(?:([-+][0-9.]+(?:[eE][-+]?[0-9]+)?)j\))?$"
+    part = lambda k: F.array(*[F.coalesce(F.nullif(F.regexp_extract(F.col(c), number, k), F.lit("")).cast("double"), F.lit(0.0)) for c in rest])
+    name = F.col(f"`{first}`")
+    return rows.select(F.substring(name, 1, 1).alias("side"), F.expr(f"substring(`{first}`, 3)").alias("gene"), part(1).alias("coords"), part(2).alias("coords_im"))

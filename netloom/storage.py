@@ -69,6 +69,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
 
 
+def listing(spark: SparkSession, path: str) -> list[list]:
+    """Name, size and time of a file, or of the files in a folder."""
+    place, system = _file_system(spark, path)
+    return sorted([f.getPath().toString(), f.getLen(), f.getModificationTime()] for f in system.listStatus(place))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place, system = _file_system(spark, path)
     system.delete(place, True)

@@ -27,6 +27,17 @@ def test_qc_bounds(spark):
         qc.library_size_histogram(entries, 2)
 
 
+def test_quartiles_by_sketch(spark):
+    """Ten million sizes in an order unlike their own: ranks within the error that the result tells; exact by default."""
+    n, accuracy = 10_000_000, 1000
+    sizes = spark.range(n).select(F.lit("a").alias("label"), ((F.col("id") * 7_368_787) % n).cast("double").alias("size"))
+    (row,) = qc.quartiles(sizes, accuracy).collect()
+    assert row.rank_error == 1 / accuracy
+    assert abs(row.q1 / n - 0.25) <= row.rank_error and abs(row.q3 / n - 0.75) <= row.rank_error
+    few = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)], "label string, size double")
+    assert [tuple(r) for r in qc.quartiles(few).collect()] == [("a", 1.75, 3.25, 0.0)]
+
+
 def test_quantile_counts_zeros(spark):
     e = spark.createDataFrame([(0, "a", "b", 3.0), (0, "b", "a", -1.0)], "net_id int, target string, source string, weight double")
     sizes = spark.createDataFrame([(0, 2)], "net_id int, n_genes int")
