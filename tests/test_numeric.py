@@ -260,7 +260,7 @@ def laplacian(x, y):
 def test_manifold_by_blocks(spark, symmetric, d):
     """The iterative path against the dense one: values, residuals, distances of genes; with isolated genes."""
     rng = np.random.default_rng(d)
-    n, nets = 240, []
+    n, nets = 200, []
     for _ in range(2):
         w = np.where(rng.random((n, n)) < 0.06, np.round(rng.normal(0, 0.4, (n, n)), 3), 0)
         w[-3:] = w[:, -3:] = 0
