@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by collision counting on single projections.
 
 Query-aware hashing (C2LSH, Gan et al. 2012; QALSH, Huang et al. 2015). A block of vectors is indexed by
-``PROJECTIONS`` sorted arrays, one for each random direction, cut into ``PAGES`` pages of equal length. A query
+``PROJECTIONS`` sorted arrays, one for each random direction. A query
 looks at the window of each array that is centred on its own projection; the window grows by virtual rehashing
-(same arrays, larger radius) until enough vectors have collided with the query in at least ``THRESHOLD`` of the
-arrays. Those are verified by exact inner products. Where the last radius brings in more than asked for, the
+(same arrays, larger radius: only the entries that it takes in are counted anew) until enough vectors have collided with the
+query in at least ``THRESHOLD`` of the arrays. Those are verified by exact inner products. Where the last radius brings in more than asked for, the
 threshold rises, so that the verified share of a block is bounded by ``VERIFY`` and ``VERIFY_PER_K`` at every size.
 
 Largest inner product becomes smallest distance by one more component that gives all vectors of a block the same
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .common import bounded_batches, table
 
-PROJECTIONS, PAGES, SEED = 130, 250, 11
+PROJECTIONS, SEED = 130, 11
 #: Vectors of an index block, queries that one task streams through it.
 BLOCK, QUERY_PART = 32_768, 32_768
 #: Share of the arrays in which a candidate must collide; candidates to verify: a share of the block, and so many for each of the k.
@@ -56,7 +56,7 @@ def _banded(rows: DataFrame) -> DataFrame:
 
 
 class BlockIndex:
-    """Sorted arrays of one block: for each direction the page that each vector lies in, and where pages begin."""
+    """Sorted arrays of one block: for each direction the projections in order, and the rows that they belong to."""
 
     def __init__(self, vectors: np.ndarray):
         n, dims = vectors.shape
@@ -68,39 +68,69 @@ class BlockIndex:
         self.length = np.sqrt(squares.max())
         lift = np.sqrt(np.maximum(squares.max() - squares, 0))
         projected = (np.column_stack([unit, lift]) @ self.directions).T
-        pages = min(n, PAGES)
         order = np.argsort(projected, axis=1, kind="stable")
-        self.pages = np.empty(projected.shape, np.uint8)
-        np.put_along_axis(self.pages, order, (np.arange(n) * pages // n).astype(np.uint8)[None], axis=1)
-        begins = -(-np.arange(pages) * n // pages)
-        self.begins = np.take_along_axis(projected, order[:, begins], axis=1)
+        self.rows = order.astype(np.uint16 if n <= 1 << 16 else np.int64)
         self.widths = np.maximum(projected.std(axis=1), 0.01 * self.length)
+        # the arrays end to end, each moved past the one before, so that one binary search finds places in all of them
+        self.shift = 4 * self.length * np.arange(PROJECTIONS)
+        self.sorted = (np.take_along_axis(projected, order, axis=1) + self.shift[:, None]).ravel()
+        self.begins = np.arange(PROJECTIONS) * n
         self.n = n
+        self.touched = 0  # entries of windows looked at so far
+
+    def _ends(self, centre: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of ``centre`` begin and end in each array."""
+        middle, reach = centre + self.shift, self.widths * radius
+        lo, hi = (np.searchsorted(self.sorted, at, side) - self.begins for at, side in ((middle - reach, "left"), (middle + reach, "right")))
+        return lo.clip(0, self.n), hi.clip(0, self.n)
+
+    def _counted(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """In how many of the pieces each row stands."""
+        rows = np.concatenate(pieces, dtype=np.intp, casting="safe")
+        self.touched += len(rows)
+        return np.bincount(rows, minlength=self.n)
+
+    def _collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In how many windows each row stands, counted by what is outside of those that hold more than half."""
+        wide = hi - lo > self.n // 2
+        ends = zip(self.rows, lo.tolist(), hi.tolist(), wide.tolist())
+        inside, outside = [], []
+        for rows, a, b, w in ends:
+            if w:
+                outside += (rows[:a], rows[b:])
+            else:
+                inside.append(rows[a:b])
+        count = np.full(self.n, wide.sum())
+        if inside:
+            count += self._counted(inside)
+        if outside:
+            count -= self._counted(outside)
+        return count
 
     def search(self, queries: np.ndarray, wanted: int, radius: float = RADIUS) -> tuple[list[np.ndarray], float]:
-        """Rows that collide with each query often enough, at least ``wanted``; and the radius to go on with."""
+        """Rows that collide with each query often enough, at least ``wanted``; and the radius to go on with.
+
+        The first windows are counted by their entries or by the rest, whichever are fewer; a larger radius adds the entries by which
+        windows grow on either side.
+        """
         unit = queries / np.abs(queries).max(axis=1, keepdims=True)
         unit *= self.length / np.sqrt((unit**2).sum(axis=1, keepdims=True))  # a query's length doesn't change its order
         centres = np.column_stack([unit, np.zeros(len(unit))]) @ self.directions
         wanted = min(wanted, self.n)
-        need = int(np.ceil(THRESHOLD * len(self.pages)))
-        place, inside, count = np.empty(self.n, np.uint8), np.empty(self.n, bool), np.empty(self.n, np.uint8)
+        need = int(np.ceil(THRESHOLD * PROJECTIONS))
         found = []
-        for c in centres:
+        for centre in centres:
+            lo, hi = self._ends(centre, radius)
+            count = self._collisions(lo, hi)
             while True:
-                reach = self.widths * radius
-                lo = (self.begins[:, 1:] < (c - reach)[:, None]).sum(axis=1)
-                size = (self.begins <= (c + reach)[:, None]).sum(axis=1) - lo
-                count[:] = 0
-                for page, a, s in zip(self.pages, lo.astype(np.uint8), size.tolist()):
-                    if s > 0:  # pages before the window wrap round to large numbers
-                        np.subtract(page, a, out=place)
-                        np.less(place, np.uint8(s), out=inside)
-                        np.add(count, inside.view(np.uint8), out=count)
                 often = np.bincount(count, minlength=need + 1)[::-1].cumsum()[::-1]  # vectors that collide so often or more
                 if often[need] >= wanted:
                     break
                 radius *= GROWTH
+                further, beyond = self._ends(centre, radius)
+                ends = zip(self.rows, further.tolist(), lo.tolist(), hi.tolist(), beyond.tolist())
+                count += self._counted([piece for rows, a, b, c, d in ends for piece in (rows[a:b], rows[c:d])])
+                lo, hi = further, beyond
             found.append(np.flatnonzero(count >= np.flatnonzero(often >= wanted)[-1]))
             if often[need] > 2 * wanted:  # the next query starts a step lower
                 radius = max(RADIUS, radius / GROWTH)

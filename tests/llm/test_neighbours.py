@@ -100,6 +100,32 @@ def test_verified_share_is_bounded():
         assert share.min() * n >= wanted and share.mean() <= 1.5 * wanted / n and share.max() <= 2 * wanted / n
 
 
+@pytest.mark.parametrize("radius", [0.05, neighbours.RADIUS])
+def test_windows_grow_by_what_they_take_in(radius):
+    """Collisions equal a plain count over all projections. Entries touched: the smaller side of the first windows, then what windows take in."""
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((4000, 16)) * rng.lognormal(0, 0.1, (4000, 1))
+    wanted = neighbours.candidates_wanted(4000, 20)
+    index = neighbours.BlockIndex(vectors)
+    unit = vectors / np.abs(vectors).max()
+    lengths = np.sqrt((unit**2).sum(axis=1))
+    lifted = np.column_stack([unit, np.sqrt(lengths.max() ** 2 - lengths**2)])
+    for query in vectors[:20]:
+        (found,), last = index.search(query[None], wanted, radius)
+        centre = np.append(query * lengths.max() / np.linalg.norm(query), 0.0)
+        need, steps = int(np.ceil(neighbours.THRESHOLD * neighbours.PROJECTIONS)), radius
+        apart = np.abs((lifted - centre) @ index.directions)
+        first = inside = apart <= index.widths * steps
+        while (inside.sum(axis=1) >= need).sum() < wanted:
+            steps *= neighbours.GROWTH
+            inside = apart <= index.widths * steps
+        least = np.sort(inside.sum(axis=1))[-wanted]
+        assert set(found) == set(np.flatnonzero(inside.sum(axis=1) >= least))
+        sizes = first.sum(axis=0)
+        assert index.touched == np.minimum(sizes, 4000 - sizes).sum() + inside.sum() - sizes.sum()
+        index.touched = 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(df, df).collect() == []
