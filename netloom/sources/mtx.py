@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import numbered
+from ..storage import materialize, numbered
 from .tables import default_barcodes
 
 HEADER = r"^\d+\s+\d+\s+\d+\s*$"
@@ -19,23 +21,44 @@ ENTRY = r"^\s*(\d+)\s+(\d+)\s+(\S+)\s*$"
 
 #: Order of lines: file, block of the file, place in the block.
 ORDER = ["file", "block", "m"]
+#: Bytes of an archive's member that a task holds at once.
+CHUNK = 1 << 22
+
+
+def _opened(file: str):
+    """A file of any system that Arrow knows, for reading in any order; nothing is read ahead."""
+    scheme, _, rest = file.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    system, path = fs.FileSystem.from_uri(f"s3:{rest}" if scheme == "s3a" else file)
+    return system.open_input_file(path)
+
+
+def archive_lines(file: str) -> Iterator[list[str]]:
+    """Lines of the first member of a zip archive, about CHUNK bytes at a time."""
+    with _opened(file) as raw, zipfile.ZipFile(raw) as archive, io.BufferedReader(archive.open(archive.namelist()[0]), 1 << 20) as member:
+        while rows := member.readlines(CHUNK):
+            yield [r.decode().rstrip("\r\n") for r in rows]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file or of a folder's files (``value``), in a zip of its first member, with what orders them."""
+    """Lines of a text file or of a folder's files (``value``), in a zip of its first member, with what orders them.
+
+    An archive is streamed by one task, as it can't be read from the middle, and its lines written as a table that tasks then share.
+    """
     if not path.endswith(".zip"):
         rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         return rows.withColumn("m", F.monotonically_increasing_id())
 
-    def unzip(batches):
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
-                    while rows := f.readlines(1 << 22):
-                        yield pd.DataFrame({"value": [r.decode().rstrip("\r\n") for r in rows]})
+            for file in batch.column(0).to_pylist():
+                for block, lines in enumerate(archive_lines(file)):
+                    n = len(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64())], ["value", *ORDER])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "value string")
-    return rows.select("value", F.lit(path).alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("m"))
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only: contents never become a row
+    return materialize(files.mapInArrow(unzip, "value string, file string, block long, m long"), "unzipped")
 
 
 def _names(spark: SparkSession, path: str) -> DataFrame:

@@ -210,3 +210,26 @@ def test_qq_and_pca(spark):
     np.testing.assert_allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-8)
     np.testing.assert_allclose([r.share for r in sorted(shares.collect(), key=lambda r: r.component)], (s**2 / (s**2).sum())[:3])
     np.testing.assert_allclose(np.abs([r.loadings for r in sorted(loadings.collect(), key=lambda r: r.gene)]), np.abs(vt[:3].T), atol=1e-8)
+
+
+def test_archive_is_streamed(spark, tmp_path, monkeypatch):
+    """A member of 20 MB: a small part of it in memory at once; lines in order through chunks, whatever their ends."""
+    import tracemalloc
+    import zipfile
+
+    monkeypatch.setattr(mtx, "CHUNK", 1 << 18)
+    path = tmp_path / "a long name.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open("m.txt", "w") as f:
+        for k in range(20):
+            f.write(b"".join(b"%09d %09d 1" % (k * 45_000 + i, i) + (b"\r\n" if i % 2 else b"\n") for i in range(45_000)))
+        f.write(b"last")
+    tracemalloc.start()
+    n = 0
+    for lines in mtx.archive_lines(f"file:{path}"):
+        n += len(lines)
+    assert tracemalloc.get_traced_memory()[1] < 10e6
+    tracemalloc.stop()
+    assert n == 20 * 45_000 + 1
+    rows = mtx.numbered(mtx._lines(spark, str(path)), *mtx.ORDER)
+    wrong = rows.filter("value <> 'last' AND NOT (cast(split(value, ' ')[0] AS long) = n AND endswith(value, ' 1'))")
+    assert (rows.count(), wrong.count(), rows.filter("value = 'last'").first().n) == (n, 0, n - 1)
