@@ -60,6 +60,35 @@ def test_all_cells_network(spark):
     assert not any("g99" in k for k in got)
 
 
+def test_all_cells_network_of_genes_apart(spark):
+    """Genes that no cell shares are still correlated: each is found where the other is not."""
+    x = np.random.default_rng(8).poisson(1.5, (80, 10)).astype(float)
+    x[:40, 0], x[40:, 1] = 0, 0
+    assert not (x[:, 0] * x[:, 1]).any()
+    entries = spark.createDataFrame([(f"g{j:02d}", f"c{i}", float(x[i, j])) for i, j in zip(*np.nonzero(x))], "gene string, cell string, value double")
+    got = {(r.target, r.source): r.weight for r in pcnet.all_cells_network(entries).collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for k in range(10):
+        np.testing.assert_allclose([got.get((f"g{k:02d}", f"g{j:02d}"), 0.0) for j in range(10)], brute_beta(z, k, 3), atol=1e-6)
+
+
+@pytest.mark.parametrize(("held", "pairs"), [(8_000_000, 1 << 21), (500, 64)])
+def test_gene_gram(spark, monkeypatch, held, pairs):
+    """Repeated and null entries, negative ones, several strips of genes; all at once and in many small steps."""
+    monkeypatch.setattr(pcnet, "GRAM_ENTRIES", held)
+    monkeypatch.setattr(pcnet, "GRAM_PAIRS", pairs)
+    rng = np.random.default_rng(0)
+    rows = [(f"c{c}", f"g{g:03d}", float(v)) for c, g, v in zip(rng.integers(0, 40, 2500), rng.integers(0, 600, 2500), rng.integers(-3, 5, 2500))]
+    x = np.zeros((40, 600))
+    for c, g, v in rows:
+        x[int(c[1:]), int(g[1:])] += v
+    entries = spark.createDataFrame([*rows, ("c1", "g001", None)], "cell string, gene string, value double")
+    gram = x.T @ x
+    want = {(f"g{i:03d}", f"g{j:03d}"): gram[i, j] for i, j in zip(*np.nonzero(gram)) if i <= j}
+    assert {(r.g1, r.g2): r.dot for r in pcnet.gene_gram(entries).collect()} == want
+    assert pcnet.gene_gram(entries.filter("false")).collect() == []
+
+
 def test_pc_networks_in_parts(spark, monkeypatch):
     """Several networks of unlike samples, several blocks and parts of genes; a cell drawn twice, one without an entry."""
     monkeypatch.setattr(pcnet, "GENE_BLOCK", 4)
