@@ -4,7 +4,8 @@ A tokeniser cuts tags, comments and text; the tree builder closes what HTML lets
 ``p``, ``li``, ``tr``, ``td``, ``option``, ... or a block inside ``p``) and ignores stray end tags. Elements
 that browsers don't show are dropped with all they hold. Rendering walks the tree without recursion: inline
 text flows together with white space collapsed, blocks start on new lines, paragraphs and headings are set
-off by a blank line, list items get a bullet or number and indentation.
+off by a blank line, list items get a bullet or number and indentation. An element's own style may make it a block or
+inline; form controls stand apart by a space; of ``details`` that isn't open only the summary shows.
 
 Tables are laid out from the inside out. A row whose cells are single lines becomes a line of aligned columns, with
 ``colspan`` and ``rowspan``; in a row with a cell that holds more (blocks, lists, an inner table, or a line beyond
@@ -40,6 +41,11 @@ IMPLIED_END = {
 #: End tags don't reach beyond these.
 SCOPE = {"table", "td", "th", "html", "caption"}
 TABLE_PARTS, TABLE_SCOPE = set("table caption tbody thead tfoot tr td th".split()), {"table", "html"}
+#: Controls that stand apart from the text around them.
+CONTROLS = set("button input meter output progress select textarea".split())
+#: Whether an element of these values of display begins a line of its own. Lists' items and parts of tables keep theirs.
+DISPLAY = dict.fromkeys("block flex grid flow-root list-item table".split(), True) | dict.fromkeys("inline inline-block inline-flex inline-grid contents initial unset".split(), False)
+DISPLAY_FIXED = TABLE_PARTS | set("br hr pre colgroup col".split())
 #: Widest line that a cell of an aligned row may have.
 WIDEST = 200
 #: Most columns and rows that a cell spans by the HTML standard.
@@ -57,7 +63,7 @@ WHITE = re.compile(r"[ \t\n\r\f]+")
 class Node:
     """An element; ``inside`` holds elements and strings in order."""
 
-    __slots__ = ("name", "inside", "seen", "shown", "start", "step", "span", "rows", "lines")
+    __slots__ = ("name", "inside", "seen", "shown", "start", "step", "span", "rows", "lines", "block", "closed")
 
     def __init__(self, name: str, seen: bool = True):
         self.name, self.inside, self.seen = name, [], seen
@@ -65,6 +71,8 @@ class Node:
         self.span, self.rows = 1, 1
         self.lines: list[str] = []  # of a table, once laid out
         self.shown: bool | None = None  # visibility set here; None: inherited
+        self.block = name in BLOCK
+        self.closed = name == "details"  # all but its summary is folded away
 
 
 def _style(text: str) -> dict[str, str]:
@@ -85,6 +93,10 @@ def _element(name: str, attributes: str) -> Node:
             node.shown = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style["visibility"])
         if "hidden" in found or style.get("display") == "none" or name == "input" or (name == "dialog" and "open" not in found):
             node.seen = False
+        if style.get("display") in DISPLAY and name not in DISPLAY_FIXED:
+            node.block = DISPLAY[style["display"]]
+        if "open" in found:
+            node.closed = False
         number = lambda k, default: int(found[k]) if NUMBER.fullmatch(found.get(k) or "") else default
         node.start = number("value" if name == "li" else "start", None)
         node.step = -1 if name == "ol" and "reversed" in found else 1
@@ -257,12 +269,14 @@ def _rendered(root: Node) -> list[str]:
                     out.put(line) if line else out.end(1)
                 out.end(1)
                 continue
-            if name in BLOCK:
+            if node.block:
                 out.end(name in SET_OFF and not (name in ("ul", "ol") and lists))
+            elif name in CONTROLS:
+                out.text(" ")
             if name in ("ul", "ol", "menu", "dir"):
                 start = sum(not isinstance(x, str) and x.name == "li" for x in node.inside) if node.step < 0 else 1
                 lists.append(["ol" if name == "ol" else "ul", start if node.start is None else node.start, out.prefix, node.step])
-            elif name == "li":
+            elif name == "li" and node.block:
                 if lists and node.start is not None:
                     lists[-1][1] = node.start
                 kind, number, before, step = lists[-1] if lists else ["ul", 1, out.prefix, 1]
@@ -275,18 +289,23 @@ def _rendered(root: Node) -> list[str]:
             elif name == "pre":
                 pre += 1
             work.append((node, 1))
-            work.extend((x, 0) for x in reversed(node.inside))
+            inside = node.inside
+            if node.closed:
+                inside = [x for x in inside if not isinstance(x, str) and x.name == "summary"][:1]
+            work.extend((x, 0) for x in reversed(inside))
             continue
         if name == "pre":
             pre -= 1
-        if name in BLOCK:
+        if name in CONTROLS and not node.block:
+            out.text(" ")
+        if node.block:
             if name == "pre" and "".join(out.now).strip():
                 out.put("".join(out.now).rstrip())
                 out.now = []
             out.end(name in SET_OFF and not (name in ("ul", "ol") and len(lists) > 1))
         if name in ("ul", "ol", "menu", "dir"):
             out.prefix = lists.pop()[2]
-        elif name == "li":
+        elif name == "li" and node.block:
             out.prefix = lists[-1][2] if lists else out.prefix[:-2]
             out.mark = ""
         elif name in ("dd", "blockquote"):

@@ -13,6 +13,17 @@ CASES = [
     ('<table style="visibility:hidden"><tr><td>no<td style="visibility:visible">yes</td></tr></table>x', "  yes\n\nx"),
     ("a <svg><text>label</text></svg> <math><mi>y</mi><mo>=</mo><mn>2</mn></math>", "a label y=2"),
     ("<svg><defs><text>no</text></defs><text>a</text><text>b</text></svg><math><mi>z</mi><annotation>no</annotation></math>", "a bz"),
+    ('a<span style="display:block">b</span>c', "a\nb\nc"),
+    ('<div style="display:flex">a</div><div style="display:inline">b</div><div style="display:inline">c</div>', "a\nbc"),
+    ('<p style="display:inline">a</p> <p style="display:inline">b</p>', "a b"),
+    ('<ul><li style="display:inline">a</li> <li style="display:inline">b</li></ul>c', "a b\n\nc"),
+    ('<ul><li><ul><li style="display:inline">a</li></ul><li>b</ul>', "- a\n- b"),
+    ('<table><tr><td style="display:inline">a<td>b</table>', "a  b"),
+    ("<textarea>t</textarea><button>go</button>", "t go"),
+    ("press<button> go </button>now<select><option>x</select>y", "press go now\nx\ny"),
+    ("<details><summary>head</summary>folded<p>away</details>x", "head\nx"),
+    ("<details open><summary>head</summary>seen</details>x", "head\nseen\nx"),
+    ("<details>folded<table><tr><td>t</table></details>x", "x"),
     ("<svg><title>t</title><style>p{}</style><text>in</text></svg>", "in"),
 ]
 
