@@ -7,9 +7,10 @@ text flows together with white space collapsed, blocks start on new lines, parag
 off by a blank line, list items get a bullet or number and indentation. An element's own style may make it a block or
 inline; form controls stand apart by a space; of ``details`` that isn't open only the summary shows.
 
-Tables are laid out from the inside out. A row whose cells are single lines becomes a line of aligned columns, with
-``colspan`` and ``rowspan``; in a row with a cell that holds more (blocks, lists, an inner table, or a line beyond
-``WIDEST``) the cells follow each other as blocks, so that each is read as a whole.
+Tables are laid out from the inside out, as a grid with ``colspan`` and ``rowspan``: a row has as many lines as its
+tallest cell, and the lines of all its cells (of blocks, lists and inner tables too) begin at their columns. A cell over
+several rows goes on beside them. Lines beyond ``WIDEST`` run over their column and don't widen it, so that one long
+paragraph doesn't push a whole table aside. Rows with a blank line in a cell are set off by blank lines.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ CONTROLS = set("button input meter output progress select textarea".split())
 #: Whether an element of these values of display begins a line of its own. Lists' items and parts of tables keep theirs.
 DISPLAY = dict.fromkeys("block flex grid flow-root list-item table".split(), True) | dict.fromkeys("inline inline-block inline-flex inline-grid contents initial unset".split(), False)
 DISPLAY_FIXED = TABLE_PARTS | set("br hr pre colgroup col".split())
-#: Widest line that a cell of an aligned row may have.
-WIDEST = 200
+#: Widest line that widens its column, and the furthest place to which a line is filled up with blanks.
+WIDEST, FURTHEST = 200, 2000
 #: Most columns and rows that a cell spans by the HTML standard.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
@@ -347,44 +348,47 @@ def _table(node: Node) -> Iterator[str]:
     """Lines of a table whose inner tables are laid out. Captions and stray text come first."""
     rows, loose = _cells(node)
     yield from _alone(loose)
-    laid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns spanned, lines) of each row's cells
+    laid: list[list[tuple[int, int, list[str]]]] = []  # (column, rows spanned, lines) of each row's cells
     taken: dict[int, int] = {}  # rows from here that a cell above still covers, by column
-    widths: dict[int, int] = {}
+    needs: dict[int, list[tuple[int, int]]] = {}  # (column, width) of the cells that end before a column
     for row in rows:
         cells, at, begun = [], 0, {}
         for cell in row:
             while at in taken:
                 at += 1
-            cells.append((at, cell.span, _alone(cell.inside)))
+            lines = _alone(cell.inside)
+            cells.append((at, cell.rows, lines))
             if cell.rows > 1:
                 begun |= dict.fromkeys(range(at, at + cell.span), cell.rows)
+            needs.setdefault(at, [])
+            needs.setdefault(at + cell.span, []).append((at, max((len(line) for line in lines if len(line) <= WIDEST), default=0)))
             at += cell.span
         laid.append(cells)
         taken = {c: n - 1 for c, n in (taken | begun).items() if n > 1}
-        if _aligns(cells):
-            for at, span, lines in cells:
-                if span == 1 and lines:
-                    widths[at] = max(widths.get(at, 0), len(lines[0]))
-    for cells in laid:
-        if _aligns(cells):
+    starts: dict[int, int] = {}
+    start = 0
+    for column in sorted(needs):  # each as far left as the cells before it let it be
+        start = max([start, *(starts[at] + width + 2 for at, width in needs[column])])
+        starts[column] = start
+    going: list[tuple[int, int, list[str]]] = []  # cells from rows above: column, rows left, lines left
+    set_off = False
+    for k, cells in enumerate(laid):
+        last = k == len(laid) - 1
+        parts = sorted(going + cells, key=lambda cell: cell[0])
+        height = max((len(lines) if last or left == 1 else min(len(lines), 1) for _, left, lines in parts), default=0)
+        spaced = any("" in lines[:height] for _, _, lines in parts)
+        if spaced or set_off:
+            yield ""
+        set_off = spaced
+        for i in range(height):
             line = ""
-            for at, span, lines in cells:
-                if lines:
-                    start = sum(widths.get(i, 0) + 2 for i in range(at))
+            for at, _, lines in parts:
+                if i < len(lines) and lines[i]:
+                    start = min(starts[at], FURTHEST)
                     line = line.ljust(start) if len(line) < start else line + "  " * bool(line)
-                    line += lines[0]
-            if line:
-                yield line
-            continue
-        for k, (_, _, lines) in enumerate(cells):
-            if k and lines:
-                yield ""
-            yield from lines
-        yield ""
-
-
-def _aligns(cells: list[tuple[int, int, list[str]]]) -> bool:
-    return all(len(lines) < 2 and (not lines or len(lines[0]) <= WIDEST) for _, _, lines in cells)
+                    line += lines[i]
+            yield line
+        going = [(at, left - 1, lines[height:]) for at, left, lines in parts if left > 1 and len(lines) > height]
 
 
 def extract(source: str | None) -> str | None:

@@ -12,11 +12,16 @@ CASES = [
     ("<table><tr><th>n<th>value<tr><td>long name<td>1</table>", "n          value\nlong name  1"),
     ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
     ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>", "A  B\n   C\nD  E"),
-    ("<table><tr><td rowspan=3 colspan=2>A<td>B<tr><td>C</table>x", "A   B\n    C\n\nx"),
-    ("<table><tr><td>a<td>b<tr><td><table><tr><td>i</table>c</table>d", "a  b\ni\n\nc\n\nd"),
-    ("<table><tr><td><ul><li>x<li>y</ul><td><p>one<p>two<tr><td>1<td>2</table>", "- x\n- y\n\none\n\ntwo\n\n1  2"),
-    ("<table><caption>Cap</caption><tr><td>a<td><table><tr><td>i<td>j<tr><td>k<td>l</table></table>", "Cap\na\n\ni  j\nk  l"),
-    ("<table><tr><td>" + "long " * 60 + "<td>b<tr><td>c<td>d</table>", "long " * 59 + "long\n\nb\n\nc  d"),
+    ("<table><tr><td rowspan=3 colspan=2>A<td>B<tr><td>C</table>x", "A  B\n   C\n\nx"),
+    ("<table><tr><td colspan=2>wide head<td>x<tr><td>1<td>2<td>3</table>", "wide head  x\n1  2       3"),
+    ("<table><tr><td>a<td>b<tr><td><table><tr><td>i</table>c</table>d", "a  b\n\ni\n\nc\n\nd"),
+    ("<table><tr><td><ul><li>x<li>y</ul><td><p>one<p>two<tr><td>1<td>2</table>", "- x  one\n- y\n     two\n\n1    2"),
+    ("<table><caption>Cap</caption><tr><td>a<td><table><tr><td>i<td>j<tr><td>k<td>l</table></table>", "Cap\na  i  j\n   k  l"),
+    ("<table><tr><td>" + "long " * 60 + "<td>b<tr><td>c<td>d</table>", "long " * 59 + "long  b\nc  d"),
+    ("<table><tr><td>a<td>b<br>c<td>d<tr><td>e<br>f<td>g</table>", "a  b  d\n   c\ne  g\nf"),
+    ("<table><tr><td rowspan=2>1<br>2<br>3<td>a<tr><td>b<tr><td>c<td>d</table>", "1  a\n2  b\n3\nc  d"),
+    ("<table><tr><td rowspan=9>1<br>2<br>3<td>a<tr><td>b</table>", "1  a\n2  b\n3"),
+    ("<table><tr><td>a<td>b" + "<tr>" + "<td colspan=1000>x" * 3000 + "</table>", "a  b\nx     " + "  ".join("x" * 2999)),
     ("<ol><li value=5>e<li>f<li value=-1>g</ol>", "5. e\n6. f\n-1. g"),
     ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
     ("a<br>b<br><br>c", "a\nb\n\nc"),
