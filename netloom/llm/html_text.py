@@ -385,8 +385,7 @@ def _table(node: Node) -> Iterator[str]:
             for at, _, lines in parts:
                 if i < len(lines) and lines[i]:
                     start = min(starts[at], FURTHEST)
-                    line = line.ljust(start) if len(line) < start else line + "  " * bool(line)
-                    line += lines[i]
+                    line = line.ljust(max(start, len(line) + 2 * bool(line))) + lines[i]
             yield line
         going = [(at, left - 1, lines[height:]) for at, left, lines in parts if left > 1 and len(lines) > height]
 

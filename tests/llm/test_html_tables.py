@@ -39,7 +39,7 @@ def canvas(rows):
             for k, p in sorted(here, key=lambda x: x[1][1]):
                 if i < len(rest[k]):
                     x = left[p[1]]
-                    if grid and max(grid) >= x - 1:  # a line that ran over its column
+                    if grid and max(grid) + 3 > x:  # a line that ran over its column
                         x = max(grid) + 3
                     for j, ch in enumerate(rest[k][i]):
                         grid[x + j] = ch
