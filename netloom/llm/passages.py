@@ -6,7 +6,9 @@ matched with the seed's first occurrence alone (smallest id, then place): matche
 however often a passage occurs. The seeds of a passage may occur first in different documents, though, none of
 which holds the passage. So runs of RUN words are matched with their own first occurrence as well, from the k-mers
 that are smallest in RUN_WINDOW of them: an exact passage of RUN + RUN_WINDOW - 1 words always meets an earlier
-document that holds RUN of its words in a row.
+document that holds RUN of its words in a row. And pairs of k-mers are, whatever stands between the two: what two fuzzy
+copies have on both sides of a change, where the words of each side first occur in other documents, no document has before the first
+copy. A pair's second k-mer is the one among the following PAIR_STEPS that has the smallest hash together with the first.
 
 Matches of two documents are merged along diagonals, and the pieces chained in order in both texts, with a cost for
 the gaps, by a Fenwick tree over the places in the other text. Chains are then aligned on the words themselves:
@@ -30,10 +32,15 @@ from .common import bounded_batches, steps, table
 #: Words of a k-mer, k-mers of a winnowing window; words of a run and k-mers of the window that picks its start.
 K, WINDOW = 5, 9
 RUN, RUN_WINDOW = 40, 11
+#: Pairs: k-mers of the window that picks the first, places of the second after it, bits that hold which (0: none).
+PAIR_WINDOW, PAIR_STEPS, PAIR_BITS = 20, np.arange(9, 40), 5
 #: Words of a chain's seeds from which it is aligned, words of a passage, share of its words that agree.
 CHAIN_WORDS, PASSAGE_WORDS, IDENTITY = 10, 40, 0.8
 #: Chaining: cost of a word in a gap. Growing: cost of a word that differs, and drop at which it ends.
 GAP_COST, MISMATCH, DROP = 0.15, 3, 18
+#: Growing past words put in or left out, before K words that agree: most of them on one side.
+SKIP = 3
+_SKIPS = sorted(((i, j) for i in range(SKIP + 1) for j in range(SKIP + 1) if i or j), key=lambda s: (max(s), sum(s)))
 #: Longest gap that is aligned word by word; longer ones count as different.
 GAP_WORDS = 200
 #: UTF-8 bytes hashed at once.
@@ -107,6 +114,21 @@ def _smallest(values: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
     return picked
 
 
+def _pairs(kmers: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First k-mer, step of the second and hash of each pair."""
+    first = np.flatnonzero(_smallest(kmers, row, PAIR_WINDOW))
+    second = first[:, None] + PAIR_STEPS
+    inside = second < len(kmers)
+    second[~inside] = 0
+    inside &= row[second] == row[first][:, None]
+    both = _mixed(kmers[first][:, None] * np.uint64(WORD_BASE) + kmers[second])
+    step = np.where(inside, both, np.uint64(0xFFFFFFFFFFFFFFFF)).argmin(axis=1) if len(first) else np.zeros(0, np.int64)
+    pairs = both[np.arange(len(first)), step]
+    keep = inside[:, 0].copy() if len(first) else np.zeros(0, bool)
+    keep[1:] &= (np.diff(pairs) != 0) | (np.diff(row[first]) != 0)  # one word over and over has one pair
+    return first[keep], step[keep], pairs[keep]
+
+
 def _numbered_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     """``doc`` (a number from 0 in the order of ids) and ``text``; what ids the numbers have, unless by a shift; bits of a place.
 
@@ -117,12 +139,14 @@ def _numbered_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     seen = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.octet_length("text")).alias("bytes")).first()
     bits = max(1, ((seen["bytes"] or 0) // 2 + 1).bit_length())
     repeated = bool(rows.groupBy("doc_id").count().filter("count > 1").take(1))
-    if not repeated and (seen["lo"] is None or seen["hi"] - seen["lo"] < 1 << (63 - bits)):
+    if not repeated and (seen["lo"] is None or seen["hi"] - seen["lo"] < 1 << (63 - bits - PAIR_BITS)):
         base = seen["lo"] or 0
         ids = rows.sparkSession.createDataFrame([(base,)], "base long")
         return rows.select((F.col("doc_id") - F.lit(base)).alias("doc"), "text"), ids, bits
     marked = rows.withColumn("th", F.xxhash64("text"))
     names = materialize(numbered(marked.select("doc_id", "th").distinct(), "doc_id", "th", name="doc"), "names")
+    if names.count().bit_length() + bits + PAIR_BITS > 63:
+        raise ValueError("numbers of documents and places in the longest text don't fit into 63 bits")
     single = marked.join(names, ["doc_id", "th"]).dropDuplicates(["doc"])
     return single.select("doc", "text"), names.select("doc", "doc_id"), bits
 
@@ -138,7 +162,8 @@ def _with_ids(found: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame, place_bits: int) -> DataFrame:
-    """``h`` and ``at`` of every seed and run: a hash whose lowest bit tells runs, and number and first word's place, packed."""
+    """``h`` and ``at`` of every seed, run and pair: a hash whose lowest bits tell its kind (0, 1, 2), and number, first word's
+    place and a pair's step (from 1), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=STEP_BYTES):
@@ -148,7 +173,7 @@ def seeds(docs: DataFrame, place_bits: int) -> DataFrame:
             start = np.flatnonzero(rows[: len(rows) - K + 1] == rows[K - 1 :])
             row = rows[start]
             kmers = _range_hashes(words, WORD_BASE, start, start + K)
-            at = batch.column(0).to_numpy()[row] << place_bits | (start - np.searchsorted(rows, row))
+            at = (batch.column(0).to_numpy()[row] << place_bits | (start - np.searchsorted(rows, row))) << PAIR_BITS
             picked, begins = _smallest(kmers, row, WINDOW), start[_smallest(kmers, row, RUN_WINDOW)]
             whole = begins + RUN <= len(rows)
             whole[whole] = rows[begins[whole]] == rows[begins[whole] + RUN - 1]
@@ -159,8 +184,9 @@ def seeds(docs: DataFrame, place_bits: int) -> DataFrame:
             soon = (np.diff(runs[order]) == 0) & (np.diff(rows[begins][order]) == 0) & (np.diff(begins[order]) < RUN)
             alone = np.sort(order[np.concatenate([[True], ~soon])[: len(order)]])
             begins, runs = begins[alone], runs[alone]
-            h = np.concatenate([kmers[picked] & ~np.uint64(1), runs | np.uint64(1)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([at[picked], at[np.searchsorted(start, begins)]]))], ["h", "at"])
+            left, step, pairs = _pairs(kmers, row)
+            h = np.concatenate([kmers[picked] & ~np.uint64(3), runs & ~np.uint64(3) | np.uint64(1), pairs & ~np.uint64(3) | np.uint64(2)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([at[picked], at[np.searchsorted(start, begins)], at[left] | step + 1]))], ["h", "at"])
 
     return docs.mapInArrow(run, "h bigint, at bigint")
 
@@ -260,6 +286,21 @@ def _grow(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return got, int((a[:got] == b[:got]).sum())
 
 
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Words to add on either side, and how many agree, where up to SKIP words may be left out on one side or both before the texts go on in step."""
+    x, hits = _grow(a, b)
+    y = x
+    while True:
+        for i, j in _SKIPS:
+            here, there = a[x + i : x + i + K], b[y + j : y + j + K]
+            if len(here) == len(there) == K and (here == there).all():
+                more, same = _grow(a[x + i :], b[y + j :])
+                x, y, hits = x + i + more, y + j + more, hits + same
+                break
+        else:
+            return x, y, hits
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Words of two gaps that agree in order (longest common subsequence)."""
     if not len(a) or not len(b) or max(len(a), len(b)) > GAP_WORDS:
@@ -281,9 +322,10 @@ def align(chain: np.ndarray, here: np.ndarray, there: np.ndarray) -> tuple[int,
         m = min(x2 - x1, y2 - y1)
         agree += int((here[x1 : x1 + m] == there[y1 : y1 + m]).sum()) if m > 0 else 0
         x, y = max(x, x2), max(y, y2)
-    left, hits = _grow(here[:x0][::-1], there[:y0][::-1])
-    right, more = _grow(here[x:], there[y:])
-    x0, y0, x, y = x0 - left, y0 - left, x + right, y + right
+    left, over, hits = _extend(here[:x0][::-1], there[:y0][::-1])
+    x0, y0 = x0 - left, y0 - over
+    right, over, more = _extend(here[x:], there[y:])
+    x, y = x + right, y + over
     return int(x0), int(x), int(y0), int(y), (agree + hits + more) / max(x - x0, y - y0, 1)
 
 
@@ -295,24 +337,41 @@ def _chained(place_bits: int):
     """Candidate chains of each document with each earlier one."""
     mask = (1 << place_bits) - 1
 
+    def found(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """Chains of enough words, and pairs (places ``ends`` here and there) that lie in none of them."""
+        covered = np.zeros(len(ends), bool)
+        for chain in chains(diagonals(x, y)):
+            if (chain[:, 1] - chain[:, 0]).sum() >= CHAIN_WORDS:
+                covered |= (ends[:, 0] >= chain[0, 0]) & (ends[:, 1] + K <= chain[-1, 1])
+                yield chain
+        last = -1
+        for pair in ends[~covered].tolist():
+            if pair[0] >= last:  # pairs that begin within the one before are met by its alignment
+                last = pair[1] + K
+                yield np.array([[pair[0], pair[0] + K, pair[2], pair[2] + K], [pair[1], last, pair[3], pair[3] + K]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, doc in enumerate(batch.column(0).to_pylist()):
-                places, firsts, runs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-                if runs.any():
-                    long = lambda v: (v[runs == 1][:, None] + _RUN_STEPS).ravel()  # noqa: B023, E731
-                    places, firsts = (np.concatenate([v[runs == 0], long(v)]) for v in (places, firsts))
-                order = np.argsort(firsts >> place_bits, kind="stable")
-                places, firsts = places[order], firsts[order]
-                other = firsts >> place_bits
-                cuts = np.append(np.flatnonzero(np.diff(other, prepend=-1)), len(other)).tolist()
-                for lo, hi in zip(cuts, cuts[1:]):
+                here, there, kinds = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+                step = lambda v: PAIR_STEPS[(v[kinds == 2] & ((1 << PAIR_BITS) - 1)) - 1]  # noqa: B023, E731
+                x, y = here >> PAIR_BITS, there >> PAIR_BITS
+                ends = np.column_stack([x[kinds == 2], x[kinds == 2] + step(here), y[kinds == 2], y[kinds == 2] + step(there)])
+                long = lambda v: (v[kinds == 1][:, None] + _RUN_STEPS).ravel()  # noqa: B023, E731
+                x, y = (np.concatenate([v[kinds == 0], long(v), ends[:, c], ends[:, c + 1]]) for v, c in ((x, 0), (y, 2)))
+                order = np.argsort(y >> place_bits, kind="stable")
+                x, y = x[order], y[order]
+                other = y >> place_bits
+                ends = ends[np.lexsort((ends[:, 0], ends[:, 2] >> place_bits))]
+                owner = ends[:, 2] >> place_bits
+                ends[:, 2:] &= mask
+                cuts = np.append(np.flatnonzero(np.diff(other, prepend=-1)), len(other))
+                bounds = np.searchsorted(owner, other[cuts[:-1]]), np.searchsorted(owner, other[cuts[:-1]], side="right")
+                for lo, hi, left, right in zip(cuts[:-1].tolist(), cuts[1:].tolist(), *(b.tolist() for b in bounds)):
                     if (hi - lo - 1) * (WINDOW + K) + K < CHAIN_WORDS:  # too few matches for any chain
                         continue
-                    for chain in chains(diagonals(places[lo:hi], firsts[lo:hi] & mask)):
-                        if (chain[:, 1] - chain[:, 0]).sum() >= CHAIN_WORDS:
-                            out.append((doc, int(other[lo]), chain.astype("<i4").tobytes()))
+                    out += [(doc, int(other[lo]), chain.astype("<i4").tobytes()) for chain in found(x[lo:hi], y[lo:hi] & mask, ends[left:right])]
             doc, other, chain = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(chain, pa.binary())], ["doc_id", "other_id", "chain"])
 
@@ -365,9 +424,10 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: flo
     found = seeds(narrow, bits)  # made twice: cheaper than to keep all seeds on disk
     firsts = found.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     matches = found.join(firsts.hint("merge"), "h").filter("at > first")
-    match = F.struct(F.col("at").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("x"), F.col("first").alias("y"), F.col("h").bitwiseAND(F.lit(1)).cast("tinyint").alias("run"))
-    by_doc = matches.groupBy(F.shiftright("at", bits).alias("doc_id")).agg(F.collect_list(match).alias("m"))
-    chained = materialize(by_doc.select("doc_id", "m.x", "m.y", "m.run").mapInArrow(_chained(bits), "doc_id bigint, other_id bigint, chain binary"), "chains")
+    place = F.col("at").bitwiseAND(F.lit((1 << bits + PAIR_BITS) - 1).cast("long"))
+    match = F.struct(place.alias("x"), F.col("first").alias("y"), F.col("h").bitwiseAND(F.lit(3)).cast("tinyint").alias("kind"))
+    by_doc = matches.groupBy(F.shiftright("at", bits + PAIR_BITS).alias("doc_id")).agg(F.collect_list(match).alias("m"))
+    chained = materialize(by_doc.select("doc_id", "m.x", "m.y", "m.kind").mapInArrow(_chained(bits), "doc_id bigint, other_id bigint, chain binary"), "chains")
     one = _words(narrow)
     here = chained.join(one.hint("merge"), chained.doc_id == one.id).select("doc_id", "other_id", "chain", F.col("words").alias("here"))
     again = one.withColumnsRenamed({"id": "id2", "words": "there"})
