@@ -4,8 +4,9 @@ A tokeniser cuts tags, comments and text; the tree builder closes what HTML lets
 ``p``, ``li``, ``tr``, ``td``, ``option``, ... or a block inside ``p``) and ignores stray end tags. Elements
 that browsers don't show are dropped with all they hold. Rendering walks the tree without recursion: inline
 text flows together with white space collapsed, blocks start on new lines, paragraphs and headings are set
-off by a blank line, list items get a bullet or number and indentation. An element's own style may make it a block or
-inline; form controls stand apart by a space; of ``details`` that isn't open only the summary shows.
+off by a blank line, list items get a bullet or number and indentation. An element's own style, or a rule of a style sheet
+before it in the page, may hide it or make it a block or inline: rules of simple selectors (a name, classes and an id) for all
+media, the more specific and later ones first; other selectors and rules under conditions are left out, so that text stays. Form controls stand apart by a space; of ``details`` that isn't open only the summary shows.
 
 Tables are laid out from the inside out, as a grid with ``colspan`` and ``rowspan``: a row has as many lines as its
 tallest cell, and the lines of all its cells (of blocks, lists and inner tables too) begin at their columns. A cell over
@@ -57,6 +58,10 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 #: Whole declarations of a style; comments are cut first.
 DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Rules of a style sheet: what begins with @ is cut first, with its braces.
+AT_RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]++|\{[^{}]*+\}?)*+\}?|\Z)")
+RULE = re.compile(r"([^{}]*+)\{([^{}]*+)\}?")
+SELECTOR = re.compile(r"\s*([a-zA-Z][a-zA-Z0-9]*|\*)?((?:[.#][\w-]+)*)\s*")
 NUMBER = re.compile(r"\s*-?[0-9]{1,6}\s*")
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
@@ -76,20 +81,58 @@ class Node:
         self.closed = name == "details"  # all but its summary is folded away
 
 
-def _style(text: str) -> dict[str, str]:
-    """Values of display and visibility: the last declaration of each, important ones first."""
+#: Rules by one of the things that their selector asks for: all of these, then rank and value of each property.
+Rules = dict[str, dict[frozenset, dict[str, tuple[tuple, str]]]]
+_LEAST: tuple[tuple, str] = ((False, -1), "")
+
+
+def _style(text: str) -> dict[str, tuple[bool, str]]:
+    """Whether important, and value, of display and visibility: the last declaration of each, important ones first."""
     found: dict[str, tuple[bool, str]] = {}
-    for name, value, important in DECLARATION.findall(STYLE_COMMENT.sub("", html.unescape(text))):
+    for name, value, important in DECLARATION.findall(STYLE_COMMENT.sub("", text)):
         if name.lower() not in found or important or not found[name.lower()][0]:
             found[name.lower()] = (bool(important), value.lower())
-    return {name: value for name, (_, value) in found.items()}
-
-
-def _element(name: str, attributes: str) -> Node:
+    return found
+
+
+def _sheet(text: str, rules: Rules, place: int) -> None:
+    """Add the rules of a style sheet, at a ``place`` of the page, that speak of display or visibility."""
+    for rule in RULE.finditer(AT_RULE.sub("", STYLE_COMMENT.sub("", text).replace("<!--", "").replace("-->", ""))):
+        style = _style(rule[2])
+        for selector in rule[1].split(",") if style else ():
+            m = SELECTOR.fullmatch(selector)
+            if m and (m[1] or m[2]):
+                name = (m[1] or "*").lower()
+                parts = re.findall(r"[.#][\w-]+", m[2])
+                asked = frozenset([name, *parts])
+                ids = [x for x in parts if x[0] == "#"]
+                keys = ids or parts or [name]
+                key = next((k for k in keys if asked in rules.get(k, ())), min(keys, key=lambda k: len(rules.get(k, ()))))
+                kept = rules.setdefault(key, {}).setdefault(asked, {})
+                for k, (important, value) in style.items():
+                    rank = (important, 0, len(ids), len(parts) - len(ids), name != "*", place + rule.start())
+                    kept[k] = max(kept.get(k, _LEAST), (rank, value))
+
+
+def _cascade(name: str, found: dict[str, str], rules: Rules) -> dict[str, str]:
+    """Values of display and visibility of an element, from its own style and from rules."""
+    own = _style(html.unescape(found["style"])) if found.get("style") else {}
+    best = {k: ((important, 1), value) for k, (important, value) in own.items()}
+    if rules:
+        has = {name, "*", *("." + c for c in (found.get("class") or "").split()), *(["#" + found["id"]] if found.get("id") else [])}
+        for key in has:
+            for asked, kept in rules.get(key, {}).items():
+                if asked <= has:
+                    for k, ranked in kept.items():
+                        best[k] = max(best.get(k, _LEAST), ranked)
+    return {k: value for k, (_, value) in best.items()}
+
+
+def _element(name: str, attributes: str, rules: Rules) -> Node:
     node = Node(name, name not in UNSEEN)
-    if attributes and not attributes.isspace():
+    if rules or attributes and not attributes.isspace():
         found = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))}
-        style = _style(found["style"]) if found.get("style") else {}
+        style = _cascade(name, found, rules)
         if "visibility" in style:
             node.shown = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style["visibility"])
         if "hidden" in found or style.get("display") == "none" or name == "input" or (name == "dialog" and "open" not in found):
@@ -112,6 +155,7 @@ def parse(source: str) -> Node:
     root = Node("#root")
     open_ = [root]
     shown = [True]  # whether text in each open element is visible
+    rules: Rules = {}
     counts: Counter[str] = Counter()  # of open elements by name, so that deep pages aren't searched in vain
 
     def push(node: Node) -> None:
@@ -169,7 +213,7 @@ def parse(source: str) -> Node:
                 open_[-1].inside.append(Node(between))
                 push(open_[-1].inside[-1])
         attributes = m[3]
-        node = _element(name, attributes)
+        node = _element(name, attributes, rules)
         for outer, unseen in FOREIGN_UNSEEN.items():
             if counts[outer] and name in unseen:
                 node.seen = False
@@ -181,6 +225,8 @@ def parse(source: str) -> Node:
             text = source[at : stop.start()]
             if shown[-1] if node.shown is None else node.shown:
                 node.inside.append(html.unescape(text) if name in ("textarea", "title") else text)
+            if name == "style" and "media" not in attributes.lower():
+                _sheet(text, rules, at)
             tail = source.find(">", stop.end())
             at = end if tail < 0 else tail + 1
         elif name not in VOID and not attributes.endswith("/") or name in BLOCK - {"hr"}:
