@@ -150,30 +150,50 @@ def each_network(edges: DataFrame) -> Column:
     return F.explode(F.array(*map(F.lit, ids)).cast(ArrayType(kind))).alias("net_id")
 
 
-def knockout_perturbation(edges: DataFrame, x: DataFrame, ko_genes: list[str], degree: int, genes: DataFrame | None = None) -> DataFrame:
+def _reached(steps: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``net_id``, ``gene`` of those that a step (net_id, gene, ko, w) gives a value other than 0 in some cell."""
+    values = steps.join(profiles, "ko").groupBy("net_id", "gene", "profile").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return values.filter("value <> 0").select("net_id", "gene").distinct()
+
+
+def knockout_perturbation(edges: DataFrame, x: DataFrame, ko_genes: list[str], degree: int, genes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """What a knockout that spreads over ``degree`` steps takes from the counts of each network: ``net_id``, ``gene``, ``cell``, ``value``.
 
     ``edges``: networks without diagonal; ``x``: counts (``gene``, ``cell``, ``value``) that all networks share. The
     first perturbation is the counts of all knocked-out genes together; each step multiplies by the network.
     After a step the genes reached by earlier steps leave the network on both ends; a network whose genes
-    (``genes``, else those of ``x``) have all been reached takes no more steps. An unknown gene is an error.
+    (``genes``, else those of ``x``) have all been reached takes no more steps. An unknown gene is an error. ``cells`` (cell) restricts the result.
+
+    Steps are linear in the counts of the knocked-out genes: what spreads is a weight for each gene and knocked-out gene, and cells come in at the
+    end. Cells with the same counts of the knocked-out genes (a profile) reach the same genes, so that profiles stand for cells there.
     """
     axis = materialize(gene_axis(x) if genes is None else genes.select("gene").distinct(), "axis")
     check_known(ko_genes, axis)
-    n_genes = axis.count()
-    p = materialize(x.filter(F.col("gene").isin(*ko_genes) if ko_genes else F.lit(False)).select(each_network(edges), "gene", "cell", "value"), "step")
+    n_genes, spark = axis.count(), x.sparkSession
+    given = x.filter(F.col("gene").isin(*ko_genes) if ko_genes else F.lit(False)).filter("value <> 0")
+    given = materialize(given.select(F.col("gene").alias("ko"), "cell", F.col("value").cast("double").alias("value")), "given")
+    profiles = given.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("ko", "value"))).alias("own")).select("own").distinct()
+    profiles = materialize(profiles.withColumn("profile", F.monotonically_increasing_id()).select("profile", F.inline("own")), "profiles")
+    kos = spark.createDataFrame([(g,) for g in dict.fromkeys(ko_genes)], "ko string")
+    p = materialize(kos.select(each_network(edges), F.col("ko").alias("gene"), "ko", F.lit(1.0).alias("w")), "step")
     total, live, visited = p, edges.select("net_id", "target", "source", "weight"), p.select("net_id", "gene").filter("false")
-    for _ in range(degree):
-        given = p.select("net_id", F.col("gene").alias("source"), "cell", "value")
-        step = live.join(given, ["net_id", "source"]).groupBy("net_id", F.col("target").alias("gene"), "cell").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-        p = materialize(step.filter("value <> 0"), "step")
+    for k in range(degree):
+        before = p.select("net_id", F.col("gene").alias("source"), "ko", "w")
+        step = live.join(before, ["net_id", "source"]).groupBy("net_id", F.col("target").alias("gene"), "ko").agg(F.sum(F.col("weight") * F.col("w")).alias("w"))
+        p = materialize(step.filter("w <> 0"), "step")
         total = total.unionByName(p)
+        if k == degree - 1:
+            break
         for end in ("target", "source"):
             live = live.join(visited.withColumnRenamed("gene", end), ["net_id", end], "left_anti")
-        visited = materialize(visited.unionByName(p.select("net_id", "gene")).distinct(), "visited")
+        new = _reached(p.join(visited, ["net_id", "gene"], "left_anti"), profiles)
+        visited = materialize(visited.unionByName(new), "visited")
         closed = visited.groupBy("net_id").count().filter(F.col("count") >= n_genes).select("net_id")
         live = materialize(live.join(F.broadcast(closed), "net_id", "left_anti").select("net_id", "target", "source", "weight"), "live")
-    return total.groupBy("net_id", "gene", "cell").agg(F.sum("value").alias("value"))
+    weights = materialize(total.groupBy("net_id", "gene", "ko").agg(F.sum("w").alias("w")), "spread")
+    if cells is not None:
+        given = given.join(cells, "cell", "left_semi")
+    return weights.join(given, "ko").groupBy("net_id", "gene", "cell").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def propagate_knockout(edges: DataFrame, x: DataFrame, ko_genes: list[str], degree: int, genes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
@@ -182,9 +202,9 @@ def propagate_knockout(edges: DataFrame, x: DataFrame, ko_genes: list[str], degr
     Every network has counts of its own, so that the result is as large as ``x`` times the networks; ``cells``
     (cell) restricts it to the cells that are needed, while the knockout spreads over all.
     """
-    taken = knockout_perturbation(edges, x, ko_genes, degree, genes).withColumnRenamed("value", "p")
+    taken = knockout_perturbation(edges, x, ko_genes, degree, genes, cells).withColumnRenamed("value", "p")
     if cells is not None:
-        x, taken = (df.join(cells, "cell", "left_semi") for df in (x, taken))
+        x = x.join(cells, "cell", "left_semi")
     before = x.select(each_network(edges), "gene", "cell", "value")
     left = before.join(taken, ["net_id", "gene", "cell"], "full")
     return left.select("net_id", "gene", "cell", F.greatest(F.coalesce("value", F.lit(0.0)) - F.coalesce("p", F.lit(0.0)), F.lit(0.0)).alias("value")).filter("value > 0")

@@ -49,7 +49,7 @@ def mttkrp(edges: DataFrame, mode: str, factors: dict[str, DataFrame], rank: int
     rows = edges
     for i, m in enumerate(x for x in MODES if x != mode):
         rows = rows.join(factors[m].select(m, F.col("f").alias(f"f{i}")), m)
-    return rows.groupBy(mode).agg(*[F.sum(F.col("weight") * F.col("f0")[k] * F.col("f1")[k]).alias(f"k{k}") for k in range(rank)])
+    return rows.groupBy(mode).agg(*[F.expr(f"sum(weight * f0[{k}] * f1[{k}]) AS k{k}") for k in range(rank)])
 
 
 def _start(names: DataFrame, mode: str, rank: int, seed: int, first: int) -> DataFrame:
@@ -72,16 +72,22 @@ def _pairs(rank: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(rank) for j in range(i, rank)]
 
 
+def _turned(turn: np.ndarray) -> str:
+    """Column ``p`` times a small matrix, in SQL. The numbers are one array literal, so that the code made for it is the same in each sweep."""
+    columns = ", ".join(f"array({', '.join(f'{float(v)!r}D' for v in column)})" for column in turn.T)
+    return f"transform(array({columns}), c -> aggregate(zip_with(c, p, (x, y) -> x * y), 0D, (s, v) -> s + v)) AS f"
+
+
 def _written(table: DataFrame, mode: str, rank: int, product: bool) -> tuple[DataFrame, np.ndarray, float]:
     """A factor table written, its Gram matrix, and the sum of its product with column ``p`` if there is one: one job."""
-    seen, f = Observation(), F.col("f")
-    sums = [F.sum(f[i] * f[j]).alias(f"g{i}_{j}") for i, j in _pairs(rank)]
-    inner = sum((f[k] * F.col("p")[k] for k in range(rank)), F.lit(0.0)) if product else F.lit(0.0)
-    written = materialize(table.observe(seen, F.sum(inner).alias("inner"), *sums).select(mode, "f"), f"factor_{mode}")
-    gram = np.zeros((rank, rank))
+    seen = Observation()
+    sums = [F.expr(f"sum(f[{i}] * f[{j}]) AS g{i}_{j}") for i, j in _pairs(rank)]
+    inner = " + ".join(f"f[{k}] * p[{k}]" for k in range(rank)) if product else "0D"
+    written = materialize(table.observe(seen, F.expr(f"sum({inner}) AS inner"), *sums).select(mode, "f"), f"factor_{mode}")
+    found, gram = seen.get, np.zeros((rank, rank))
     for i, j in _pairs(rank):
-        gram[i, j] = gram[j, i] = seen.get[f"g{i}_{j}"] or 0.0
-    return written, gram, seen.get["inner"] or 0.0
+        gram[i, j] = gram[j, i] = found[f"g{i}_{j}"] or 0.0
+    return written, gram, found["inner"] or 0.0
 
 
 def _save(folder: str, sweep: int, factors: dict[str, DataFrame], errors: list[float]) -> None:
@@ -126,9 +132,8 @@ def cp_als(edges: DataFrame, rank: int = 5, tol: float = 1e-6, max_iter: int = 1
         for mode in MODES:
             a, b = (grams[m] for m in MODES if m != mode)
             turn = np.linalg.pinv(a * b)
-            p = F.array(*[F.col(f"k{k}") for k in range(rank)])
-            f = F.array(*[sum((F.col("p")[j] * float(turn[j, k]) for j in range(rank)), F.lit(0.0)) for k in range(rank)])
-            solved = mttkrp(edges, mode, factors, rank).select(mode, p.alias("p")).select(mode, "p", f.alias("f"))
+            p = f"array({', '.join(f'k{k}' for k in range(rank))}) AS p"
+            solved = mttkrp(edges, mode, factors, rank).selectExpr(mode, p).selectExpr(mode, "p", _turned(turn))
             old = factors[mode]
             factors[mode], grams[mode], inner = _written(solved, mode, rank, True)
             discard(old)

@@ -377,3 +377,39 @@ def test_quantile_against_numpy(spark):
         for t, w in enumerate(nets):
             cut = np.quantile(np.abs(w), q)
             assert sorted(r.weight for r in got if r.net_id == t) == sorted(w[(np.abs(w) >= cut) & (w != 0)].tolist())
+
+
+def test_knockout_spreads_as_weights_of_the_knocked_out_genes(spark, monkeypatch):
+    """No step may make a row for each gene and cell: with many cells that share a few profiles, all but the result stays small; values as by matrices."""
+    rng = np.random.default_rng(3)
+    n, cells = 6, 400
+    w = {i: np.where(rng.random((n, n)) < 0.5, rng.integers(-3, 4, (n, n)), 0).astype(float) for i in (0, 1)}
+    for m in w.values():
+        np.fill_diagonal(m, 0)
+    x = rng.integers(0, 3, (n, cells)).astype(float)
+    edges = spark.createDataFrame([(i, f"g{t}", f"g{s}", float(m[t, s])) for i, m in w.items() for t, s in zip(*np.nonzero(m))], "net_id int, target string, source string, weight double")
+    counts = spark.createDataFrame([(f"g{g}", f"c{c}", float(x[g, c])) for g, c in zip(*np.nonzero(x))], "gene string, cell string, value double")
+    sizes, write = {}, ed.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(ed, "materialize", counted)
+    found = ed.knockout_perturbation(edges, counts, ["g0", "g1"], 3, cells=spark.createDataFrame([("c5",), ("c7",)], "cell string")).collect()
+    assert sizes["step"] <= 2 * n * 2 and sizes["profiles"] <= 12
+    for i, m in w.items():
+        live, p, visited = m.copy(), np.where(np.arange(n)[:, None] < 2, x, 0.0), np.zeros(n, bool)
+        total = p.copy()
+        for _ in range(3):
+            p = live @ p
+            total += p
+            live[visited] = 0
+            live[:, visited] = 0
+            visited |= (p != 0).any(axis=1)
+            if visited.all():
+                live[:] = 0
+        got = {(r["gene"], r["cell"]): r["value"] for r in found if r["net_id"] == i and r["value"]}
+        want = {(f"g{g}", f"c{c}"): total[g, c] for g in range(n) for c in (5, 7) if total[g, c]}
+        assert got == pytest.approx(want)
