@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
@@ -59,14 +61,17 @@ def dense_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed networks between nations, one per year: ``net_id``, ``target``, ``source``, ``weight``."""
+    """Signed networks between nations, one per year: ``net_id``, ``target``, ``source``, ``weight``.
+
+    A written table of years x nations x nations rows, so that queries that read it more than once join the orders once.
+    """
     lineitem, orders, customer, supplier, nation = _read(spark, sf_dir, "lineitem", "orders", "customer", "supplier", "nation")
     rows = lineitem.select("l_orderkey", "l_suppkey", "l_returnflag", "l_quantity").join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(customer.select("c_custkey", F.col("c_nationkey").alias("tk")), F.col("o_custkey") == F.col("c_custkey")).join(supplier.select("s_suppkey", F.col("s_nationkey").alias("sk")), F.col("l_suppkey") == F.col("s_suppkey"))
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     sums = rows.groupBy(F.year("o_orderdate").alias("net_id"), "tk", "sk").agg(F.sum(signed).alias("weight")).filter("weight <> 0")
     named = sums.join(nation.select(F.col("n_nationkey").alias("tk"), F.col("n_name").alias("target")), "tk").join(nation.select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("source")), "sk")
-    return named.select("net_id", "target", "source", "weight")
+    return materialize(named.select("net_id", "target", "source", "weight"), "trade")
 
 
 def paired_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
