@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, numbered
+from ..storage import dealt, materialize, numbered
 
 
 #: Ways to rank equal values.
@@ -31,11 +31,11 @@ def rank_genes_per_cell(entries: DataFrame, n_genes: int, ties: str = "average",
     """
     if ties not in TIES:
         raise ValueError(f"unknown ties: {ties}")
-    cell = Window.partitionBy("label", "cell")
+    cell, size = Window.partitionBy("label", "cell"), entries.count()
     if ties == "first":
         entries = entries.join(gene_places(entries if genes is None else genes), "gene")
     order = cell.orderBy(F.desc("value"), *(["gene_pos"] if ties == "first" else []))
-    rows = entries.withColumns({"present": F.count("*").over(cell), "above": F.count_if(F.col("value") > 0).over(cell), "low": F.rank().over(order)})
+    rows = dealt(entries, size, "label", "cell").withColumns({"present": F.count("*").over(cell), "above": F.count_if(F.col("value") > 0).over(cell), "low": F.rank().over(order)})
     zeros = F.lit(n_genes) - F.col("present")
     shift = F.when((F.col("value") < 0) & (zeros > 0), F.lit(1) if ties == "dense" else zeros).otherwise(0)
     if ties == "first":

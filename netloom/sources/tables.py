@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import dealt, materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -29,9 +29,12 @@ def two_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, orders, part = _read(spark, sf_dir, "lineitem", "orders", "part")
-    rows = lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = lineitem.count()
+    lines = dealt(lineitem.select("l_orderkey", "l_partkey", "l_quantity"), n, "l_orderkey")
+    rows = lines.join(dealt(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(_kind().alias("gene"), F.col("o_custkey").cast("string").alias("cell"), "o_orderstatus", "l_quantity")
+    # by cell: sums of a cell's genes need no other shuffle
+    return dealt(rows.select(_kind().alias("gene"), F.col("o_custkey").cast("string").alias("cell"), "o_orderstatus", "l_quantity"), n, "cell")
 
 
 def _kind() -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Rows that one task sorts or groups (see ``dealt``).
+TASK_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` over so many tasks that one of ``rows`` rows in all has about TASK_ROWS: what a task holds doesn't grow with the table.
+
+    A given number of partitions isn't merged again by the size of the compressed shuffle.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *by)
+
+
 def numbered(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     """``df`` with the place of each row in the order of ``by``, from 0; no single task sees all rows.
 
