@@ -1,24 +1,24 @@
-"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash candidates, verified on the whole sets.
+"""Near-duplicates by Jaccard similarity of word shingles: sets that share a SimHash or MinHash key, verified on the whole sets.
 
-The pairs that ``simhash.links`` finds within its two bits are most of the pairs there are, but similarity 0.8 goes
+Sets share a key if their fingerprints are joined by the links of ``simhash.links`` (two bits), but similarity 0.8 goes
 further: such pairs differ by up to 11 of 64 bits, and segments short enough for that many are shared by chance with a
-fixed part of the corpus. The rest comes from ``BANDS`` keys of ``ROWS`` minima for each text; a pair of similarity s
-shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.999998 at 0.8. Every candidate pair is verified on both sets of
-shingles.
+fixed part of the corpus. So each text also has ``BANDS`` keys of ``ROWS`` minima; a pair of similarity s
+shares one with probability 1 - (1 - s^ROWS)^BANDS, 0.999998 at 0.8.
 
-Only distinct sets are indexed, so exact copies cost one row. A key shared by more than ``PAIR_LIMIT`` sets is split
-by a second key (all pairs of bands); what is still crowded then shares 2 x ROWS minima, and each member is compared
-with ``LEADERS`` of them, those in most crowds. That stays linear in the size of the group.
+Only distinct sets are indexed, so exact copies cost one row. What counts is who reaches whom, so a key is done when all its sets
+are in one component. First each key's sets are compared with one of them, that with the most company; where they are many and in many
+components, with some more. Of what is open then, every two sets of one key in different components are compared, in blocks:
+no key drops a partner.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -28,8 +28,10 @@ from .simhash import LOWER, SEED, links, majority
 
 #: Words of a shingle, least similarity of linked texts.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Keys of a text and minima in a key; sets under one key that are compared with each other; leaders of a larger group.
-BANDS, ROWS, PAIR_LIMIT, LEADERS = 25, 4, 32, 4
+#: Keys of a text and minima in a key.
+BANDS, ROWS = 25, 4
+#: Rounds of leaders at most and leaders of a key in a round after the first; comparisons a row that need no other round; sets in a block.
+ROUNDS, LEADERS, PAIR_LIMIT, BLOCK = 6, 4, 32, 512
 
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FACTOR, _SHIFT = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
@@ -48,11 +50,15 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes())
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band; none without shingles."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of BANDS x ROWS hash functions; 0 without shingles."""
     if not len(hashes):
-        return []
-    least = np.min([(hashes[i : i + 4096] * _FACTOR + _SHIFT).min(1) for i in range(0, len(hashes), 4096)], axis=0)
+        return np.zeros(BANDS * ROWS, np.uint64)
+    return np.min([(hashes[i : i + 4096] * _FACTOR + _SHIFT).min(1) for i in range(0, len(hashes), 4096)], axis=0)
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A key for each band of minima."""
     return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
 
 
@@ -61,18 +67,19 @@ def _longs(values: list[int]) -> np.ndarray:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """``doc_id``, hash of the text, and of its set of shingles: id, SimHash, size, keys."""
+    """``doc_id``, hash of the text, and of its set of shingles: id, SimHash, size, keys (none without shingles), a byte of each minimum."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             sets = [shingles(t or "") for t in batch.column(2).to_pylist()]
-            keys = [_longs(band_keys(s)) for s in sets]
-            columns = [pa.array(_longs([set_id(s) for s in sets])), pa.array(_longs([majority(s) for s in sets])), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "th", "set", "fp", "size", "keys"])
+            least = [minima(s) for s in sets]
+            keys = [_longs(band_keys(x) if len(s) else []) for s, x in zip(sets, least)]
+            columns = [pa.array(_longs([set_id(s) for s in sets])), pa.array(_longs([majority(s) for s in sets])), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([x.astype(np.uint8).view(np.int8) for x in least], pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "th", "set", "fp", "size", "keys", "minima"])
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, th bigint, set bigint, fp bigint, size int, keys array<bigint>")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, th bigint, set bigint, fp bigint, size int, keys array<bigint>, minima array<tinyint>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -86,56 +93,114 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("th", "text").mapInArrow(run, "set bigint, shingles array<bigint>")
 
 
-def _grouped(rows: DataFrame, similarity: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs under keys that few sets share, and the rows of the other keys. Sizes rule pairs out.
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose shingles are alike."""
+    of = lambda end: sets.select(F.col("set").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return materialize(common.filter(F.col("n") >= (F.col("sizes") - F.col("n")) * similarity - 1e-9).select("a", "b"), "alike")
+
+
+def _fit(similarity: float) -> Column:
+    """Whether sets of sizes ``size`` and ``other`` can be alike."""
+    return F.least("size", "other") >= F.greatest("size", "other") * similarity - 1e-9
+
+
+def _ends() -> list[Column]:
+    return [F.least("set", "with").alias("a"), F.greatest("set", "with").alias("b")]
+
+
+def keyed(distinct: DataFrame) -> DataFrame:
+    """``set``, ``size``, ``minima``, and ``keys`` with one of SimHash: sets whose fingerprints (``fp``) are within two bits, or joined by such, share it."""
+    roots = components(links(distinct.select("fp").distinct()))
+    own = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    return materialize(distinct.join(roots, distinct.fp == roots.id, "left").select("set", "size", "minima", F.concat("keys", F.array(own)).alias("keys")), "keyed")
+
+
+def key_members(sets: DataFrame) -> DataFrame:
+    """``key``, ``set``, ``size``, ``n``, ``central`` of keys that ``n`` > 1 sets share; ``central`` counts the company of a set under all its keys.
 
     Every row gets the number of its key, keys of one set too: what the join makes follows the rows, not how many keys are shared.
     """
+    rows = sets.select("set", "size", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    shared = materialize(rows.join(counts.hint("merge"), "key"), name).filter("n > 1")
-    lists = shared.filter(f"n <= {PAIR_LIMIT}").groupBy("key").agg(F.collect_list(F.struct("set", "size")).alias("all"))
-    each = lists.select(F.explode("all").alias("x"), "all").select(F.col("x.set").alias("a"), F.col("x.size").alias("size"), "all")
-    fits = lambda y: (y["set"] > F.col("a")) & (F.least(y["size"], "size") >= F.greatest(y["size"], "size") * similarity - 1e-9)
-    pairs = each.select("a", F.explode(F.filter("all", fits)).alias("y")).select("a", F.col("y.set").alias("b"))
-    return pairs, shared.filter(f"n > {PAIR_LIMIT}").drop("n")
-
-
-def candidates(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``a``, ``b`` of sets (``set``, ``size``, ``keys``) that may be similar."""
-    rows = distinct.select("set", "size", F.posexplode("keys").alias("band", "key"))
-    pairs, crowd = _grouped(rows, similarity, "shared")
-    crowds = crowd.groupBy("set").agg(F.collect_list("band").alias("bands"))
-    # bands (k, k + 1), ... (k, k + BANDS // 2) in a circle: each pair of bands once
-    second = lambda k: F.transform(F.sequence(F.lit(1), F.lit(BANDS // 2)), lambda s: F.xxhash64(F.get("keys", k), F.get("keys", (k + s) % BANDS)))
-    split = distinct.join(crowds.hint("merge"), "set").select("set", "size", F.size("bands").alias("central"), F.explode(F.flatten(F.transform("bands", second))).alias("key"))
-    more, still = _grouped(split, similarity, "split")
-    part = F.pmod(F.xxhash64(F.lit("part"), "set"), F.lit(LEADERS))
-    leaders = still.groupBy("key", part.alias("part")).agg(F.max(F.struct("central", "set", "size")).alias("top")).select("key", "top")
-    stars = still.join(leaders.hint("merge"), "key").filter((F.col("set") != F.col("top.set")) & (F.least("size", "top.size") >= F.greatest("size", "top.size") * similarity - 1e-9))
-    hot = stars.select(F.least("set", "top.set").alias("a"), F.greatest("set", "top.set").alias("b"))
-    return pairs.unionByName(more).unionByName(hot).distinct()
-
-
-def simhash_candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of sets (``set``, ``fp``) whose SimHashes link: each fingerprint's smallest set stands for it."""
-    owners = materialize(distinct.groupBy("fp").agg(F.min("set").alias("owner")), "owners")
-    same = distinct.join(owners, "fp").filter("set <> owner").select(F.col("owner").alias("a"), F.col("set").alias("b"))
-    ends = [owners.select(F.col("fp").alias(c), F.col("owner").alias(f"of_{c}")) for c in ("a", "b")]
-    linked = links(owners.select("fp")).join(ends[0], "a").join(ends[1], "b")
-    return same.unionByName(linked.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+    shared = materialize(rows.join(counts.hint("merge"), "key"), "shared").filter("n > 1")
+    central = shared.groupBy("set").agg(F.sum("n").alias("central"))
+    return materialize(shared.join(central.hint("merge"), "set").select("key", "set", "size", "n", "central"), "members")
+
+
+def _stars(members: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs of each key's sets with its leader of most company, or, in later turns, with LEADERS drawn from its components."""
+    first = F.col("central") if turn == 0 else F.xxhash64(F.lit(turn), "set")
+    part = F.lit(0) if turn == 0 else F.pmod(F.xxhash64(F.lit(turn), "root"), F.lit(LEADERS))
+    leaders = members.groupBy("key", part.alias("part")).agg(F.max(F.struct(first.alias("first"), "set", "size", "root")).alias("top"))
+    leaders = leaders.select("key", F.col("top.set").alias("with"), F.col("top.size").alias("other"), F.col("top.root").alias("of"))
+    return members.join(leaders.hint("merge"), "key").filter((F.col("root") != F.col("of")) & _fit(similarity)).select(*_ends())
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of keys whose sets are in several components (``root``), not counting keys of two sets, which have been compared. ``top`` is the
+    largest component of a key, ``apart`` the number of its sets that aren't in it.
+    """
+    rooted = members.drop("root", "top", "apart").filter("n > 2").join(roots.select(F.col("id").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("own"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("own", "root")).alias("top"), F.sum("own").alias("all"))
+    tops = tops.select("key", F.col("top.root").alias("top"), (F.col("all") - F.col("top.own")).alias("apart")).filter("apart > 0")
+    return materialize(rooted.join(tops.hint("merge"), "key"), "open")
+
+
+def _crossed(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """All pairs of sets of one key in different components that may be alike: sets outside the key's largest component with all, in blocks,
+    each pair under the least of its keys (a key that isn't open any more has compared it).
+
+    Of the minima of a similar pair fewer than 6 standard deviations below the mean agree with a probability of 1e-8; such pairs are left out.
+    """
+    number, spread = BANDS * ROWS, (BANDS * ROWS * similarity * (1 - similarity)) ** 0.5
+    rows = members.join(sets.select("set", "minima", "keys"), "set").select("key", "set", "size", "root", "top", "minima", "keys", F.ceil(F.col("apart") / block).alias("is"), F.ceil(F.col("n") / block).alias("js"))
+    own = lambda blocks: F.pmod(F.xxhash64(F.lit("block"), "set"), F.col(blocks))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    left = rows.filter("root <> top").select("key", own("is").alias("i"), each("js").alias("j"), "set", "size", "root", "minima", "keys")
+    right = rows.select("key", own("js").alias("j"), each("is").alias("i"), F.col("set").alias("with"), F.col("size").alias("other"), F.col("root").alias("of"), F.col("minima").alias("there"), F.col("keys").alias("theirs"))
+    agree = F.size(F.filter(F.zip_with("minima", "there", lambda x, y: x == y), lambda same: same))
+    here = F.array_min(F.array_intersect("keys", "theirs")) == F.col("key")
+    alike = F.when((F.col("root") != F.col("of")) & _fit(similarity), F.when(here, agree >= number * similarity - 6 * spread)).otherwise(False)
+    met = left.join(right.hint("merge"), ["key", "i", "j"]).filter(alike)
+    return met.select(*_ends())
+
+
+def linked(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """``id``, ``root``: components of the sets (``set``, ``fp``, ``size``, ``keys``, ``minima``) that share a key and are alike.
+
+    ``sets`` gives ``set`` and ``shingles`` of the sets it is asked for (``set``).
+    """
+    distinct = keyed(distinct)
+    members = key_members(distinct)
+    texts = materialize(sets(members.select("set").distinct()), "sets")
+    members, found, before = members.withColumn("root", F.col("set")), None, None
+    for turn in range(ROUNDS):
+        alike = _alike(_stars(members, similarity, turn), texts, similarity)
+        found = alike if found is None else found.unionByName(alike)
+        roots = components(found)
+        members = _open(members, roots)
+        rows, work = members.agg(F.count("*"), F.coalesce(F.sum(F.col("apart").cast("double")), F.lit(0.0))).first()
+        if not rows:
+            return roots
+        if work <= PAIR_LIMIT * rows or before is not None and work > before / 2:
+            break
+        before = work
+    return components(found.unionByName(_alike(_crossed(members, distinct, similarity), texts, similarity)))
 
 
 def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
     """``doc_id``, ``th`` (hash of the text), ``set`` and ``root`` (the component's smallest set) of every row."""
     marked = materialize(_marked(docs), "marked")
-    distinct = materialize(marked.groupBy("set").agg(F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
-    pairs = materialize(candidates(distinct, similarity).unionByName(simhash_candidates(distinct)).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(distinct.select("set", "th"), "set").select("th")
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").dropDuplicates(["th"])
-    sets = materialize(_sets(texts), "sets")
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
-    roots = components(common.filter(F.col("n") >= (F.col("sizes") - F.col("n")) * similarity - 1e-9))
+    distinct = materialize(marked.groupBy("set").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("fp", "size", "keys", "minima")]), "distinct")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        hashes = wanted.join(distinct.select("set", "th"), "set").select("th")
+        return _sets(docs.select(F.xxhash64("text").alias("th"), "text").join(hashes, "th", "left_semi").dropDuplicates(["th"]))
+
+    roots = linked(distinct, sets, similarity)
     rooted = distinct.select("set").join(roots, F.col("set") == roots.id, "left").select("set", F.coalesce("root", "set").alias("root"))
     return materialize(marked.select("doc_id", "th", "set").join(rooted, "set"), "rooted")
 

@@ -98,3 +98,21 @@ def test_rows_not_ids_count(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).collect() == [] and minhash.keep_one(docs).collect() == []
+
+
+def test_keys_drop_no_partner(spark):
+    """Sets under one key are all compared, unless in one component: with one fingerprint, where b and c are alike but unlike the smallest (a)
+    and under no other key; and in a crowd of unlike pairs of like sets, whose partners no leader is near.
+    """
+    a, b, c = set(range(1, 41)), set(range(100, 140)), set(range(100, 142))
+    crowd = [set(range(10_000 * i, 10_000 * i + 60 + j)) for i in range(5, 105) for j in (0, 1)]
+    sets = [sorted(x) for x in (a, b, c, *crowd)]
+    table = [(i, 7 if i < 3 else 1 << 60 | 7919 * i << 20, len(x), [-1 - i] if i < 3 else [5]) for i, x in enumerate(sets)]
+    distinct = spark.createDataFrame([(*r, minhash.minima(minhash.np.array(x, "uint64") * minhash.np.uint64(0x9E3779B97F4A7C15)).astype("uint8").view("int8").tolist()) for r, x in zip(table, sets)], "set long, fp long, size int, keys array<long>, minima array<tinyint>")
+    shingles = spark.createDataFrame(list(enumerate(sets)), "set long, shingles array<long>")
+    found = {r.id: r.root for r in minhash.linked(distinct, lambda wanted: shingles.join(wanted, "set")).collect()}
+    assert found == {2: 1} | {i + 1: i for i in range(3, 203, 2)}
+    keyed = minhash.keyed(distinct)
+    blocks = minhash._open(minhash.key_members(keyed).withColumn("root", minhash.F.col("set")), spark.createDataFrame([], "id long, root long"))
+    pairs = [tuple(r) for r in minhash._crossed(blocks, keyed, 0.8, block=16).distinct().collect()]
+    assert sorted(pairs) == [(1, 2)] + [(i, i + 1) for i in range(3, 203, 2)]
