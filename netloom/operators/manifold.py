@@ -20,8 +20,8 @@ from .edges import align_networks
 
 #: Genes up to which all eigenvectors are found on a dense matrix of twice as many rows.
 DENSE_GENES = 1_000
-#: Vectors multiplied at once at least; residual of an eigenvector; multiplications at most.
-LEAST_BLOCK, RESIDUAL, ROUNDS = 24, 1e-8, 1_000
+#: Vectors multiplied at once at least; random ones to start with; residual of an eigenvector; multiplications at most.
+LEAST_BLOCK, RANDOM, RESIDUAL, ROUNDS = 24, 8, 1e-8, 1_000
 
 
 def laplacian_degrees(x: DataFrame, y: DataFrame, genes: DataFrame) -> DataFrame:
@@ -102,10 +102,18 @@ class JointLaplacian:
         return out
 
     def correction(self, residual: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Residuals over the Laplacian less the values, as far as its diagonal and its coupling tell (2 x 2 a gene)."""
+        """Residuals over the Laplacian less the values, as far as its diagonal and its coupling tell (2 x 2 a gene).
+
+        The lesser eigenvalue of the 2 x 2 tells genes apart and is kept off 0; the greater one is the coupling's, alike for all.
+        """
         p, q = self.diagonal[: self.n, None] - values + 1, self.diagonal[self.n :, None] - values + 1
-        det, least = p * q - self.c**2, 1e-3 * np.abs(p * q).max(axis=0)
-        det = np.where(np.abs(det) < least, least, det)
+        middle, half = (p + q) / 2, np.sqrt(((p - q) / 2) ** 2 + self.c**2)
+        large = np.where(np.abs(middle + half) >= np.abs(middle - half), middle + half, middle - half)
+        rounding = np.finfo(float).eps * max(np.abs(self.diagonal).max(), 1e-200)
+        large = np.where(np.abs(large) < rounding, rounding, large)
+        small = (p * q - self.c**2) / large
+        least = np.maximum(1e-3 * np.abs(small).mean(axis=0), rounding)
+        det = large * np.where(np.abs(small) < least, least, small)
         a, b = residual[: self.n], residual[self.n :]
         return np.concatenate([(q * a + self.c * b) / det, (p * b + self.c * a) / det])
 
@@ -119,13 +127,15 @@ def _wanted(values: np.ndarray, d: int, tol: float) -> list[int]:
 def smallest_eigenvectors(lap: JointLaplacian, d: int, tol: float = 1e-8, residual: float = RESIDUAL, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Values and unit vectors (columns) of the ``d`` eigenvalues of smallest real part that reach ``tol``, by block Davidson steps.
 
-    Residuals are corrected by the diagonal and the coupling. What doesn't reach ``residual`` in ``rounds`` multiplications raises.
+    It starts with the genes of smallest degree, each for itself, as such vectors are nearly theirs alone, and RANDOM random ones. Residuals
+    are corrected by the diagonal and the coupling. What doesn't reach ``residual`` in ``rounds`` multiplications raises.
     """
     n, block = lap.n, max(2 * d, LEAST_BLOCK)
-    start = np.random.default_rng(7).standard_normal((2 * n, block))
     small = np.argsort(lap.diagonal[:n] + lap.diagonal[n:], kind="stable")[:block]
-    start[small, np.arange(len(small))] += 30
-    start[n + small, np.arange(len(small))] += 30
+    lone = np.zeros((2 * n, len(small)))
+    lone[small, np.arange(len(small))] = lone[n + small, np.arange(len(small))] = 1
+    drawn = lap.correction(np.random.default_rng(7).standard_normal((2 * n, RANDOM)), np.full(RANDOM, float(n)))
+    start = np.column_stack([lone, drawn / np.linalg.norm(drawn, axis=0)])
     sides = np.repeat([[1.0, 1.0], [1.0, -1.0]], n, axis=1).T
 
     def wanted(values: np.ndarray) -> tuple[np.ndarray, int]:
