@@ -3,7 +3,7 @@
 Published method (Kiveris et al., "Connected Components in MapReduce and Beyond"): every step only
 groups links by one end and re-links neighbours to the smallest id seen, so that a node with a third
 of all links costs a partial aggregation and a join that Spark may split. The number of steps grows
-with the logarithm of the table.
+with the logarithm of the table. Joins are by merging, so that small tables aren't broadcast by the driver in every step.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from ..storage import discard, materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
     lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(lowest.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(lowest.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(lowest.select(F.col("u"), F.col("m").alias("v")))
 
 

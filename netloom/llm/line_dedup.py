@@ -14,7 +14,8 @@ in which it has a later copy, and found between that round's length and twice as
 the prefix of any length l is the pair of ranks of its first and last 2^k lines. Lines of at least
 ``lone_words`` words also count as runs of one; their intervals are those of the first ranking.
 
-DataFrame functions only. Hot lines cost a partial aggregation and a join that Spark may split.
+DataFrame functions only. Hot lines cost a partial aggregation and a join that Spark may split. Joins are by merging: many small
+tables broadcast one after the other, as they would be on a small corpus, cost the driver more memory than a large corpus does.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows whose ``by`` occurs more than once, with its rank among all such in ``by`` order."""
     keys = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
     ranks = materialize(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    return rows.join(ranks, by).drop(*by)
+    return rows.join(ranks.hint("merge"), by).drop(*by)
 
 
 #: What names a suffix, in document order.
@@ -58,7 +59,7 @@ SUFFIX = ["doc_id", "th", "i"]
 def _later(ranked: DataFrame, *by: str) -> DataFrame:
     """All suffixes of an interval (rows that agree in ``by``) but the first in document order."""
     firsts = ranked.groupBy(*by).agg(F.min(F.struct(*SUFFIX)).alias("first"))
-    return ranked.join(firsts, list(by)).filter(~F.struct(*SUFFIX).eqNullSafe(F.col("first"))).drop("first")
+    return ranked.join(firsts.hint("merge"), list(by)).filter(~F.struct(*SUFFIX).eqNullSafe(F.col("first"))).drop("first")
 
 
 def _ahead(ranked: DataFrame, by: int) -> DataFrame:
@@ -71,7 +72,7 @@ def _matched(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner")
     """``a`` joined with ``b`` where ``columns`` are equal, null ids included; each of them stands once."""
     b = b.withColumnsRenamed({c: f"__{c}" for c in columns})
     on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns))
-    return a.join(b, on, how).drop(*[f"__{c}" for c in columns])
+    return a.join(b.hint("merge"), on, how).drop(*[f"__{c}" for c in columns])
 
 
 def suffix_ranks(docs: DataFrame, lone_words: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
@@ -120,7 +121,7 @@ def longest_runs(rounds: list[DataFrame]) -> DataFrame:
             break
         asks = top.filter("lo < hi").select("doc_id", "th", "k", F.expr("(lo + hi + 1) div 2").cast("int").alias("ask"))
         wanted = _matched(later, asks, ["doc_id", "th", "k"]).select("k", "rank", "ask").distinct()
-        starts = levels.join(wanted, ["k", "rank"]).withColumn("at", F.expr("i + ask - shiftleft(1, k)"))
+        starts = levels.join(wanted.hint("merge"), ["k", "rank"]).withColumn("at", F.expr("i + ask - shiftleft(1, k)"))
         ends = levels.select("doc_id", "th", "k", F.col("i").alias("at"), F.col("rank").alias("last"))
         runs = _matched(starts, ends, ["doc_id", "th", "k", "at"])
         hits = _later(runs, "k", "rank", "ask", "last").select("doc_id", "th", "ask", F.col("ask").alias("hit")).distinct()
@@ -151,7 +152,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, lone_words: int | N
     gone = _matched(gone, longest, ["doc_id", "th"], "left")
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__gone", F.coalesce("longest", F.lit(1)).alias("__longest"))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__doc"]) & (marked["__hash"] == gone["__th"]), "left").drop("__doc", "__th", "__hash")
+    rows = marked.join(gone.hint("merge"), marked["doc_id"].eqNullSafe(gone["__doc"]) & (marked["__hash"] == gone["__th"]), "left").drop("__doc", "__th", "__hash")
     none = F.array().cast("array<int>")
     rows = rows.withColumn("__gone", F.coalesce("__gone", none)).withColumn("__lines", _lines(F.col("text")))
     # places of the lines that take part, so that place i of the sequence is line __at[i]; sets of places are

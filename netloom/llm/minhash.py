@@ -96,7 +96,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose shingles are alike."""
     of = lambda end: sets.select(F.col("set").alias(end), F.col("shingles").alias(f"of_{end}"))
-    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    both = pairs.distinct().join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
     common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return materialize(common.filter(F.col("n") >= (F.col("sizes") - F.col("n")) * similarity - 1e-9).select("a", "b"), "alike")
 
@@ -114,7 +114,7 @@ def keyed(distinct: DataFrame) -> DataFrame:
     """``set``, ``size``, ``minima``, and ``keys`` with one of SimHash: sets whose fingerprints (``fp``) are within two bits, or joined by such, share it."""
     roots = components(links(distinct.select("fp").distinct()))
     own = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
-    return materialize(distinct.join(roots, distinct.fp == roots.id, "left").select("set", "size", "minima", F.concat("keys", F.array(own)).alias("keys")), "keyed")
+    return materialize(distinct.join(roots.hint("merge"), distinct.fp == roots.id, "left").select("set", "size", "minima", F.concat("keys", F.array(own)).alias("keys")), "keyed")
 
 
 def key_members(sets: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of keys whose sets are in several components (``root``), not counting keys of two sets, which have been compared. ``top`` is the
     largest component of a key, ``apart`` the number of its sets that aren't in it.
     """
-    rooted = members.drop("root", "top", "apart").filter("n > 2").join(roots.select(F.col("id").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = members.drop("root", "top", "apart").filter("n > 2").join(roots.select(F.col("id").alias("set"), "root").hint("merge"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("own"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("own", "root")).alias("top"), F.sum("own").alias("all"))
     tops = tops.select("key", F.col("top.root").alias("top"), (F.col("all") - F.col("top.own")).alias("apart")).filter("apart > 0")
@@ -156,7 +156,7 @@ def _crossed(members: DataFrame, sets: DataFrame, similarity: float, block: int
     Of the minima of a similar pair fewer than 6 standard deviations below the mean agree with a probability of 1e-8; such pairs are left out.
     """
     number, spread = BANDS * ROWS, (BANDS * ROWS * similarity * (1 - similarity)) ** 0.5
-    rows = members.join(sets.select("set", "minima", "keys"), "set").select("key", "set", "size", "root", "top", "minima", "keys", F.ceil(F.col("apart") / block).alias("is"), F.ceil(F.col("n") / block).alias("js"))
+    rows = members.join(sets.select("set", "minima", "keys").hint("merge"), "set").select("key", "set", "size", "root", "top", "minima", "keys", F.ceil(F.col("apart") / block).alias("is"), F.ceil(F.col("n") / block).alias("js"))
     own = lambda blocks: F.pmod(F.xxhash64(F.lit("block"), "set"), F.col(blocks))
     each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
     left = rows.filter("root <> top").select("key", own("is").alias("i"), each("js").alias("j"), "set", "size", "root", "minima", "keys")
@@ -197,12 +197,12 @@ def _rooted(docs: DataFrame, similarity: float) -> DataFrame:
     distinct = materialize(marked.groupBy("set").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("fp", "size", "keys", "minima")]), "distinct")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        hashes = wanted.join(distinct.select("set", "th"), "set").select("th")
-        return _sets(docs.select(F.xxhash64("text").alias("th"), "text").join(hashes, "th", "left_semi").dropDuplicates(["th"]))
+        hashes = wanted.join(distinct.select("set", "th").hint("merge"), "set").select("th")
+        return _sets(docs.select(F.xxhash64("text").alias("th"), "text").join(hashes.hint("merge"), "th", "left_semi").dropDuplicates(["th"]))
 
     roots = linked(distinct, sets, similarity)
-    rooted = distinct.select("set").join(roots, F.col("set") == roots.id, "left").select("set", F.coalesce("root", "set").alias("root"))
-    return materialize(marked.select("doc_id", "th", "set").join(rooted, "set"), "rooted")
+    rooted = distinct.select("set").join(roots.hint("merge"), F.col("set") == roots.id, "left").select("set", F.coalesce("root", "set").alias("root"))
+    return materialize(marked.select("doc_id", "th", "set").join(rooted.hint("merge"), "set"), "rooted")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -227,6 +227,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))).alias("first")
     winners = _rooted(docs, similarity).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__doc"), F.col("first.th").alias("__th"))
     rows = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = rows.join(winners, rows["doc_id"].eqNullSafe(winners["__doc"]) & (rows["__hash"] == winners["__th"]), "left_semi")
+    rows = rows.join(winners.hint("merge"), rows["doc_id"].eqNullSafe(winners["__doc"]) & (rows["__hash"] == winners["__th"]), "left_semi")
     one = rows.groupBy("doc_id", "__hash").agg(F.min_by(F.struct(*named(docs.columns)), F.xxhash64(*named(docs.columns))).alias("__row"))
     return one.select("__row.*")

@@ -151,3 +151,15 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_small_tables_are_not_broadcast(spark):
+    """Line dedup and near-dedup join by merging at every size: on a small corpus the driver doesn't broadcast each table of each step."""
+    from netloom.llm import components, line_dedup, minhash
+
+    docs = spark.createDataFrame([(i, f"one line of words {i % 3}\nanother line here {i}") for i in range(6)], "doc_id long, text string")
+    links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    edges = links.selectExpr("b AS u", "a AS v")
+    for made in (line_dedup.dedup_lines(docs, lone_words=5), minhash.keep_one(docs), components._large_star(edges), components._small_star(edges)):
+        plan = made._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
