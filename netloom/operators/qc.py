@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import dealt, materialize
 
 MITO = "^MT-"
 #: Above so many cells the mean of a gene is tested, else its sum.
@@ -96,8 +96,13 @@ def filter_mito_ratio(totals: DataFrame, genes: DataFrame, max_mito_ratio: float
 
 def gene_totals(entries: DataFrame, kept_cells: DataFrame) -> DataFrame:
     """``sum``, ``detected`` and ``n_cells`` of each gene over the kept cells."""
+    return _gene_totals(entries.join(kept_cells.select("label", "cell"), ["label", "cell"], "left_semi"), kept_cells)
+
+
+def _gene_totals(entries: DataFrame, kept_cells: DataFrame) -> DataFrame:
+    """The same of entries of kept cells only."""
     n = kept_cells.groupBy("label").agg(F.count("*").alias("n_cells"))
-    sums = entries.join(kept_cells.select("label", "cell"), ["label", "cell"], "left_semi").groupBy("label", "gene").agg(F.sum("value").alias("sum"), F.count_if(F.col("value") != 0).alias("detected"))
+    sums = entries.groupBy("label", "gene").agg(F.sum("value").alias("sum"), F.count_if(F.col("value") != 0).alias("detected"))
     return sums.join(F.broadcast(n), "label")
 
 
@@ -138,6 +143,8 @@ def qc_run(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame |
     """
     spark = entries.sparkSession
     entries = materialize(clamp_negative(collapse_duplicate_genes(entries)), "entries")  # read three times below
+    rows = entries.count()
+    entries = dealt(entries, rows, "label", "cell")  # a task that reads the table would have a share of it
     totals = materialize(cell_totals(entries, cells), "totals")
     counted = _Counted(sorted(r[0] for r in totals.select("label").distinct().collect()))
     large = lambda df: filter_lib_size(df, params.min_lib_size)
@@ -145,10 +152,12 @@ def qc_run(entries: DataFrame, params: QcParams = QcParams(), cells: DataFrame |
     kept = counted("outlier", filter_outlier_cells(kept, params.quartile_accuracy, large(totals)) if params.remove_outlier_cells else kept)
     kept = counted("mito", filter_mito_ratio(kept, entries if genes is None else genes, params.max_mito_ratio))
     kept_cells = materialize(kept.select("label", "cell"), "cells")
-    found = counted("detection", filter_gene_detection(counted("genes", gene_totals(entries, kept_cells)), params.min_percent))
+    # an inner join with distinct cells, dealt alike, stays above the dealing (a semi join would be pushed below it)
+    own = entries.join(dealt(kept_cells, rows, "label", "cell").distinct(), ["label", "cell"])
+    found = counted("detection", filter_gene_detection(counted("genes", _gene_totals(own, kept_cells)), params.min_percent))
     found = counted("expression", filter_gene_expression(found, params.min_exp_avg, params.min_exp_sum))
     kept_genes = materialize(found.select("label", "gene"), "genes")
-    kept = entries.join(kept_cells, ["label", "cell"], "left_semi").join(kept_genes, ["label", "gene"], "left_semi")
+    kept = own.join(kept_genes, ["label", "gene"])
     report = spark.createDataFrame(counted.removed(), "label string, step string, removed long")  # five rows a label
     return kept.select("label", "gene", "cell", "value"), kept_cells, report
 

@@ -233,3 +233,18 @@ def test_archive_is_streamed(spark, tmp_path, monkeypatch):
     rows = mtx.numbered(mtx._lines(spark, str(path)), *mtx.ORDER)
     wrong = rows.filter("value <> 'last' AND NOT (cast(split(value, ' ')[0] AS long) = n AND endswith(value, ' 1'))")
     assert (rows.count(), wrong.count(), rows.filter("value = 'last'").first().n) == (n, 0, n - 1)
+
+
+def test_quality_control_deals_rows_by_number(spark, monkeypatch):
+    """What quality control keeps lies in parts of so many rows, not in one for each core; cells named twice count their entries once."""
+    from netloom import storage
+    from netloom.operators import qc
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    rows = [("all", f"g{g}", f"c{c}", float(1 + (g * c) % 3)) for c in range(40) for g in range(20)]
+    entries = spark.createDataFrame(rows, "label string, gene string, cell string, value double")
+    cells = entries.select("label", "cell").union(entries.select("label", "cell"))
+    params = qc.QcParams(min_lib_size=1, remove_outlier_cells=False, min_percent=0.0, min_exp_avg=0.0, min_exp_sum=0.0)
+    kept = qc.sc_qc(entries, params, cells)
+    assert kept.rdd.getNumPartitions() >= 40
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
