@@ -422,7 +422,8 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: flo
     bounded_batches(docs.sparkSession)
     narrow, ids, bits = _numbered_docs(docs)
     found = seeds(narrow, bits)  # made twice: cheaper than to keep all seeds on disk
-    firsts = found.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    # written, so that the shuffles of both uses of the seeds are never on disk together, and Spark may split a seed of many rows in the join
+    firsts = materialize(found.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("h", "first"), "firsts")
     matches = found.join(firsts.hint("merge"), "h").filter("at > first")
     place = F.col("at").bitwiseAND(F.lit((1 << bits + PAIR_BITS) - 1).cast("long"))
     match = F.struct(place.alias("x"), F.col("first").alias("y"), F.col("h").bitwiseAND(F.lit(3)).cast("tinyint").alias("kind"))

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Whether shuffle files go with the query that made them, not when the driver happens to collect its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one task sorts or groups (see ``dealt``).
 TASK_ROWS = 250_000
 
@@ -34,11 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files; the session's setting is put back."""
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with the same schema."""
+    """Write ``df`` once to the shared folder and read it back with the same schema.
+
+    The shuffle files of the write are deleted at its end, as no other query reads them: disk holds those of one step at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with _own_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 
@@ -105,3 +107,17 @@ def test_word_hashes():
 
 def test_empty(spark):
     assert ps.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """The seeds are shuffled twice; what a step has shuffled is gone when its table is written."""
+    made = lambda: {f.name.split("_")[1] for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    shared = text(80)
+    docs = spark.createDataFrame([(i, " ".join(text(30) + shared + text(30))) for i in range(6)], "doc_id long, text string")
+    before = made()
+    found = ps.repeated_passages(docs)  # the tables of seeds and chains are written here
+    end = time.time() + 20
+    while len(made() - before) > 2 and time.time() < end:  # files are deleted beside the next query
+        time.sleep(0.2)
+    assert len(made() - before) <= 2  # the bounds and the repeats of ids, small
+    assert {r.doc_id for r in found.collect()} == {1, 2, 3, 4, 5}
