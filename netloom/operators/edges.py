@@ -131,7 +131,7 @@ def align_networks(x: DataFrame, y: DataFrame, x_genes: DataFrame | None = None,
     genes that have an edge count.
     """
     shared = (network_genes(x) if x_genes is None else x_genes.select("gene")).intersect(network_genes(y) if y_genes is None else y_genes.select("gene"))
-    ends = lambda e: e.join(shared, e["target"] == shared["gene"], "left_semi").join(shared, e["source"] == shared["gene"], "left_semi")
+    ends = lambda e: e.join(shared.hint("merge"), e["target"] == shared["gene"], "left_semi").join(shared.hint("merge"), e["source"] == shared["gene"], "left_semi")
     return ends(x), ends(y), shared
 
 

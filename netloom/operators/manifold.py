@@ -8,6 +8,7 @@ executors, the rest, a few numbers a gene, on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +18,36 @@ from pyspark.sql import functions as F
 from ..functions.eigen import block_davidson
 from ..storage import materialize, numbered
 from .edges import align_networks
+from .wide_manifold import corrected, wide_eigenvectors, wide_table
 
-#: Genes up to which all eigenvectors are found on a dense matrix of twice as many rows.
-DENSE_GENES = 1_000
+#: Genes up to which all eigenvectors are found on a dense matrix of twice as many rows, and up to which the driver holds a basis.
+DENSE_GENES, DRIVER_GENES = 1_000, 10_000
 #: Vectors multiplied at once at least; random ones to start with; residual of an eigenvector; multiplications at most.
 LEAST_BLOCK, RANDOM, RESIDUAL, ROUNDS = 24, 8, 1e-8, 1_000
 
 
-def laplacian_degrees(x: DataFrame, y: DataFrame, genes: DataFrame) -> DataFrame:
-    """``side``, ``gene``, ``degree`` and the cross weight ``c`` of the joint Laplacian of two networks on ``genes`` (gene).
-
-    Every entry of both networks counts one more than its weight, absent ones too; that part is a number of
-    genes and never a table. c = 0.9 (sum of X + sum of Y) / 2n, diagonals included; a degree is the column
-    sum without the diagonal, plus c. Genes without an edge into them have the smallest degree.
-    """
+def _weight_sums(x: DataFrame, y: DataFrame, genes: DataFrame) -> tuple[DataFrame, int, float]:
+    """``side``, ``gene`` and the sum ``s`` of its column's weights without the diagonal; the number of genes; the cross weight."""
     n = genes.count()
     sums = lambda e: e.agg(F.coalesce(F.sum("weight"), F.lit(0.0)) + float(n) * n)
     c = 0.9 * (sums(x).first()[0] + sums(y).first()[0]) / (2 * n) if n else 0.0
 
     def side(e: DataFrame, name: str) -> DataFrame:
         columns = e.filter("target <> source").groupBy(F.col("source").alias("gene")).agg(F.sum("weight").alias("s"))
-        return genes.join(columns, "gene", "left").select(F.lit(name).alias("side"), "gene", (F.coalesce("s", F.lit(0.0)) + (n - 1) + c).alias("degree"), F.lit(c).alias("c"))
+        return genes.join(columns.hint("merge"), "gene", "left").select(F.lit(name).alias("side"), "gene", F.coalesce("s", F.lit(0.0)).alias("s"))
 
-    return side(x, "X").unionByName(side(y, "Y"))
+    return side(x, "X").unionByName(side(y, "Y")), n, c
+
+
+def laplacian_degrees(x: DataFrame, y: DataFrame, genes: DataFrame) -> DataFrame:
+    """``side``, ``gene``, ``degree`` and the cross weight ``c`` of the joint Laplacian of two networks on ``genes`` (gene).
+
+    Every entry of both networks counts one more than its weight, absent ones too; that part is a number of
+    genes and never a table. c = 0.9 (sum of X + sum of Y) / 2n, diagonals included; a degree is the column
+    sum without the diagonal, plus c. Genes without an edge into them have the smallest degree.
+    """
+    rows, n, c = _weight_sums(x, y, genes)
+    return rows.select("side", "gene", (F.col("s") + (n - 1) + c).alias("degree"), F.lit(c).alias("c"))
 
 
 class JointLaplacian:
@@ -53,13 +61,18 @@ class JointLaplacian:
         self.genes = materialize(numbered(shared.select("gene"), "gene", name="at"), "axis")
         self.n = n = self.genes.count()
         ends = [self.genes.select(F.col("gene").alias(c), F.col("at").alias(f"{c}_at")) for c in ("target", "source")]
-        numbered_side = lambda e, first: e.filter("target <> source").join(ends[0], "target").join(ends[1], "source").select((F.col("target_at") + first).alias("at"), (F.col("source_at") + first).alias("source"), "weight")
+        numbered_side = lambda e, first: e.filter("target <> source").join(ends[0].hint("merge"), "target").join(ends[1].hint("merge"), "source").select((F.col("target_at") + first).alias("at"), (F.col("source_at") + first).alias("source"), "weight")
         both = numbered_side(x, 0).unionByName(numbered_side(y, n)).groupBy("at", "source").agg(F.sum("weight").alias("weight"))
         self.edges = materialize(both.repartitionByRange("at").sortWithinPartitions("at", "source"), "edges")
-        degrees = laplacian_degrees(x, y, shared).join(self.genes, "gene").select((F.col("at") + F.when(F.col("side") == "Y", n).otherwise(0)).alias("at"), "degree", "c").toArrow()
-        self.diagonal = np.empty(2 * n)
-        self.diagonal[degrees["at"].to_numpy()] = degrees["degree"].to_numpy()
-        self.c = degrees["c"][0].as_py() if n else 0.0
+        sums, _, self.c = _weight_sums(x, y, shared)
+        self.weights = materialize(sums.join(self.genes.hint("merge"), "gene").select("side", "at", "s"), "weights")
+
+    @cached_property
+    def diagonal(self) -> np.ndarray:
+        rows = self.weights.select((F.col("at") + F.when(F.col("side") == "Y", self.n).otherwise(0)).alias("at"), "s").toArrow()
+        diagonal = np.empty(2 * self.n)
+        diagonal[rows["at"].to_numpy()] = rows["s"].to_numpy() + (self.n - 1) + self.c
+        return diagonal
 
     def symmetric(self) -> bool:
         back = self.edges.select(F.col("source").alias("at"), F.col("at").alias("source"), F.col("weight").alias("back"))
@@ -107,15 +120,7 @@ class JointLaplacian:
         The lesser eigenvalue of the 2 x 2 tells genes apart and is kept off 0; the greater one is the coupling's, alike for all.
         """
         p, q = self.diagonal[: self.n, None] - values + 1, self.diagonal[self.n :, None] - values + 1
-        middle, half = (p + q) / 2, np.sqrt(((p - q) / 2) ** 2 + self.c**2)
-        large = np.where(np.abs(middle + half) >= np.abs(middle - half), middle + half, middle - half)
-        rounding = np.finfo(float).eps * max(np.abs(self.diagonal).max(), 1e-200)
-        large = np.where(np.abs(large) < rounding, rounding, large)
-        small = (p * q - self.c**2) / large
-        least = np.maximum(1e-3 * np.abs(small).mean(axis=0), rounding)
-        det = large * np.where(np.abs(small) < least, least, small)
-        a, b = residual[: self.n], residual[self.n :]
-        return np.concatenate([(q * a + self.c * b) / det, (p * b + self.c * a) / det])
+        return corrected(p, q, self.c, residual, np.finfo(float).eps * max(np.abs(self.diagonal).max(), 1e-200))
 
 
 def _wanted(values: np.ndarray, d: int, tol: float) -> list[int]:
@@ -157,17 +162,21 @@ def manifold_table(lap: JointLaplacian, vectors: np.ndarray) -> DataFrame:
     return rows.join(lap.genes, "at").select("side", "gene", "coords", "coords_im")
 
 
-def manifold_alignment(x: DataFrame, y: DataFrame, d: int = 30, tol: float = 1e-8, x_genes: DataFrame | None = None, y_genes: DataFrame | None = None, dense_genes: int = DENSE_GENES) -> DataFrame:
+def manifold_alignment(x: DataFrame, y: DataFrame, d: int = 30, tol: float = 1e-8, x_genes: DataFrame | None = None, y_genes: DataFrame | None = None, dense_genes: int = DENSE_GENES, driver_genes: int = DRIVER_GENES) -> DataFrame:
     """``side``, ``gene``, ``coords`` (and ``coords_im``): the eigenvectors of the d smallest eigenvalues of the
     joint Laplacian that reach ``tol``, by real part. Every gene that both axes share has a row on each side.
 
     ``x_genes`` and ``y_genes`` are the gene axes (see ``align_networks``). Up to ``dense_genes`` shared genes the Laplacian is
-    decomposed whole on the driver; beyond, and where a basis fits, only blocks of a few times d vectors are held there.
+    decomposed whole on the driver; beyond, and where a basis fits, only blocks of a few times d vectors are held there; beyond ``driver_genes``
+    these are tables too. All three find the same vectors.
     """
     lap = JointLaplacian(*align_networks(x, y, x_genes, y_genes))
     if not lap.n:
         return x.sparkSession.createDataFrame([], "side string, gene string, coords array<double>, coords_im array<double>")
     if lap.n > dense_genes and lap.n > 8 * d + 4 * LEAST_BLOCK:
+        if lap.n > driver_genes:
+            state, _, turn = wide_eigenvectors(lap, d, tol, RESIDUAL, ROUNDS)
+            return wide_table(lap, state, turn)
         return manifold_table(lap, smallest_eigenvectors(lap, d, tol)[1])
     whole = lap.dense()
     values, vectors = np.linalg.eigh(whole) if np.allclose(whole, whole.T) else np.linalg.eig(whole)
